@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .base import table
 from .sharding import shard_records
+from .simhash import simhash_components
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op3_simhash": op3_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
