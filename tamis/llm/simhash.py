@@ -32,7 +32,7 @@ COVERING_RADIUS, BLOCK_THRESHOLD = 1, 1
 #: An anchor that is home to more fingerprints than this is split into parts of about this size.
 HOT_HOMES = 8192
 #: Pairs compared at once, and rows gathered at once, in a task.
-PAIRS_AT_ONCE = 1 << 21
+PAIRS_AT_ONCE = 1 << 18
 #: The most bytes of a table of hot anchors that is broadcast; beyond it, Spark joins it as it sees fit.
 BROADCAST_BYTES = 8 << 20
 
