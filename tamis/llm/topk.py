@@ -20,10 +20,10 @@ from .base import stable, uniform
 
 SCALE = 1024
 #: Vectors and queries of a block, levels of a dimension, and rounds in which the impacts are read.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 8192
 QUERY_ROWS = 2048
-LEVELS = 24
-ROUNDS = 10
+LEVELS = 32
+ROUNDS = 5
 #: Reading goes on until this share of the block, or fewer, may be members.
 RESCORED_SHARE = 0.04
 #: Rows of the sample that gives each query a score that its k-th neighbour reaches at least.
