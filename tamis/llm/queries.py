@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import table
+from .bpe import BytePairs, decoded, encoded
 from .decontaminate import benchmark_leaks
 from .sharding import shard_records
 from .simhash import simhash_components
@@ -30,11 +32,28 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def bpe_digest(df: DataFrame, pairs: BytePairs) -> DataFrame:
+    """Counts and digests of the ids of each text, and of what they decode to."""
+    ids = encoded(df.select("doc_id", "text"), pairs, drop=("text",))
+    both = decoded(ids, pairs)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")) -> DataFrame:
+    return bpe_digest(table(spark, sf_dir, "documents"), BytePairs.from_file(vocabulary, public_tokenizers.PATTERN))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_exact_topk": op2_exact_topk,
     "op3_simhash": op3_simhash,
     "op4_decontamination": op4_decontamination,
+    "op6_byte_bpe": op6_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
