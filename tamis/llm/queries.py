@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .base import table
 from .bpe import BytePairs, decoded, encoded
 from .decontaminate import benchmark_leaks
+from .secrets import secret_digest
 from .sharding import shard_records
 from .simhash import simhash_components
 from .topk import top_inner_products
@@ -32,6 +33,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
 def bpe_digest(df: DataFrame, pairs: BytePairs) -> DataFrame:
     """Counts and digests of the ids of each text, and of what they decode to."""
     ids = encoded(df.select("doc_id", "text"), pairs, drop=("text",))
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_topk": op2_exact_topk,
     "op3_simhash": op3_simhash,
     "op4_decontamination": op4_decontamination,
+    "op5_secrets": op5_secrets,
     "op6_byte_bpe": op6_byte_bpe,
 }
 
