@@ -1,8 +1,9 @@
 """Byte-level BPE: encoding by recursive queries over token-position rows, decoding by ordered aggregation.
 
 In every task an in-process DuckDB holds the table of merges. The distinct words of a batch become rows (word, position,
-token), one for each byte. One turn of the recursion joins neighbouring tokens with the merges and contracts each word's
-leftmost pair of least rank; the words that no turn changes any more are done. Words seen before are looked up.
+token), one for each byte. Each row knows the token after its own; one turn of the recursion joins these pairs
+with the merges and contracts each word's leftmost pair of least rank, until no pair is left. Words seen before are
+looked up.
 """
 
 from __future__ import annotations
@@ -11,42 +12,47 @@ import base64
 import heapq
 import itertools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: A longer word (in bytes) is merged with a heap: a turn contracts one pair, so its rows would grow with the square.
 LONG_WORD = 128
-#: Words encoded by one query, words kept for later batches, and characters of text taken at once.
-WORDS_AT_ONCE = 50_000
-WORDS_KEPT = 400_000
-CHARS_AT_ONCE = 4 << 20
+#: Words encoded by one query, words kept for later batches, and bytes of text (or four for a token) taken at once.
+WORDS_AT_ONCE = 20_000
+WORDS_KEPT = 250_000
+BYTES_AT_ONCE = 1 << 20
 
 _MERGE = """
-    WITH RECURSIVE work(word, pos, token, turn) AS (
-        SELECT word, pos, token, 0 FROM bytes_of_words
+    WITH RECURSIVE work(word, pos, token, after, turn) AS (
+        SELECT word, pos, token, lead(token) OVER (PARTITION BY word ORDER BY pos), 0 FROM bytes_of_words
         UNION ALL
         (
-            WITH pairs AS (
-                SELECT *, lead(token) OVER o AS after, lead(pos) OVER o AS after_pos
-                FROM work WINDOW o AS (PARTITION BY word ORDER BY pos)
+            WITH best AS (
+                SELECT word, min({'rank': merged, 'pos': pos}) AS pair
+                FROM work JOIN merges ON token::BIGINT << 32 | after = both_tokens GROUP BY word
             ),
-            best AS (
-                SELECT word, min({'rank': merged, 'pos': pos, 'gone': after_pos}) AS pair
-                FROM pairs JOIN merges ON token = left_token AND after = right_token GROUP BY word
+            contracted AS (
+                SELECT word, pair.pos AS spot, pair.rank AS rank, after AS beyond
+                FROM best JOIN work USING (word) WHERE pos = pair.pos + 1
             )
-            SELECT word, pos, CASE WHEN pos = pair.pos THEN pair.rank ELSE token END, turn + 1
-            FROM pairs JOIN best USING (word) WHERE pos <> pair.gone
+            SELECT word,
+                   CASE WHEN pos > spot THEN pos - 1 ELSE pos END,
+                   CASE WHEN pos = spot THEN rank ELSE token END,
+                   CASE WHEN pos = spot THEN beyond WHEN pos = spot - 1 THEN rank ELSE after END,
+                   turn + 1
+            FROM work JOIN contracted USING (word) WHERE pos <> spot + 1
         )
     )
-    SELECT word, list(token ORDER BY pos) AS ids
+    SELECT word, token
     FROM work JOIN (SELECT word, max(turn) AS turn FROM work GROUP BY word) USING (word, turn)
-    GROUP BY word ORDER BY word
+    ORDER BY word, pos
 """
 _DECODE = """
     SELECT doc, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes, count(*) AS known
@@ -68,6 +74,17 @@ class BytePairs:
             return cls(f.read(), pattern)
 
 
+class _Known(dict):
+    """Words by number; a new one gets the next number and waits in `fresh` to be learnt."""
+
+    fresh: list[str]
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+
 class Engine:
     """Of one Python worker: the merges in DuckDB, and what words have been encoded to."""
 
@@ -80,11 +97,16 @@ class Engine:
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         splits = ((t[:i], t[i:], r) for t, r in self.ranks.items() for i in range(1, len(t)))
         merges = [(self.ranks[a], self.ranks[b], r) for a, b, r in splits if a in self.ranks and b in self.ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        left, right, merged = (pa.array(x, pa.int32()) for x in (zip(*merges, strict=True) if merges else ([], [], [])))
-        self._load("merges", {"left_token": left, "right_token": right, "merged": merged})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+        merges = np.array(merges, np.int64).reshape(-1, 3)
+        self._load("merges", {"both_tokens": merges[:, 0] << 32 | merges[:, 1], "merged": merges[:, 2].astype(np.int32)})
         self._load("vocabulary", {"token": pa.array(self.ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in self.ranks])})
-        self._forget()
+        self._number([])
+        self.ids, self.sizes, self.uses = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _number(self, words: Iterable[str]) -> None:
+        self.known = _Known(zip(words, itertools.count()))
+        self.known.fresh = []
 
     def _load(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
@@ -92,27 +114,38 @@ class Engine:
         self.db.unregister("given")
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        """Of the words known, keep those met more than once since they were learnt or kept."""
+        kept = self.uses > 1
+        if kept.sum() > WORDS_KEPT // 2:
+            kept[:] = False
+        self.ids = self.ids[np.repeat(kept, self.sizes)]
+        self.sizes, self.uses = self.sizes[kept], np.zeros(kept.sum(), np.int64)
+        self._number(itertools.compress(self.known, kept.tolist()))
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words that are not known; all that follows is in their order."""
+        """Encode words that have just got the next numbers."""
         raw = [w.encode("utf-8", "replace") for w in words]
-        whole = [self.ranks.get(b) for b in raw]
-        open_words = [i for i, b in enumerate(raw) if whole[i] is None and len(b) <= LONG_WORD]
-        found: dict[int, list[int]] = {i: [r] for i, r in enumerate(whole) if r is not None}
-        found |= {i: self._merged(b) for i, b in enumerate(raw) if whole[i] is None and len(b) > LONG_WORD}
-        if open_words:
-            flat = np.frombuffer(b"".join(raw[i] for i in open_words), np.uint8)
-            sizes = np.array([len(raw[i]) for i in open_words])
-            rows = {"word": np.repeat(np.array(open_words, np.int32), sizes), "pos": (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32), "token": self.byte[flat]}
-            self.db.register("bytes_of_words", pa.table(rows))
+        whole = [self.ranks.get(b, -1) for b in raw]
+        long = {i: self._merged(b) for i, b in enumerate(raw) if whole[i] < 0 and len(b) > LONG_WORD}
+        word, token = [np.flatnonzero(np.array(whole) >= 0)], [np.array([r for r in whole if r >= 0], np.int64)]
+        for i, ids in long.items():
+            word.append(np.full(len(ids), i))
+            token.append(np.array(ids, np.int64))
+        short = [i for i in range(len(raw)) if whole[i] < 0 and i not in long]
+        if short:
+            flat = np.frombuffer(b"".join(raw[i] for i in short), np.uint8)
+            sizes = np.array([len(raw[i]) for i in short])
+            pos = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+            self.db.register("bytes_of_words", pa.table({"word": np.repeat(np.array(short, np.int32), sizes), "pos": pos, "token": self.byte[flat]}))
             done = self.db.sql(_MERGE).to_arrow_table()
             self.db.unregister("bytes_of_words")
-            found |= zip(done["word"].to_pylist(), done["ids"].to_pylist(), strict=True)
-        self.known |= zip(words, range(len(self.known), len(self.known) + len(words)), strict=True)
-        self.sizes.append(np.array([len(found[i]) for i in range(len(words))], np.int64))
-        self.ids.append(np.fromiter(itertools.chain.from_iterable(found[i] for i in range(len(words))), np.int32))
+            word.append(done["word"].to_numpy())
+            token.append(done["token"].to_numpy())
+        word, token = np.concatenate(word), np.concatenate(token)
+        order = np.argsort(word, kind="stable")
+        self.sizes = np.concatenate((self.sizes, np.bincount(word, minlength=len(words))))
+        self.ids = np.concatenate((self.ids, token[order].astype(np.int32)))
+        self.uses = np.concatenate((self.uses, np.zeros(len(words), np.int64)))
 
     def _merged(self, word: bytes) -> list[int]:
         """The same contraction for one long word: a heap gives the leftmost pair of least rank."""
@@ -134,29 +167,25 @@ class Engine:
                     heapq.heappush(heap, (r, k, len(parts[k]) + len(parts[after[k]])))
         return [self.ranks[p] for p in parts if p is not None]
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Runs of texts: the tokens of each, and all their ids."""
+    def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Runs of texts: how many tokens each has, and all their ids."""
+        edges = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)))
         start = 0
-        while start < len(texts):
-            stop, chars = start, 0
-            while stop < len(texts) and (stop == start or chars + len(texts[stop] or "") <= CHARS_AT_ONCE):
-                chars += len(texts[stop] or "")
-                stop += 1
-            words = [self.split.findall(t or "") for t in texts[start:stop]]
+        while start < len(column):
+            stop = max(start + 1, int(np.searchsorted(edges, edges[start] + BYTES_AT_ONCE, "right")) - 1)
+            words = [self.split.findall(t or "") for t in column.slice(start, stop - start).to_pylist()]
             if len(self.known) > WORDS_KEPT:
                 self._forget()
-            fresh = list(dict.fromkeys(w for ws in words for w in ws if w not in self.known))
-            for i in range(0, len(fresh), WORDS_AT_ONCE):
-                self._learn(fresh[i : i + WORDS_AT_ONCE])
-            self.ids, self.sizes = [np.concatenate(self.ids)], [np.concatenate(self.sizes)]
             at = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(words)), np.int64)
-            ends = np.cumsum(self.sizes[0])
-            sizes = self.sizes[0][at]
-            edges = np.concatenate(([0], np.cumsum(sizes)))
-            inside = np.arange(edges[-1]) - np.repeat(edges[:-1], sizes)
-            ids = self.ids[0][np.repeat(ends[at] - sizes, sizes) + inside]
+            for i in range(0, len(self.known.fresh), WORDS_AT_ONCE):
+                self._learn(self.known.fresh[i : i + WORDS_AT_ONCE])
+            self.known.fresh.clear()
+            self.uses += np.bincount(at, minlength=len(self.uses))
+            sizes, ends = self.sizes[at], np.cumsum(self.sizes)
+            token_edges = np.concatenate(([0], np.cumsum(sizes)))
+            ids = self.ids[np.repeat(ends[at] - sizes - token_edges[:-1], sizes) + np.arange(token_edges[-1])]
             word_edges = np.concatenate(([0], np.cumsum([len(ws) for ws in words])))
-            yield np.diff(edges[word_edges]), ids
+            yield np.diff(token_edges[word_edges]), ids
             start = stop
 
     def decode(self, column: pa.Array) -> pa.Array:
@@ -166,7 +195,7 @@ class Engine:
         token = column.flatten()
         start, edges = 0, np.concatenate(([0], np.cumsum(sizes)))
         while start < len(sizes):
-            stop = max(start + 1, int(np.searchsorted(edges, edges[start] + CHARS_AT_ONCE // 4, "right")) - 1)
+            stop = max(start + 1, int(np.searchsorted(edges, edges[start] + BYTES_AT_ONCE // 4, "right")) - 1)
             n = edges[stop] - edges[start]
             doc = np.repeat(np.arange(start, stop, dtype=np.int32), sizes[start:stop])
             self.db.register("ids", pa.table({"doc": doc, "pos": np.arange(n, dtype=np.int32), "token": token.slice(edges[start], n)}))
@@ -201,25 +230,28 @@ def _schema(df: DataFrame, name: str, kind: T.DataType, drop: tuple[str, ...]) -
     return T.StructType([f for f in df.schema.fields if f.name != name and f.name not in drop] + [T.StructField(name, kind)])
 
 
-def encoded(df: DataFrame, pairs: BytePairs, text_col: str = "text", out: str = "ids", drop: tuple[str, ...] = ()) -> DataFrame:
+def encoded(df: DataFrame, pairs: BytePairs, text_col: str = "text", out: str = "ids", drop: tuple[str, ...] = (), again: str | None = None) -> DataFrame:
     """`df` with the ids of its whole texts, without special tokens, as an array of int in column `out`.
 
     A null or empty text has no ids. Every row stays, repeated ones too; a column named `out` is replaced, those in
-    `drop` go, all others pass unread.
+    `drop` go, all others pass unread. With `again`, the ids are decoded in the same pass, into that column.
     """
     held = df.sparkSession.sparkContext.broadcast(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            texts = batch.column(batch.schema.names.index(text_col)).to_pylist()
-            for sizes, ids in _engine(held).encode(texts):
+            at, engine = 0, _engine(held)
+            for sizes, ids in engine.encode(batch.column(batch.schema.names.index(text_col))):
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
-                yield _with(batch.slice(at, len(sizes)), out, column, drop)
+                part = _with(batch.slice(at, len(sizes)), out, column, drop)
+                yield _with(part, again, engine.decode(column), ()) if again else part
                 at += len(sizes)
 
-    return df.mapInArrow(run, _schema(df, out, T.ArrayType(T.IntegerType()), drop))
+    schema = _schema(df, out, T.ArrayType(T.IntegerType()), drop)
+    if again:
+        schema = T.StructType([f for f in schema.fields if f.name != again] + [T.StructField(again, T.BinaryType())])
+    return df.mapInArrow(run, schema)
 
 
 def decoded(df: DataFrame, pairs: BytePairs, ids_col: str = "ids", out: str = "bytes", drop: tuple[str, ...] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import table
-from .bpe import BytePairs, decoded, encoded
+from .bpe import BytePairs, encoded
 from .decontaminate import benchmark_leaks
 from .secrets import secret_digest
 from .sharding import shard_records
@@ -39,8 +39,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digest(df: DataFrame, pairs: BytePairs) -> DataFrame:
     """Counts and digests of the ids of each text, and of what they decode to."""
-    ids = encoded(df.select("doc_id", "text"), pairs, drop=("text",))
-    both = decoded(ids, pairs)
+    both = encoded(df.select("doc_id", "text"), pairs, drop=("text",), again="bytes")
     return both.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

@@ -23,7 +23,7 @@ def texts():
 def test_against_the_library(spark, monkeypatch):
     monkeypatch.setattr(bpe, "WORDS_AT_ONCE", 64)
     monkeypatch.setattr(bpe, "WORDS_KEPT", 300)
-    monkeypatch.setattr(bpe, "CHARS_AT_ONCE", 500)
+    monkeypatch.setattr(bpe, "BYTES_AT_ONCE", 500)
     rows = [(i, t, "x") for i, t in enumerate(texts())] + [(1, "twice", "x"), (1, "twice", "x"), (None, "twice", "x")]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, bytes string")
     got = bpe.decoded(bpe.encoded(frame, PAIRS), PAIRS).collect()
@@ -39,7 +39,7 @@ def test_heap_and_recursion_agree(monkeypatch):
     monkeypatch.setattr(bpe, "LONG_WORD", 0)
     heap = bpe.Engine(PAIRS)
     for engine in (whole, heap):
-        assert [i for sizes, ids in engine.encode(words) for i in ids] == [i for t in words for i in LIBRARY.encode_ordinary(t)]
+        assert [i for sizes, ids in engine.encode(pa.array(words)) for i in ids] == [i for t in words for i in LIBRARY.encode_ordinary(t)]
 
 
 def test_unknown_ids_and_empty_tables(spark):
