@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .base import table
 from .bpe import BytePairs, encoded
 from .decontaminate import benchmark_leaks
+from .language import fit_languages, identified
 from .secrets import secret_digest
 from .sharding import shard_records
 from .simhash import simhash_components
@@ -52,6 +53,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = public_toke
     return bpe_digest(table(spark, sf_dir, "documents"), BytePairs.from_file(vocabulary, public_tokenizers.PATTERN))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identified(docs, fit_languages(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_exact_topk": op2_exact_topk,
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_secrets": op5_secrets,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_language_id": op7_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
