@@ -16,6 +16,7 @@ from .secrets import secret_digest
 from .sharding import shard_records
 from .simhash import simhash_components
 from .topk import top_inner_products
+from .toxicity import fit_toxicity, toxicity
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +59,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identified(docs, fit_languages(docs))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxic documents; `toxicity` itself gives the probabilities of all."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"))).where("is_toxic")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_exact_topk": op2_exact_topk,
@@ -66,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_language_id": op7_language_id,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
