@@ -12,6 +12,7 @@ from .base import table
 from .bpe import BytePairs, encoded
 from .decontaminate import benchmark_leaks
 from .language import fit_languages, identified
+from .quality import fit_quality, quality
 from .secrets import secret_digest
 from .sharding import shard_records
 from .simhash import simhash_components
@@ -65,6 +66,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"))).where("is_toxic")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_exact_topk": op2_exact_topk,
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_language_id": op7_language_id,
     "op9_toxicity": op9_toxicity,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
