@@ -16,6 +16,7 @@ from .quality import fit_quality, quality
 from .secrets import secret_digest
 from .sharding import shard_records
 from .simhash import simhash_components
+from .tokencount import WordTokenizer, token_counts
 from .topk import top_inner_products
 from .toxicity import fit_toxicity, toxicity
 
@@ -71,6 +72,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = public_tokenizers.path("word_bpe_49k.json")) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), WordTokenizer.from_file(vocabulary))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_exact_topk": op2_exact_topk,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_language_id": op7_language_id,
+    "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
 }
