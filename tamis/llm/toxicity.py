@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .base import labelled_sample, stable
-from .linear import fit_logistic, scores, sigmoid
+from .linear import Rows, fit_logistic, sigmoid
 
 #: Labelled rows of each class that the chain is fitted on (in expectation), words and beginnings of words it looks at.
 TRAIN_PER_CLASS = 4000
@@ -58,17 +58,19 @@ class Chain:
     weights: list[np.ndarray]
 
     @classmethod
-    def fit(cls, categories: tuple[str, ...], features: list[str], x: np.ndarray, y: np.ndarray, fold: np.ndarray, weight: np.ndarray) -> Chain:
-        """`y` has a column of 0 and 1 for each category, `fold` the part that a row is left out with."""
-        seen, weights = x, []
+    def fit(cls, categories: tuple[str, ...], features: list[str], found: list[list[int]], y: np.ndarray, fold: np.ndarray, weight: np.ndarray) -> Chain:
+        """`found` has the places of each row's features, `y` a column of 0 and 1 for each category, `fold` the part that
+        a row is left out with."""
+        earlier, weights, n = np.zeros((len(found), 0)), [], len(features)
         for k in range(len(categories)):
-            out_of_fold = np.zeros(len(x))
+            out_of_fold = np.zeros(len(found))
             for f in np.unique(fold):
-                inside, outside = fold != f, fold == f
-                if inside.any():
-                    out_of_fold[outside] = scores(seen[outside], fit_logistic(seen[inside], y[inside, k], weight[inside]))
-            weights.append(fit_logistic(seen, y[:, k], weight))
-            seen = np.concatenate((seen, _damped(out_of_fold)[:, None].astype(x.dtype)), axis=1)
+                inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+                if len(inside):
+                    w = fit_logistic(Rows(earlier[inside], [found[i] for i in inside], n), y[inside, k], weight[inside])
+                    out_of_fold[outside] = Rows(earlier[outside], [found[i] for i in outside], n).dot(w)
+            weights.append(fit_logistic(Rows(earlier, found, n), y[:, k], weight))
+            earlier = np.concatenate((earlier, _damped(out_of_fold)[:, None]), axis=1)
         return cls(categories, {f: i for i, f in enumerate(features)}, weights)
 
     def predict(self, found: Iterable[int]) -> list[float]:
@@ -125,13 +127,11 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     got = rows.select("h", *CATEGORIES, places.alias("words")).toArrow().to_pylist()
     got.sort(key=lambda r: r["h"])
     at = {f: i for i, f in enumerate(features)}
-    x = np.zeros((len(got), len(features)), np.float32)
-    for i, r in enumerate(got):
-        x[i, [at[w] for w in r["words"]]] = 1
+    found = [[at[w] for w in r["words"]] for r in got]
     y = np.array([[r[c] for c in CATEGORIES] for r in got], np.float64)
     share = np.array([totals[0] / n[0], totals[1] / n[1]])  # as many as there are, though the classes were drawn alike
     weight = share[y[:, -1].astype(int)]
-    return Chain.fit(CATEGORIES, features, x, y, np.array([r["h"] % FOLDS for r in got]), weight)
+    return Chain.fit(CATEGORIES, features, found, y, np.array([r["h"] % FOLDS for r in got]), weight)
 
 
 def _json(values: list[str]) -> str:

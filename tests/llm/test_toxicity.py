@@ -42,7 +42,7 @@ def test_later_models_see_earlier_categories():
     rng = np.random.default_rng(0)
     x = (rng.random((600, 3)) < 0.3).astype(np.float32)
     y = np.stack((x[:, 0], x[:, 0]), axis=1).astype(float)
-    chain = t.Chain.fit(("a", "b"), ["f", "g", "h"], x, y, np.arange(600) % 5, np.ones(600))
+    chain = t.Chain.fit(("a", "b"), ["f", "g", "h"], [np.flatnonzero(r).tolist() for r in x], y, np.arange(600) % 5, np.ones(600))
     assert len(chain.weights[1]) == len(chain.weights[0]) + 1 and chain.weights[1][3] > 0
     assert chain.predict([0])[1] > 0.9 > 0.1 > chain.predict([1])[1]
 
