@@ -12,15 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint, so a lost executor never recomputes what stands before it.
-
-    The folder is the one that the cluster names in `spark.checkpoint.dir`; a temporary one is made only where that
-    setting is absent, as in tests on one machine.
-    """
-    context = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in `spark.checkpoint.dir`; a temporary one only where that is absent, as in
+    tests on one machine."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tamis-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` with a reliable checkpoint, so a lost executor never recomputes what stands before it."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

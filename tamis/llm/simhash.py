@@ -208,6 +208,15 @@ def near_links(prints: DataFrame, hot_homes: int = HOT_HOMES) -> DataFrame:
     return dealt.mapInArrow(_compared, "a bigint, b bigint")
 
 
+def _components(docs: DataFrame, *order: str) -> DataFrame:
+    """(print, first): for each distinct fingerprint of `docs`, the least of `order` in its whole component."""
+    prints = stable(docs.groupBy("print").agg(F.min(F.struct(*order)).alias("least")))
+    stars = connected_components(near_links(prints.select("print")))
+    roots = prints.join(stars.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    least = roots.groupBy("root").agg(F.min("least").alias("first"))
+    return roots.select("print", "root").join(least, "root").select("print", "first")
+
+
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `df`: doc_id, fingerprint (16 hex digits) and component_id.
 
@@ -218,10 +227,27 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gives an empty result; other columns of `df` are ignored.
     """
     docs = stable(df.select(F.col(id_col).alias("doc_id"), simhash64(F.col(text_col).cast("string")).alias("print")))
-    prints = stable(docs.groupBy("print").agg(F.min("doc_id").alias("least")))
-    stars = connected_components(near_links(prints.select("print")))
-    roots = prints.join(stars.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.select("print", "root").join(least, "root").select("print", "component_id")
+    named = _components(docs.select("print", F.col("doc_id").isNull().alias("no_id"), "doc_id"), "no_id", "doc_id")
     out = docs.join(named, "print")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component of near duplicates, the row with the smallest id, whole; a row without id only if none has one.
+
+    Of rows that share that id the one with the smallest digest of all columns stays, and of rows alike in all columns
+    one. Rows are judged by fingerprint, id and digest; whole rows move once, to meet the keys of those that stay.
+    """
+    columns = df.columns
+    digest, no_id = F.xxhash64(*[F.col(c) for c in columns]), F.col(id_col).isNull()
+    docs = stable(df.select(simhash64(F.col(text_col).cast("string")).alias("print"), no_id.alias("_no_id"), F.col(id_col).alias("_id"), digest.alias("_digest")))
+    named = _components(docs, "_no_id", "_id", "_digest")
+    keys = stable(named.select("first.*").distinct())
+    whole = df.withColumn("_digest", digest)
+    kept = lambda wanted: whole.alias("d").join(wanted.alias("k"), [F.col("d._digest") == F.col("k._digest"), F.col(f"d.{id_col}").eqNullSafe(F.col("k._id"))], "left_semi").select(columns)
+    repeated = stable(docs.groupBy("_no_id", "_id", "_digest").agg(F.count("*").alias("n")).where("n > 1").select("_id", "_digest"))
+    if repeated.isEmpty():
+        return kept(keys)
+    again = stable(keys.join(repeated.withColumnRenamed("_id", "_again").withColumnRenamed("_digest", "_also"), (F.col("_digest") == F.col("_also")) & F.col("_id").eqNullSafe(F.col("_again")), "left_semi"))
+    once = keys.subtract(again)
+    return kept(once).unionByName(kept(again).distinct())
