@@ -61,27 +61,25 @@ def inspect(df: DataFrame, rules: RuleSet, text_col: str = "text", source_labels
     document without text because of an error is ESCALATE, or ALLOW where the format is just not supported (the error
     then starts with "unsupported"). A null text counts as empty.
     """
-    given = df.columns
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df = df.withColumn("_text", text)
+    given, none = df.columns, F.array().cast(f"array<{LABEL}>")
+    flag = lambda name: F.coalesce(F.col(name), F.lit(False)) if name else F.lit(False)
+    df = df.select(  # what was given is out of the way of names that are used here
+        F.struct(*given).alias("_row"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"),
+        (F.coalesce(F.col(source_labels), none) if source_labels else none).alias("_meta"),
+        (flag(partial) | flag(truncated)).alias("_in_part"),
+        (F.col(error) if error else F.lit(None).cast("string")).alias("_error"),
+    )
     df = with_findings(df, rules, "_text")
     df = _short_circuited(df, rules) if rules.early_exit.enabled else df.withColumn("short_circuited", F.lit(False))
     df = with_profiles(df, rules)
-    meta = F.coalesce(F.col(source_labels), F.array().cast(f"array<{LABEL}>")) if source_labels else F.array().cast(f"array<{LABEL}>")
-    df = df.withColumns({"_meta": meta, "_body": body_labels(F.col("_text"), rules), "_detectors": fired_detectors(df.sparkSession.sparkContext.applicationId, rules)})
+    df = df.withColumns({"_body": body_labels(F.col("_text"), rules), "_detectors": fired_detectors(df.sparkSession.sparkContext.applicationId, rules)})
     severity = F.coalesce(F.array_max(F.transform("profiles", lambda p: p["severity"])), F.lit(0))
     severity = F.greatest(severity, F.when(F.size("_body") > 0, 1).otherwise(0), F.when(F.size("_meta") > 0, 2).otherwise(0))
-    seen_in_part = F.lit(False)
-    for name in (partial, truncated):
-        if name:
-            seen_in_part = seen_in_part | F.coalesce(F.col(name), F.lit(False))
-    uncovered = seen_in_part & (severity == 0)
-    severity = F.when(uncovered, 1).otherwise(severity)
-    note = F.when(uncovered, COVERAGE_NOTE)
-    if error:
-        wrong = F.col(error).isNotNull()
-        without = F.when(F.size("_meta") > 0, 2).when(F.col(error).startswith("unsupported"), 0).otherwise(1)
-        severity, note = F.when(wrong, without).otherwise(severity), F.coalesce(F.col(error), note)
+    uncovered = F.col("_in_part") & (severity == 0)
+    without = F.when(F.size("_meta") > 0, 2).when(F.startswith("_error", F.lit("unsupported")), 0).otherwise(1)
+    severity = F.when(F.col("_error").isNotNull(), without).when(uncovered, 1).otherwise(severity)
+    note = F.coalesce("_error", F.when(uncovered, COVERAGE_NOTE))
     new = {
         "verdict": verdict_name(severity),
         "bytes_seen": F.octet_length("_text").cast("bigint"),
@@ -92,7 +90,7 @@ def inspect(df: DataFrame, rules: RuleSet, text_col: str = "text", source_labels
     df = df.withColumns(new)
     kept = [c for c in given if c not in ("profiles", "short_circuited", *new)]
     profiles = F.transform("profiles", lambda p: p.dropFields("severity")).alias("profiles")
-    return df.select(*kept, "verdict", "bytes_seen", profiles, "labels", "detectors", "short_circuited", "note")
+    return df.select(*[F.col(f"_row.{c}") for c in kept], "verdict", "bytes_seen", profiles, "labels", "detectors", "short_circuited", "note")
 
 
 def profiles_long(df: DataFrame, rules: RuleSet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
