@@ -27,6 +27,14 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores behind it until no column of `df` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def uniform(*columns, seed: int = 7):
     """A number in [0, 1) that depends on the values of `columns` alone: the same row draws the same number anywhere."""
     bits = F.xxhash64(*columns, F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import stable
+from .base import stable, unused
 from .components import connected_components
 
 THRESHOLD = 4
@@ -243,8 +243,9 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     docs = stable(df.select(simhash64(F.col(text_col).cast("string")).alias("print"), no_id.alias("_no_id"), F.col(id_col).alias("_id"), digest.alias("_digest")))
     named = _components(docs, "_no_id", "_id", "_digest")
     keys = stable(named.select("first.*").distinct())
-    whole = df.withColumn("_digest", digest)
-    kept = lambda wanted: whole.alias("d").join(wanted.alias("k"), [F.col("d._digest") == F.col("k._digest"), F.col(f"d.{id_col}").eqNullSafe(F.col("k._id"))], "left_semi").select(columns)
+    own = unused(df, "_digest")
+    whole = df.withColumn(own, digest)
+    kept = lambda wanted: whole.alias("d").join(wanted.alias("k"), [F.col(f"d.{own}") == F.col("k._digest"), F.col(f"d.{id_col}").eqNullSafe(F.col("k._id"))], "left_semi").select(columns)
     repeated = stable(docs.groupBy("_no_id", "_id", "_digest").agg(F.count("*").alias("n")).where("n > 1").select("_id", "_digest"))
     if repeated.isEmpty():
         return kept(keys)

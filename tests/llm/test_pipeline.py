@@ -83,3 +83,16 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert cp.run(spark, str(tmp_path)).collect() == []
 
+
+
+def test_extra_columns_with_clashing_names(spark, tmp_path):
+    rows, _ = small_corpus(tmp_path, spark)
+    frame = spark.createDataFrame([(*r, f"a{i}", i, "x", 0) for i, r in enumerate(rows)], SCHEMA + ", _answer string, _digest int, print string, ids int")
+    kept = cp.language_id(spark, frame, str(tmp_path))
+    once = one_of_each(kept)
+    assert kept.columns == once.columns == frame.columns
+    given = set(map(tuple, frame.collect()))
+    assert set(map(tuple, once.collect())) < set(map(tuple, kept.collect())) < given
+    secret = cp.secret_scan(spark, cp.decontamination(spark, once, str(tmp_path)), str(tmp_path))
+    assert secret.columns == frame.columns
+    assert cp.byte_bpe(spark, secret, str(tmp_path)).where("not round_trip").count() == 0
