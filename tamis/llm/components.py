@@ -16,8 +16,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     """From links (a, b) to (node, root): every linked node but the roots, with the smallest node of its component.
 
     Each round ties every node to the least of its neighbours, first from its larger and then from its smaller ones
-    (Kiveris et al., "Connected Components in MapReduce and Beyond"). A hub's links are joined, not gathered, so that
-    skewed joins can split them. Links of a node to itself and null ends are ignored.
+    (Kiveris et al., "Connected Components in MapReduce and Beyond"). A hub's links are joined, never gathered into a
+    list. Links of a node to itself and null ends are ignored.
     """
     ends = F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")
     now = stable(links.where("a <> b").select(*ends).distinct())
