@@ -4,7 +4,9 @@ family."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -26,6 +28,12 @@ BYTES_AT_ONCE = 1 << 20
 UNDETERMINED = "und"
 #: How steeply a margin turns into a probability.
 STEEPNESS = 3.0
+#: Familiarity: folds of the sample, a floor under the shares of grams, bytes below which a text tells little, the share
+#: of the labelled sample that the limit must let pass, the room above that, and the least limit, in bits a gram.
+FOLDS = 4
+FLOOR = 0.01
+FEW_BYTES = 50
+LET_PASS, ROOM, LEAST_LIMIT = 0.999, 1.25, 1.0
 #: Families by ISO 639-1 code, after common linguistic classification; a code that is not listed is a family of its own.
 FAMILIES = {
     "germanic": "af da de en fy is lb nb nl nn no sv yi",
@@ -112,6 +120,12 @@ def fit_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The counts behind the sampling rates cover all such rows. None if there are no such rows.
     """
+    got = _learnt(df, features, id_col, text_col, lang_col, train_rows)
+    return LanguageModel.fit(got[0], got[2]) if got else None
+
+
+def _learnt(df: DataFrame, of: Callable[[str], np.ndarray], id_col: str, text_col: str, lang_col: str, train_rows: int) -> tuple[np.ndarray, np.ndarray, list[str]] | None:
+    """Of the sample, in an order of its own: features, a checksum of them, and languages."""
     rows = df.where(~held_out(F.col(id_col)) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -124,15 +138,84 @@ def fit_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t).astype(np.float16).tobytes() for t in batch.column(1).to_pylist()]
+            rows = [of(t).astype(np.float16).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], ["id", "x", "lang"])
 
     got = sample.mapInArrow(extract, T.StructType([sample.schema["id"], T.StructField("x", T.BinaryType()), T.StructField("lang", T.StringType())])).toArrow()
     rows = sorted(zip(got["lang"].to_pylist(), got["x"].to_pylist(), strict=True))
     if not rows:
         return None
-    x = np.frombuffer(b"".join(r[1] for r in rows), np.float16).reshape(-1, WIDTH).astype(np.float32)
-    return LanguageModel.fit(x, [r[0] for r in rows])
+    x = np.frombuffer(b"".join(r[1] for r in rows), np.float16).reshape(len(rows), -1).astype(np.float32)
+    return x, np.array([zlib.crc32(r[1]) for r in rows]), [r[0] for r in rows]
+
+
+def prose_features(text: str) -> np.ndarray:
+    """Features of the words alone, those without digits if there are any, and last the root of their bytes, by 100."""
+    import regex
+
+    words = regex.findall(r"(?<![\p{L}\p{M}\p{N}_])[\p{L}\p{M}]+(?![\p{L}\p{M}\p{N}_])", text) or regex.findall(r"[\p{L}\p{M}]+", text)
+    prose = " ".join(words)
+    return np.append(features(prose), np.float32(len(prose.encode("utf-8", "replace")) ** 0.5 / 100))
+
+
+@dataclass
+class Familiarity:
+    """How many bits a gram of a text's words costs under the shares of grams of one language, against what texts of that
+    language cost that were not learnt from. Only the language itself counts, so it does not matter how many there are."""
+
+    bits: dict[str, np.ndarray]
+    usual: dict[str, float]
+    limit: float
+
+    @classmethod
+    def fit(cls, x: np.ndarray, marks: np.ndarray, langs: list[str]) -> Familiarity:
+        """The limit comes from out-of-fold costs; texts with the same mark are in one fold."""
+        langs, folds = np.array(langs, dtype=object), marks % FOLDS
+        bits, usual, excess = {}, {}, [np.zeros(0)]
+        for lang in sorted(set(langs)):
+            mine = langs == lang
+            sums = np.stack([(x[mine & (folds == f), :-1] ** 2).sum(axis=0, dtype=np.float64) for f in range(FOLDS)])
+            bits[lang] = cls._bits(sums.sum(axis=0))
+            held = [(x[mine & (folds == f)], cls._bits(sums.sum(axis=0) - sums[f])) for f in range(FOLDS) if mine[folds != f].any()]
+            held = [(rows[rows[:, -1] > 0], b) for rows, b in held] if held else []
+            costs = [rows[:, :-1] ** 2 @ b for rows, b in held]
+            apart = np.concatenate(costs) if costs else np.zeros(0)
+            usual[lang] = float(np.median(apart)) if len(apart) else float(np.median(x[mine, :-1] ** 2 @ bits[lang]))
+            excess += [(c - usual[lang]) / cls._slack(rows[:, -1]) for c, (rows, _) in zip(costs, held, strict=True)]
+        excess = np.concatenate(excess)
+        return cls(bits, usual, max(LEAST_LIMIT, ROOM * float(np.quantile(excess, LET_PASS))) if len(excess) else math.inf)
+
+    @staticmethod
+    def _bits(shares: np.ndarray) -> np.ndarray:
+        return -np.log2((1 - FLOOR) * shares / max(shares.sum(), 1e-12) + FLOOR / len(shares))
+
+    @staticmethod
+    def _slack(root: np.ndarray) -> np.ndarray:
+        """Short texts stray further, as the root of their length."""
+        return 1 + FEW_BYTES**0.5 / (100 * root)
+
+    def strangeness(self, x: np.ndarray, lang: str) -> float:
+        """Above 1 for what lies beyond the limit of `lang`."""
+        if x[-1] <= 0:
+            return 0.0
+        return float((x[:-1].astype(np.float64) ** 2 @ self.bits[lang] - self.usual[lang]) / self._slack(x[-1]) / self.limit)
+
+
+def fit_familiarity(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Familiarity | None:
+    """Fitted on the sample that `fit_languages` draws."""
+    got = _learnt(df, prose_features, id_col, text_col, lang_col, train_rows)
+    return Familiarity.fit(*got) if got else None
+
+
+def strangeness(text: Column, lang: Column, familiar: Familiarity | None, df: DataFrame) -> Column:
+    """How far a text is from those of `lang`, a language that was learnt; above 1 for what is not taken for it. Null without either."""
+    held = df.sparkSession.sparkContext.broadcast(familiar)  # one vector of WIDTH numbers for each language
+
+    def measure(texts: pd.Series, langs: pd.Series) -> pd.Series:
+        known = held.value.bits if held.value else {}
+        return pd.Series([held.value.strangeness(prose_features(t), g) if t is not None and g in known else None for t, g in zip(texts, langs, strict=True)], dtype="float64")
+
+    return F.pandas_udf(measure, T.DoubleType())(text, lang)
 
 
 _ANSWER = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

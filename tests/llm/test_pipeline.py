@@ -8,6 +8,7 @@ import sys
 sys.path.insert(0, os.path.dirname(__file__))
 
 import corpus_pipeline as cp  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 from test_bpe import LIBRARY
 from test_simhash import plain_print, roots_of
 
@@ -96,3 +97,22 @@ def test_extra_columns_with_clashing_names(spark, tmp_path):
     secret = cp.secret_scan(spark, cp.decontamination(spark, once, str(tmp_path)), str(tmp_path))
     assert secret.columns == frame.columns
     assert cp.byte_bpe(spark, secret, str(tmp_path)).where("not round_trip").count() == 0
+
+
+def test_language_stage_rejects_what_was_not_learnt(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    rng = random.Random(31)
+    gibberish = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(80))
+    polish = "Następnego ranka stary rybak wypłynął łodzią na wyspę, gdzie czekali na niego przyjaciele, aby świętować urodziny jego córki."
+    finnish = "Seuraavana aamuna vanha kalastaja lähti veneellään saarelle, jossa ystävät odottivat häntä juhlimaan hänen tyttärensä syntymäpäivää."
+    russian = "На следующее утро старый рыбак вышел на лодке к острову, где его ждали друзья, чтобы отпраздновать день рождения дочери."
+    strange = [(-i, t, None, "s", len(t)) for i, t in enumerate((gibberish, polish, finnish, russian), 1)]
+    short = [(-10, "The house and the water.", None, "s", 24), (-11, "Der und die das.", None, "s", 16)]
+    got = {r[0] for r in cp.language_id(spark, docs.union(spark.createDataFrame(strange + short, docs.schema)), "").select("doc_id").collect()}
+    assert not got & {-1, -2, -3, -4} and {-10, -11} <= got
+    few = docs.where("lang = 'en'").union(spark.createDataFrame(strange + short[:1], docs.schema))  # one language, so a score of 1
+    one = {r[0] for r in cp.language_id(spark, few, "").select("doc_id").collect()}
+    assert not one & {-1, -2, -3, -4} and -10 in one
+    clean = docs.where("text not rlike '[0-9#$%&*|!]'")
+    assert clean.where(~F.col("doc_id").isin(list(got))).count() == 0
+    assert len(got) >= 0.995 * docs.count()
