@@ -6,25 +6,24 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import labelled_sample, uniform
+from .base import labelled_sample, stable
 from .linear import fit_logistic, scores, sigmoid
 
-#: Labelled rows of each class, and unlabelled rows, that the views are fitted on (in expectation).
+#: Labelled rows of each class that the views are fitted on (in expectation).
 TRAIN_PER_CLASS = 3000
-POOL_ROWS = 4000
-#: Rounds, the share of the pool that a view hands over in each for each class, and how sure it must be.
+#: Rounds, the unlabelled texts that a view hands over in each for each class, and how sure it must be of them.
 ROUNDS = 4
-SHARE = 0.05
+HANDED_OVER = 200
 SURE = 0.9
 #: One labelled row in so many is kept for calibration; rows scoring less than THRESHOLD are not kept.
 CALIBRATION = 4
@@ -94,6 +93,10 @@ def metadata(df: DataFrame, columns: tuple[str, ...], length_col: str | None) ->
     return F.array(*values).cast("array<string>")
 
 
+#: From both views and the marks of the texts that each has got: (view, label, marks, features of both views), once for each view and label.
+Surest = Callable[[list[np.ndarray], list[set[int]]], list[tuple[int, int, list[int], list[np.ndarray]]]]
+
+
 @dataclass
 class QualityModel:
     """Two views with their calibrations (slope, bias), and how the calibrated views combine."""
@@ -104,12 +107,13 @@ class QualityModel:
     given: list[int]
 
     @classmethod
-    def fit(cls, xs: list[np.ndarray], y: np.ndarray, apart: np.ndarray, pools: list[np.ndarray], weight: np.ndarray) -> QualityModel:
-        """`xs` and `pools` hold the features of both views; rows marked `apart` only calibrate."""
+    def fit(cls, xs: list[np.ndarray], y: np.ndarray, apart: np.ndarray, surest: Surest, weight: np.ndarray) -> QualityModel:
+        """`xs` holds the features of both views; rows marked `apart` only calibrate. `surest` finds, for both views, the
+        unlabelled texts that they are surest of and that the other has not got."""
         train = ~apart
         add_x: list[list[np.ndarray]] = [[], []]
         add_y: list[list[np.ndarray]] = [[], []]
-        free = [np.ones(len(pools[0]), bool), np.ones(len(pools[0]), bool)]
+        taken: list[set[int]] = [set(), set()]
         views: list[np.ndarray] = []
         given = [0, 0]
         for turn in range(ROUNDS + 1):
@@ -121,17 +125,12 @@ class QualityModel:
                 views.append(fit_logistic(x, target, w))
             if turn == ROUNDS:
                 break
-            for v in (0, 1):
+            for v, label, marks, found in surest(views, taken):
                 other = 1 - v
-                p = sigmoid(scores(pools[v], views[v]))
-                most = max(1, int(SHARE * len(p)))
-                for label, sure in ((1.0, p), (0.0, 1 - p)):
-                    best = np.argsort(-np.where(free[other], sure, -1), kind="stable")[:most]
-                    best = best[(sure[best] >= SURE) & free[other][best]]
-                    add_x[other].append(pools[other][best])
-                    add_y[other].append(np.full(len(best), label))
-                    free[other][best] = False
-                    given[other] += len(best)
+                add_x[other].append(found[other])
+                add_y[other].append(np.full(len(marks), float(label)))
+                taken[other].update(marks)
+                given[other] += len(marks)
         held = apart if apart.any() and len(np.unique(y[apart])) == 2 else np.ones(len(y), bool)
         calibrations, logits = [], []
         for v in (0, 1):
@@ -169,8 +168,82 @@ def _views(got: pa.Table) -> list[np.ndarray]:
     return [a, b]
 
 
+def _unlabelled(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Features of both views of all rows without a label, kept for the rounds: mark of the text, source group, a, b."""
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, metas, marks = (batch.column(i) for i in range(4))
+            a = [text_features(t).astype(np.float16).tobytes() for t in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays([ids, marks, pa.array(a, pa.binary()), metas], ["id", "h", "a", "meta"])
+
+    kinds = T.StructType([rows.schema["id"], T.StructField("h", T.LongType()), T.StructField("a", T.BinaryType()), T.StructField("meta", T.ArrayType(T.StringType()))])
+    # the labels go with the rows that have them; only the rest is turned into features
+    alone = rows.join(known.select("id").distinct(), "id", "left_anti").select("id", "text", "meta", "h")
+    return stable(alone.mapInArrow(extract, kinds).select("h", "a", "meta"))
+
+
+def _surest(pool: DataFrame) -> Surest:
+    """Over all rows of `pool`. A task keeps, of each view, label and group (the first metadata column), the distinct texts
+    that it is surest of; their union holds those of the whole corpus, of which the groups get equal parts."""
+    groups = pool.agg(F.approx_count_distinct(F.coalesce(F.col("meta")[0], F.lit("")), 0.01)).first()[0]
+    most = max(1, -(-HANDED_OVER // max(1, groups)))
+
+    def surest(views: list[np.ndarray], taken: list[set[int]]) -> list[tuple[int, int, list[int], list[np.ndarray]]]:
+        held = pool.sparkSession.sparkContext.broadcast((views, taken))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            views, taken = held.value
+            best: dict[tuple[int, int, str], dict[int, tuple[float, bytes, list[str]]]] = {}
+            floor: dict[tuple[int, int, str], float] = {}
+            for batch in batches:
+                marks, raw, metas = (batch.column(i).to_pylist() for i in range(3))
+                if not marks:
+                    continue
+                xs = [np.frombuffer(b"".join(raw), np.float16).reshape(len(raw), -1).astype(np.float32), np.stack([metadata_features(m) for m in metas])]
+                for v in (0, 1):
+                    p = sigmoid(scores(xs[v], views[v]))
+                    for label, sure in ((1, p), (0, 1 - p)):
+                        for i in np.flatnonzero(sure >= SURE):
+                            key = (v, label, metas[i][0] if metas[i] else "")
+                            h, s = marks[i], float(sure[i])
+                            if h in taken[1 - v] or s < floor.get(key, 0):
+                                continue
+                            mine = best.setdefault(key, {})
+                            if h not in mine or (-s, metas[i]) < (-mine[h][0], mine[h][2]):
+                                mine[h] = (s, raw[i], metas[i])
+                            if len(mine) > 2 * most:
+                                keep = sorted(mine, key=lambda h: (-mine[h][0], h))[:most]
+                                best[key] = {h: mine[h] for h in keep}
+                                floor[key] = mine[keep[-1]][0]
+            out = [(v, y, g, h, *mine[h]) for (v, y, g), mine in best.items() for h in sorted(mine, key=lambda h: (-mine[h][0], h))[:most]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.string())), strict=True)], ["v", "y", "g", "h", "sure", "a", "meta"])
+
+        found = pool.mapInArrow(search, "v int, y int, g string, h bigint, sure double, a binary, meta array<string>")
+        once = Window.partitionBy("v", "y", "h").orderBy(F.desc("sure"), "meta")
+        ranked = Window.partitionBy("v", "y", "g").orderBy(F.desc("sure"), "h")
+        found = found.withColumn("n", F.row_number().over(once)).where("n = 1").withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= most)
+        found = stable(found)
+        # the groups' firsts come before their seconds, so many groups do not make more rows
+        pairs, out = [(v, y) for v in (0, 1) for y in (1, 0)], []
+        parts = [found.where((F.col("v") == v) & (F.col("y") == y)).orderBy("n", F.desc("sure"), "h").limit(HANDED_OVER) for v, y in pairs]
+        table = [r for part in parts for r in part.collect()]
+        chosen: list[set[int]] = [set(), set()]
+        for v, y in pairs:
+            rows = sorted((r for r in table if r["v"] == v and r["y"] == y and r["h"] not in chosen[v]), key=lambda r: r["h"])
+            chosen[v].update(r["h"] for r in rows)
+            if rows:
+                a = np.frombuffer(b"".join(bytes(r["a"]) for r in rows), np.float16).reshape(len(rows), -1).astype(np.float32)
+                out.append((v, y, [r["h"] for r in rows], [a, np.stack([metadata_features(r["meta"]) for r in rows])]))
+        return out
+
+    return surest
+
+
 def fit_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", meta_cols: tuple[str, ...] = _META_COLUMNS, length_col: str = "n_chars") -> QualityModel | None:
-    """Fitted on labelled rows and a pool of unlabelled ones, both drawn by a hash of the id at rates from all rows.
+    """Fitted on labelled rows, drawn by a hash of the id at rates from all rows, and on all unlabelled rows: in each round
+    both views score every one of them.
 
     Of equal texts one counts. Null labels and ids are passed over; without labels of both classes there is no model.
     """
@@ -186,13 +259,10 @@ def fit_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     y = np.array(got["y"].to_pylist(), np.float64)
     if len(np.unique(y)) < 2:
         return None
-    rate = POOL_ROWS / max(1, rows.count() - sum(totals.values()), POOL_ROWS)
-    pool = rows.where(uniform("id", seed=5) < rate).join(known.select("id"), "id", "left_anti")
-    pool = pool.groupBy("h").agg(F.min("text").alias("text"), F.min("meta").alias("meta")).orderBy("h").limit(2 * POOL_ROWS)
-    pools = _views(_extracted(pool.withColumn("y", F.lit(0))))
+    pool = _unlabelled(rows, known)
     share = np.array([totals[k] / max(1, (y == k).sum()) for k in (0, 1)])  # as many as there are, though drawn alike
     apart = np.array(got["h"].to_pylist()) % CALIBRATION == 0
-    return QualityModel.fit(_views(got), y, apart, pools, share[y.astype(int)])
+    return QualityModel.fit(_views(got), y, apart, _surest(pool), share[y.astype(int)])
 
 
 def quality(df: DataFrame, model: QualityModel | None, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = _META_COLUMNS, length_col: str = "n_chars", threshold: float = THRESHOLD) -> DataFrame:

@@ -62,3 +62,33 @@ def test_rows_that_were_not_learnt_from(spark):
 @pytest.mark.parametrize("size", ["0.001"])
 def test_query(spark, size):
     assert op10_quality(spark, f"/root/testdata/sf{size}").where(F.col("quality").isNull()).count() == 0
+
+
+def test_surest_rows_of_all_come_from_each_source(spark):
+    docs, labels = data()
+    hot = [(i, "River stone water house field light. " * 3 + str(i % 900), "en", "hot.org", 99, 1) for i in range(10_000, 19_000)]
+    rare = [(20_000, "River stone water house, field and light. " * 3, "en", "rare.net", 99, 1)]
+    frame, marks = spark.createDataFrame(docs + hot + rare, DOCS), spark.createDataFrame(labels, LABELS)
+    meta = q.metadata_features(["source=rare.net"])
+    assert abs(q.fit_quality(frame, marks).views[1][:-1] @ meta) > 1e-4  # no label says anything about this source
+
+
+def test_surest_rows_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(q, "HANDED_OVER", 6)
+    import random as r
+
+    rng = r.Random(5)
+    rows = [(i % 70, q.text_features(f"{i % 70} " + "word " * rng.randint(1, 40)).astype("float16").tobytes(), [f"source=s{i % 3}"]) for i in range(300)]
+    pool = spark.createDataFrame(rows, "h bigint, a binary, meta array<string>").repartition(5)
+    views = [np.random.default_rng(1).normal(size=q.SHAPES + q.TEXT_WIDTH + 1) * 4, np.random.default_rng(2).normal(size=q.META_WIDTH + 1)]
+    taken = [{1, 2, 3}, set(range(0, 70, 7))]
+    got = {(v, y): set(h) for v, y, h, _ in q._surest(pool)(views, taken)}
+    for y in (0, 1):
+        best = {}
+        for h, a, meta in rows:
+            p = float(q.sigmoid(q.scores(np.frombuffer(a, np.float16).astype(np.float32), views[0])))
+            s = p if y else 1 - p
+            if s >= q.SURE and h not in taken[1]:
+                best[h] = min(best.get(h, (0, meta)), (-s, meta))
+        want = {h for g in range(3) for h in sorted((h for h in best if best[h][1] == [f"source=s{g}"]), key=lambda h: (best[h][0], h))[:2]}
+        assert got.get((0, y), set()) == want
