@@ -3,13 +3,20 @@
 In every task an in-process DuckDB holds the table of merges. The distinct words of a batch become rows (word, position,
 token), one for each byte. Each row knows the token after its own; one turn of the recursion joins these pairs
 with the merges and contracts each word's leftmost pair of least rank, until no pair is left. Words seen before are
-looked up.
+looked up, and so are words that are one token.
+
+The rows of that recursion grow with the square of a word's bytes, so words are first cut where no token can reach
+across (two bytes that stand side by side in no token), and what is still longer than PIECE bytes is read in overlapping
+windows of that size. Two neighbouring windows are joined at a place where both begin the same token: that token stands
+behind its left neighbour in one valid encoding and before its right one in the other, and a sequence of tokens is the
+encoding of its bytes if each two neighbours are the encoding of theirs. Where windows do not agree (long periodic runs),
+the piece goes through a recursion that is keyed by word and position, which keeps the present state only and contracts
+all of a word's pairs of least rank in one turn.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import itertools
 import uuid
 from collections.abc import Iterable, Iterator
@@ -22,10 +29,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: A longer word (in bytes) is merged with a heap: a turn contracts one pair, so its rows would grow with the square.
-LONG_WORD = 128
-#: Words encoded by one query, words kept for later batches, and bytes of text (or four for a token) taken at once.
+#: Bytes of a piece, and from one window of a longer one to the next.
+PIECE, STRIDE = 128, 64
+#: Of one query: words, the sum of the squares of their bytes (its rows are half of that at most), and bytes if keyed.
 WORDS_AT_ONCE = 20_000
+SQUARES_AT_ONCE = 6_000_000
+KEYED_BYTES = 1 << 16
+#: Words kept for later batches, and bytes of text (or four for a token) taken at once.
 WORDS_KEPT = 250_000
 BYTES_AT_ONCE = 1 << 20
 
@@ -54,6 +64,46 @@ _MERGE = """
     FROM work JOIN (SELECT word, max(turn) AS turn FROM work GROUP BY word) USING (word, turn)
     ORDER BY word, pos
 """
+_MERGE_KEYED = """
+    WITH RECURSIVE work(word, pos, token, next, rank) USING KEY (word, pos) AS (
+        SELECT word, pos, token, pos + 1, merged
+        FROM (SELECT *, lead(token) OVER (PARTITION BY word ORDER BY pos) AS after FROM bytes_of_words)
+        LEFT JOIN merges ON token::BIGINT << 32 | after = both_tokens
+        UNION
+        (
+            WITH best AS (
+                SELECT word, min(rank) AS rank FROM recurring.work GROUP BY word HAVING min(rank) IS NOT NULL
+            ),
+            pairs AS (
+                SELECT word, pos, next, rank, CASE WHEN pos = lag(next) OVER (PARTITION BY word ORDER BY pos) THEN NULL ELSE pos END AS opens
+                FROM recurring.work JOIN best USING (word, rank)
+            ),
+            runs AS (
+                SELECT *, max(opens) OVER (PARTITION BY word ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM pairs
+            ),
+            placed AS (
+                SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY pos) AS place FROM runs
+            ),
+            chosen AS (
+                SELECT p.word, p.pos, p.rank AS token, p.next AS gone, w.next AS beyond
+                FROM placed p JOIN recurring.work w ON w.word = p.word AND w.pos = p.next WHERE place % 2 = 1
+            ),
+            touched AS (
+                SELECT c.word, c.pos, c.token, c.beyond AS next, coalesce(d.token, w.token) AS after
+                FROM chosen c LEFT JOIN recurring.work w ON w.word = c.word AND w.pos = c.beyond
+                LEFT JOIN chosen d ON d.word = c.word AND d.pos = c.beyond
+                UNION ALL
+                SELECT w.word, w.pos, w.token, w.next, c.token
+                FROM recurring.work w JOIN chosen c ON w.word = c.word AND w.next = c.pos
+                WHERE NOT EXISTS (SELECT 1 FROM chosen g WHERE g.word = w.word AND g.gone = w.pos)
+            )
+            SELECT word, pos, token, next, merged FROM touched LEFT JOIN merges ON token::BIGINT << 32 | after = both_tokens
+            UNION ALL
+            SELECT word, gone, -1, NULL, NULL FROM chosen
+        )
+    )
+    SELECT word, token FROM work WHERE token >= 0 ORDER BY word, pos
+"""
 _DECODE = """
     SELECT doc, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes, count(*) AS known
     FROM ids JOIN vocabulary USING (token) GROUP BY doc
@@ -95,6 +145,13 @@ class Engine:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, pairs.ranks.splitlines())}
         self.split = regex.compile(pairs.pattern)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        self.length = np.zeros(max(self.ranks.values(), default=0) + 1, np.int64)
+        self.inside = np.zeros((256, 256), bool)  # two bytes that stand side by side in some token
+        for t, r in self.ranks.items():
+            self.length[r] = len(t)
+            if len(t) > 1:
+                flat = np.frombuffer(t, np.uint8)
+                self.inside[flat[:-1], flat[1:]] = True
         splits = ((t[:i], t[i:], r) for t, r in self.ranks.items() for i in range(1, len(t)))
         merges = [(self.ranks[a], self.ranks[b], r) for a, b, r in splits if a in self.ranks and b in self.ranks]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
@@ -125,47 +182,94 @@ class Engine:
     def _learn(self, words: list[str]) -> None:
         """Encode words that have just got the next numbers."""
         raw = [w.encode("utf-8", "replace") for w in words]
-        whole = [self.ranks.get(b, -1) for b in raw]
-        long = {i: self._merged(b) for i, b in enumerate(raw) if whole[i] < 0 and len(b) > LONG_WORD}
-        word, token = [np.flatnonzero(np.array(whole) >= 0)], [np.array([r for r in whole if r >= 0], np.int64)]
-        for i, ids in long.items():
-            word.append(np.full(len(ids), i))
-            token.append(np.array(ids, np.int64))
-        short = [i for i in range(len(raw)) if whole[i] < 0 and i not in long]
-        if short:
-            flat = np.frombuffer(b"".join(raw[i] for i in short), np.uint8)
-            sizes = np.array([len(raw[i]) for i in short])
-            pos = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-            self.db.register("bytes_of_words", pa.table({"word": np.repeat(np.array(short, np.int32), sizes), "pos": pos, "token": self.byte[flat]}))
-            done = self.db.sql(_MERGE).to_arrow_table()
-            self.db.unregister("bytes_of_words")
-            word.append(done["word"].to_numpy())
-            token.append(done["token"].to_numpy())
-        word, token = np.concatenate(word), np.concatenate(token)
+        whole = np.array([self.ranks.get(b, -1) for b in raw])
+        rest = np.flatnonzero(whole < 0)
+        piece_word, pieces = self._cut([raw[i] for i in rest])
+        sizes, ids = self._encoded(pieces)
+        word = np.concatenate((np.flatnonzero(whole >= 0), np.repeat(rest[piece_word], sizes)))
+        token = np.concatenate((whole[whole >= 0], ids))
         order = np.argsort(word, kind="stable")
         self.sizes = np.concatenate((self.sizes, np.bincount(word, minlength=len(words))))
         self.ids = np.concatenate((self.ids, token[order].astype(np.int32)))
         self.uses = np.concatenate((self.uses, np.zeros(len(words), np.int64)))
 
-    def _merged(self, word: bytes) -> list[int]:
-        """The same contraction for one long word: a heap gives the leftmost pair of least rank."""
-        parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
-        after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
-        pair = lambda i: self.ranks.get(parts[i] + parts[after[i]]) if after[i] < len(word) else None
-        heap = [(r, i, 2) for i in range(len(word) - 1) if (r := pair(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, size = heapq.heappop(heap)
-            if parts[i] is None or after[i] >= len(word) or len(parts[i]) + len(parts[after[i]]) != size or pair(i) != rank:
-                continue
-            j = after[i]
-            parts[i], parts[j], after[i] = parts[i] + parts[j], None, after[j]
-            if after[i] < len(word):
-                before[after[i]] = i
-            for k in (before[i], i):
-                if k >= 0 and (r := pair(k)) is not None:
-                    heapq.heappush(heap, (r, k, len(parts[k]) + len(parts[after[k]])))
-        return [self.ranks[p] for p in parts if p is not None]
+    def _cut(self, raw: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        """Pieces that no token reaches across the ends of, and the number of the word that each belongs to."""
+        joined = b"".join(raw)
+        flat, ends = np.frombuffer(joined, np.uint8), np.cumsum([len(r) for r in raw], dtype=np.int64)
+        apart = np.flatnonzero(~self.inside[flat[:-1], flat[1:]]) + 1 if len(flat) else ends[:0]
+        edges = np.unique(np.concatenate(([0], ends, apart)))
+        bounds = edges.tolist()
+        return np.searchsorted(ends, edges[:-1], "right"), [joined[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many tokens each piece has, and all their ids."""
+        lengths = np.array([len(p) for p in pieces], np.int64)
+        if not (lengths > PIECE).any():
+            return self._batched(pieces, _MERGE)
+        counts = np.where(lengths > PIECE, -(-np.maximum(lengths - PIECE, 0) // STRIDE) + 1, 1)
+        owner = np.repeat(np.arange(len(pieces)), counts)
+        start = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * STRIDE
+        sizes, ids = self._batched([pieces[o][s : s + PIECE] for o, s in zip(owner.tolist(), start.tolist(), strict=True)], _MERGE)
+        window = np.repeat(np.arange(len(owner)), sizes)
+        ends = np.cumsum(self.length[ids])
+        before = np.concatenate(([0], ends))[np.cumsum(sizes) - sizes]
+        at = start[window] + ends - self.length[ids] - before[window]  # where in its piece a token begins
+        # a window is left, and the next one entered, at the first place where both begin the same token
+        order = np.lexsort((window, ids, at, owner[window]))
+        a, b = order[:-1], order[1:]
+        same = (window[b] == window[a] + 1) & (owner[window[a]] == owner[window[b]]) & (at[a] == at[b]) & (ids[a] == ids[b]) & (at[b] > start[window[a]])
+        far = np.iinfo(np.int64).max
+        leave = np.full(len(owner), far)
+        np.minimum.at(leave, window[a[same]], at[a[same]])
+        inner = np.concatenate((owner[1:] == owner[:-1], [False]))  # windows that another one follows
+        odd = np.unique(owner[inner & (leave == far)])
+        enter = np.where(np.concatenate(([False], inner[:-1])), np.concatenate(([0], leave[:-1])), 0)
+        leave[~inner] = far
+        keep = (at >= enter[window]) & (at < leave[window]) & ~np.isin(owner[window], odd)
+        piece, ids = owner[window[keep]], ids[keep]
+        for i in odd.tolist():
+            more = self._in_turn(pieces[i])
+            piece, ids = np.concatenate((piece, np.full(len(more), i))), np.concatenate((ids, more))
+        order = np.argsort(piece, kind="stable")
+        return np.bincount(piece, minlength=len(pieces)), ids[order]
+
+    def _in_turn(self, piece: bytes) -> np.ndarray:
+        """By the keyed recursion; a piece of more than KEYED_BYTES part by part, each from where a token of the one before
+        begins, and joined to it if it begins with that token."""
+        done, at = np.zeros(0, np.int64), 0
+        _, now = self._batched([piece[:KEYED_BYTES]], _MERGE_KEYED)
+        while at + KEYED_BYTES < len(piece):
+            begins = at + np.cumsum(self.length[now]) - self.length[now]
+            i = int(np.searchsorted(begins, at + KEYED_BYTES - KEYED_BYTES // 8))
+            while i > 0:
+                _, then = self._batched([piece[begins[i] : begins[i] + KEYED_BYTES]], _MERGE_KEYED)
+                if then[0] == now[i]:
+                    break
+                i -= 1
+            else:
+                raise ValueError("the ranks are not those of a byte-level BPE")
+            done, at, now = np.concatenate((done, now[:i])), int(begins[i]), then
+        return np.concatenate((done, now))
+
+    def _batched(self, pieces: list[bytes], query: str) -> tuple[np.ndarray, np.ndarray]:
+        """The recursion over pieces, in batches of bounded size."""
+        lengths = np.array([len(p) for p in pieces], np.int64)
+        sizes, ids, start = np.zeros(len(pieces), np.int64), [np.zeros(0, np.int64)], 0
+        squares = np.cumsum(lengths**2)
+        while start < len(pieces):
+            room = (squares[start - 1] if start else 0) + SQUARES_AT_ONCE
+            stop = min(max(start + 1, int(np.searchsorted(squares, room, "right"))), start + WORDS_AT_ONCE)
+            flat, n = np.frombuffer(b"".join(pieces[start:stop]), np.uint8), lengths[start:stop]
+            word = np.repeat(np.arange(start, stop, dtype=np.int32), n)
+            pos = (np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            self.db.register("bytes_of_words", pa.table({"word": word, "pos": pos, "token": self.byte[flat]}))
+            done = self.db.sql(query).to_arrow_table()
+            self.db.unregister("bytes_of_words")
+            sizes += np.bincount(done["word"].to_numpy(), minlength=len(pieces))
+            ids.append(done["token"].to_numpy().astype(np.int64))
+            start = stop
+        return sizes, np.concatenate(ids)
 
     def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Runs of texts: how many tokens each has, and all their ids."""

@@ -33,13 +33,34 @@ def test_against_the_library(spark, monkeypatch):
         assert bytes(r["bytes"]).decode() == (r["text"] or "")
 
 
-def test_heap_and_recursion_agree(monkeypatch):
-    words = [t for t in texts() if t]
-    whole = bpe.Engine(PAIRS)
-    monkeypatch.setattr(bpe, "LONG_WORD", 0)
-    heap = bpe.Engine(PAIRS)
-    for engine in (whole, heap):
-        assert [i for sizes, ids in engine.encode(pa.array(words)) for i in ids] == [i for t in words for i in LIBRARY.encode_ordinary(t)]
+def encode(engine, *words):
+    return [i for sizes, ids in engine.encode(pa.array(words)) for i in ids.tolist()]
+
+
+def test_windows_and_keyed_recursion(monkeypatch):
+    """Long words in overlapping windows; periodic ones, whose windows do not agree, by the keyed recursion in parts."""
+    rng, alphabet = random.Random(3), "thequickbrownfoxjumpsoverlazydog"
+    words = ["".join(rng.choices(alphabet, k=5000)), "x" + "=" * 3000, "zabc" * 900, "a" * 2049, "ACGT" * 10 + "".join(rng.choices("ACGT", k=3000)), "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(900)), "".join(chr(rng.randint(0xE01, 0xE3A)) for _ in range(900))]
+    wanted = [LIBRARY.encode_ordinary(w) for w in words]
+    for piece, stride, keyed in ((128, 64, 1 << 16), (64, 32, 700), (4, 2, 512)):
+        monkeypatch.setattr(bpe, "PIECE", piece)
+        monkeypatch.setattr(bpe, "STRIDE", stride)
+        monkeypatch.setattr(bpe, "KEYED_BYTES", keyed)
+        engine = bpe.Engine(PAIRS)
+        for word, want in zip(words, wanted, strict=True):
+            assert encode(engine, word) == want
+
+
+def test_memory_is_bounded():
+    """In an engine of 250 MB: runs of CJK, words of 127 bytes, and one word of a megabyte."""
+    rng = random.Random(5)
+    runs = "。".join("".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(40)) for _ in range(16_000))
+    assert encode(bpe.Engine(PAIRS), runs) == LIBRARY.encode_ordinary(runs)
+    words = " ".join("".join(rng.choices("etaoinshrdlu", k=127)) for _ in range(4_000))
+    assert encode(bpe.Engine(PAIRS), words) == LIBRARY.encode_ordinary(words)
+    word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1 << 20))
+    assert encode(bpe.Engine(PAIRS), word) == LIBRARY.encode_ordinary(word)
+    assert encode(bpe.Engine(PAIRS), "=" * (1 << 17)) == LIBRARY.encode_ordinary("=" * (1 << 17))
 
 
 def test_unknown_ids_and_empty_tables(spark):
