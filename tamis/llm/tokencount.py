@@ -63,13 +63,26 @@ _STATES = len(_NEXT)
 
 
 def _classes() -> np.ndarray:
-    """The class of every code point."""
-    kind = {"L": _LETTER, "N": _DIGIT}
-    out = np.array([kind.get(unicodedata.category(chr(i))[0], _OTHER) for i in range(0x110000)], np.int8)
+    """The class of every code point, by the Unicode version of the library's patterns: Python's own knows other letters."""
+    from tokenizers import Regex, pre_tokenizers
+
+    points = np.concatenate((np.arange(0xD800), np.arange(0xE000, 0x110000)))
+    every = "".join(map(chr, points.tolist()))
+    out = np.full(0x110000, _OTHER, np.int8)
+    for pattern, kind in ((r"[\p{L}]+", _LETTER), (r"[\p{N}]+", _DIGIT)):
+        inside = np.ones(len(points), bool)
+        for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed").pre_tokenize_str(every):
+            inside[a:b] = False
+        out[points[inside]] = kind
     out[[ord(c) for c in WHITE]] = _WHITE
     return out
 
 
+def _later() -> np.ndarray:
+    """Code points that Python's Unicode does not know; the library's may give them a lower case, an order or a composition."""
+    return np.array([unicodedata.category(chr(i)) == "Cn" for i in range(0x110000)])
+
+
 def _code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -247,7 +260,7 @@ class TokenCounter:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in x["model"]["merges"]]
         self.machine = PieceMachine(set(x["model"]["vocab"]) - set(special), merges, x["model"]["end_of_word_suffix"])
-        self.classes, self.pieces = _classes(), _Counts(self.machine)
+        self.classes, self.later, self.pieces = _classes(), _later(), _Counts(self.machine)
 
     def _normal(self, text: str) -> tuple[int, str]:
         """Special strings, each a token, and what is left: composed, in lower case letter by letter."""
@@ -255,6 +268,10 @@ class TokenCounter:
         if self.special is not None and "<" in text:
             text, n = self.special.subn(" ", text)
         if not text.isascii():
+            if self.later[_code_points(text)].any():
+                from tokenizers import normalizers
+
+                return n, normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return n, text.lower()
 

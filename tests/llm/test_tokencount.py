@@ -34,12 +34,23 @@ def test_against_the_library(monkeypatch):
     assert counter.counts(texts()) == [wanted(t) for t in texts()]
 
 
+def test_every_code_point():
+    """Of planes 0 to 3, and some beyond, where nothing is assigned but tags: each alone, three in a row, between letters, and before a mark, in texts of 256 words."""
+    points = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i <= 0xDFFF and (i < 0x32000 or i % 61 == 0)]
+    counter, texts = tc.TokenCounter(OURS), []
+    for i in range(0, len(points), 64):
+        block = points[i : i + 64]
+        texts.append(" ".join(form for c in block for form in (c, c * 3, f"a{c}b", f"{c}\u0897\u0301")))
+    want = [len(e.ids) for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    assert counter.counts(texts) == want
+
+
 @pytest.mark.parametrize("chunk", [1, 2, 5, 64])
 def test_lexer(monkeypatch, chunk):
     monkeypatch.setattr(tc, "CHUNK", chunk)
     classes, pattern = tc._classes(), regex.compile(tc.SPLIT)
     for text in filter(None, texts()):
-        if not set(text) & set("\x1c\x1d᠎"):
+        if not set(text) & set("\x1c\x1d᠎"):  # the module's white space differs
             starts, ends = tc.lex(tc._code_points(text), classes)
             assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == [m.span() for m in pattern.finditer(text)], text
     assert [len(x) for x in tc.lex(np.zeros(0, np.uint32), classes)] == [0, 0]
