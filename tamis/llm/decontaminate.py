@@ -1,10 +1,10 @@
 """Benchmark passages in documents, up to a budget of edits: exact pieces find them, bit-parallel distances verify them.
 
-An item of m characters is cut into the largest power of two of pieces that leaves PIECE characters to each; its budget
-is one edit less than its pieces, so some piece of every occurrence is untouched. All pieces are looked for at once. A
-hit is verified from the piece up: of the parts that join 2, 4, 8, ... neighbouring pieces, an occurrence within budget
-has a chain from an untouched piece to the whole in which each part of p pieces has at most p - 1 edits. A part that has
-more ends the chain, so a chance hit costs a comparison of two pieces.
+An item of m characters is cut into m // PIECE pieces; its budget is one edit less (about 8 % of a long item), so some
+piece of every occurrence is untouched. All pieces are looked for at once. A hit is verified from the piece up: the pieces
+are halved again and again, and of an occurrence within budget some untouched piece has, in every part of p pieces that
+holds it on the way, at most p - 1 edits. A part that has more ends the way up, so a chance hit costs a comparison of a few
+pieces. An item of one piece has no edits to spend and must stand between word boundaries.
 """
 
 import uuid
@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 #: Characters that a piece has at least.
 PIECE = 12
+#: An item of fewer characters (normalised) is not looked for; by default every item with a text is.
+LEAST_ITEM = 1
 #: Characters of items in one automaton; larger benchmarks are searched block by block.
 BLOCK_CHARS = 8 << 20
 
@@ -32,7 +34,7 @@ def normalised(text: str | None) -> str:
 
 def pieces_of(m: int) -> int:
     """How many pieces an item of `m` characters has; the budget is one less."""
-    return 1 << max(0, (m // PIECE).bit_length() - 1)
+    return max(1, m // PIECE)
 
 
 def least_distance(pattern: str, masks: dict[str, int], text: str, start: int, stop: int) -> tuple[int, int]:
@@ -63,11 +65,13 @@ def least_distance(pattern: str, masks: dict[str, int], text: str, start: int, s
 class PieceIndex:
     """The pieces of a block of items, with the parts that verify a hit."""
 
-    def __init__(self, items: list[Item]):
+    def __init__(self, items: list[Item], least: int = LEAST_ITEM):
         import ahocorasick
 
-        self.items = [(i, text) for i, t in items if (text := normalised(t))]
-        self.parts: dict[tuple[int, int, int], tuple[str, dict[str, int]]] = {}
+        self.items = [(i, text) for i, t in items if len(text := normalised(t)) >= max(1, least)]
+        self.parts: dict[tuple[int, int, int], tuple[str, dict[str, int], int]] = {}
+        self.alike: dict[str, int] = {}
+        self.ways: dict[tuple[int, int], list[tuple[int, int]]] = {}
         places: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text) in enumerate(self.items):
             count = pieces_of(len(text))
@@ -83,13 +87,26 @@ class PieceIndex:
         text = self.items[n][1]
         return leaf * len(text) // pieces_of(len(text))
 
-    def part(self, n: int, first: int, leaves: int) -> tuple[str, dict[str, int]]:
-        key = (n, first, leaves)
+    def parents(self, count: int, leaf: int) -> list[tuple[int, int]]:
+        """The parts that hold a piece when `count` pieces are halved again and again, the smallest first."""
+        key = (count, leaf)
+        if key not in self.ways:
+            low, high, way = 0, count, []
+            while high - low > 1:
+                way.append((low, high))
+                middle = (low + high) // 2
+                low, high = (low, middle) if leaf < middle else (middle, high)
+            self.ways[key] = way[::-1]
+        return self.ways[key]
+
+    def part(self, n: int, low: int, high: int) -> tuple[str, dict[str, int], int]:
+        """The text of some pieces, its bit masks, and a number that parts of the same text share."""
+        key = (n, low, high)
         if key not in self.parts:
-            pattern, masks = self.items[n][1][self.edge(n, first) : self.edge(n, first + leaves)], {}
+            pattern, masks = self.items[n][1][self.edge(n, low) : self.edge(n, high)], {}
             for i, c in enumerate(pattern):
                 masks[c] = masks.get(c, 0) | 1 << i
-            self.parts[key] = pattern, masks
+            self.parts[key] = pattern, masks, self.alike.setdefault(pattern, len(self.alike))
         return self.parts[key]
 
     def leaks(self, text: str) -> list[tuple[int, int, int]]:
@@ -98,20 +115,22 @@ class PieceIndex:
         if not self.items:
             return []
         seen = set()
+        known: dict[tuple[int, int, int], tuple[int, int]] = {}  # many items may share a part: it is verified once a place
         for end, (size, where) in self.automaton.iter(text):
             for n, leaf in where:
                 # where the item would start if nothing before the piece were edited
                 start = end + 1 - size - self.edge(n, leaf)
                 if (n, start) in seen:
                     continue
-                count, leaves, best = pieces_of(len(self.items[n][1])), 1, (0, end + 1)
-                while leaves < count:
-                    leaves *= 2
-                    first = leaf - leaf % leaves
-                    pattern, masks = self.part(n, first, leaves)
-                    at = start + self.edge(n, first)
-                    best = least_distance(pattern, masks, text, at - leaves + 1, at + len(pattern) + leaves - 1)
-                    if best[0] >= leaves:
+                count, best = pieces_of(len(self.items[n][1])), (0, end + 1)
+                if count == 1 and not _apart(text, start, end + 1):
+                    continue
+                for low, high in self.parents(count, leaf):
+                    pattern, masks, number = self.part(n, low, high)
+                    at, room = start + self.edge(n, low), high - low - 1
+                    if (best := known.get((number, at, room))) is None:
+                        best = known[number, at, room] = least_distance(pattern, masks, text, at - room, at + len(pattern) + room)
+                    if best[0] > room:
                         break
                 else:
                     seen.add((n, start))
@@ -120,14 +139,22 @@ class PieceIndex:
         return sorted((i, d, e) for i, (d, e) in found.items())
 
 
+def _apart(text: str, start: int, stop: int) -> bool:
+    """Whether text[start:stop] neither begins nor ends inside a word."""
+    inside = lambda i: 0 < i < len(text) and text[i - 1].isalnum() and text[i].isalnum()
+    return not inside(start) and not inside(stop)
+
+
 _BUILT: dict[str, PieceIndex] = {}
 
 
-def _index(key: str, items: Broadcast) -> PieceIndex:
-    """Built once for each Python worker; a worker keeps the last one only."""
+def _index(key: str, items: Broadcast, least: int) -> PieceIndex:
+    """Built once for each Python worker, for every block of a search; those of the search before go."""
+    search, _ = key.split("/")
     if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = PieceIndex(items.value)
+        for old in [k for k in _BUILT if k.split("/")[0] != search]:
+            del _BUILT[old]
+        _BUILT[key] = PieceIndex(items.value, least)
     return _BUILT[key]
 
 
@@ -143,29 +170,32 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[Item]]:
         yield block
 
 
-def _searcher(held: Broadcast):
-    key = uuid.uuid4().hex
-
+def _searcher(held: Broadcast, key: str, least: int):
     def search(texts: pd.Series) -> pd.Series:
-        index = _index(key, held)
+        index = _index(key, held, least)
         return pd.Series([index.leaks(normalised(t)) for t in texts])
 
     return F.pandas_udf(search, _LEAKS)
 
 
-def leaks_column(text: Column, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> Column:
+def leaks_column(text: Column, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST_ITEM) -> Column:
     """An array of (item_id, distance, end) for the items of `benchmark` that `text` holds within their budget.
 
     `end` counts characters of the normalised text. Items without text match nothing, nor does a null or empty text;
-    items without an id take no part. An item under 2 * PIECE characters has no edits to spend. Of repeated items the
+    items without an id, and those of fewer than `least` characters, take no part. A document that quotes half of an item
+    does not hold it. An item that is found in several places counts where its distance is least. An item under 2 * PIECE characters has no edits to spend. Of repeated items the
     least distance counts. The items are broadcast in blocks of BLOCK_CHARS characters.
     """
     items = benchmark.select(F.col(item_col).cast("bigint"), F.col(item_text_col).cast("string")).where(f"{item_col} is not null")
-    context = benchmark.sparkSession.sparkContext
+    context, key = benchmark.sparkSession.sparkContext, uuid.uuid4().hex
     columns = []
-    for block in _blocks(items):
-        columns.append(_searcher(context.broadcast(block))(text))
-    return columns[0] if len(columns) == 1 else F.concat(*columns)
+    for i, block in enumerate(_blocks(items)):
+        columns.append(_searcher(context.broadcast(block), f"{key}/{i}", least)(text))
+    if len(columns) == 1:
+        return columns[0]
+    # an item that is repeated in several blocks counts once, with its least distance
+    best = lambda found, x: F.concat(F.filter(found, lambda y: y["item_id"] != x["item_id"]), F.array(F.array_min(F.concat(F.filter(found, lambda y: y["item_id"] == x["item_id"]), F.array(x)))))
+    return F.aggregate(F.concat(*columns), F.array().cast(_LEAKS), best)
 
 
 def benchmark_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -65,7 +65,29 @@ def test_blocks_and_empty_tables(spark, monkeypatch):
     bench = spark.createDataFrame([(i, f"item number {i} has a text of its own, {i * 7919}") for i in range(6)], "item_id bigint, text string")
     docs = spark.createDataFrame([(1, "x item number 3 has a text of its own, 23757 y")], "doc_id bigint, text string")
     monkeypatch.setattr(d, "BLOCK_CHARS", 60)
-    assert [tuple(r)[:3] for r in d.benchmark_leaks(docs, bench).collect()][0] == (1, 3, 0)
+    found = [tuple(r)[:3] for r in d.benchmark_leaks(docs, bench).collect()]
+    assert (1, 3, 0) in found and all(n == 2 for _, i, n in found if i != 3)  # two edits turn one of these items into another
     assert d.benchmark_leaks(docs, bench.limit(0)).collect() == []
     assert d.benchmark_leaks(docs.limit(0), bench).collect() == []
     assert d.without_leaks(docs, bench.limit(0)).count() == 1
+
+
+def test_short_items_stand_alone(spark):
+    bench = spark.createDataFrame([(1, "yes"), (2, "is it so?")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "her eyes"), (2, "Yes."), (3, "is it so?"), (4, "this is it so? no")], "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in d.benchmark_leaks(docs, bench).collect()) == [(2, 1), (3, 2), (4, 2)]
+    assert [r["item_id"] for r in docs.select(d.F.explode(d.leaks_column(d.F.col("text"), bench, least=4)).alias("x")).select("x.item_id").distinct().collect()] == [2]
+
+
+def test_items_with_one_stem_and_items_in_several_blocks(spark, monkeypatch):
+    import time
+
+    stem = "which of the following statements about the harbour at dawn is the right one: "
+    index = d.PieceIndex([(i, stem + f"answer {i * 7919 % 100_003} of them") for i in range(300)])
+    text, start = ("some words before " + stem + "nothing that was asked. ") * 5, time.process_time()
+    found = index.leaks(text)
+    assert time.process_time() - start < 10 and found == index.leaks(text)
+    monkeypatch.setattr(d, "BLOCK_CHARS", 60)
+    twice = [(7, "item number 7 has a text of its own, 55433"), (8, "something else that is long enough"), (7, "item number 7 has a text of its own, 99999")]
+    docs = spark.createDataFrame([(1, "x item number 7 has a text of its own, 99999 y")], "doc_id bigint, text string")
+    assert [tuple(r)[:3] for r in d.benchmark_leaks(docs, spark.createDataFrame(twice, "item_id bigint, text string")).collect()] == [(1, 7, 0)]
