@@ -1,32 +1,38 @@
 """Detectors over texts: matches, their places, and scored findings.
 
-The wide form keeps one row for each document: a column of matches for every detector, then a column with its finding. It
-needs no shuffle, runs on streams, and serves verdicts. The long form has one row for each match, for analytics.
+A row has one array with the matches of every detector that has any; only there is an expression for each detector. What
+follows (checksums, keywords nearby, points) is said once, over that array, with the rules beside it as a table in one
+literal: plans stay small however many rules there are. There is no shuffle, and streams work alike. The long form has one
+row for each match, for analytics.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import re2, validators
-from ..plans.rules import Confidence, Detector, RuleSet
+from ..plans.rules import Detector, RuleSet
 from .names import name_finding
 from .places import match_starts, near
 
+#: Matches of a detector in one document that findings look at.
 MAX_MATCHES = 64
 SAMPLES = 3
 FINDING = "struct<raw_count:bigint,validated_count:bigint,keyword_found:boolean,confidence:bigint,fired:boolean,samples:array<string>>"
+_FOUND = f"array<struct<id:string,finding:{FINDING}>>"
+_RULE = "struct<id:string,name:string,base:int,java:string,validators:array<string>,keywords:array<string>,best_effort:boolean>"
 
 
 def has_digit(text: Column) -> Column:
-    return text.rlike("[0-9]")
+    return has_any(text, tuple("0123456789"))
 
 
 def has_any(text: Column, words: tuple[str, ...]) -> Column:
-    """Whether `text` contains any of `words`, as they are written."""
+    """Whether `text` contains any of `words`, as they are written. Plain searches over bytes: a pattern with the words as
+    alternatives would take many times as long."""
     out = F.lit(False)
     for w in words:
         out = out | F.contains(text, F.lit(w))
@@ -34,115 +40,129 @@ def has_any(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def guard(d: Detector, text: Column, lower: Column, digit: Column) -> Column:
-    """Whether the detector's patterns are tried at all: its literals or a digit must be there, and for a best-effort
-    detector a keyword."""
-    out = F.lit(True)
+    """Whether the detector's patterns are tried at all: its literals or a digit (or what may stand for one) must be
+    there, and for a best-effort detector a keyword."""
+    tests = [digit | has_any(text, d.digit_or) if d.digit_or else digit] if d.needs_digit else []
     if d.literals:
-        out = out & has_any(text, d.literals)
-    if d.needs_digit:
-        out = out & digit
+        tests.append(has_any(text, d.literals))
     if d.best_effort:
-        out = out & has_any(lower, tuple(k.lower() for k in d.keywords))
+        tests.append(has_any(lower, tuple(k.lower() for k in d.keywords)))
+    out = F.lit(True)
+    for test in tests:
+        out = out & test
     return out
 
 
-def all_matches(text: Column, pattern: str) -> Column:
-    """The first MAX_MATCHES matches, leftmost and not overlapping."""
-    return F.slice(F.regexp_extract_all(text, F.lit(re2.to_java(pattern)), F.lit(0)), 1, MAX_MATCHES)
+def all_matches(text: Column, pattern: str, limit: int | None = MAX_MATCHES) -> Column:
+    """The first `limit` matches (None: all), leftmost and not overlapping."""
+    found = F.regexp_extract_all(text, F.lit(re2.to_java(pattern)), F.lit(0))
+    return found if limit is None else F.slice(found, 1, limit)
 
 
-def confidence(d: Detector, c: Confidence, count: Column, validated: Column, keyword: Column) -> Column:
-    """Points: the base, once for a validated match, once for a keyword nearby, and for further matches."""
-    points = F.lit(d.base) + F.when(keyword, c.keyword_boost).otherwise(0)
-    if d.validators:
-        points = points + F.when(validated > 0, c.validator_boost).otherwise(0)
-    points = points + F.least(count - 1, F.lit(c.max_instance_boosts)) * c.instance_boost
-    return F.least(points, F.lit(100)).cast("bigint")
+def _usable(rules: RuleSet, ids: list[str] | None = None) -> list[Detector]:
+    return [d for d in rules.detectors if d.kind == "regex" and d.pattern and (ids is None or d.id in ids)]
 
 
-def _valid(d: Detector, value: Column) -> Column:
-    out = F.lit(True)
-    for v in d.validators:
-        out = out & validators.run(v, value)
-    return out
+def _table(detectors: list[Detector]) -> Column:
+    """The rules that the generic part needs, as one array; `hits` refer to its places, from 0."""
+    rows = [{"id": d.id, "name": d.name or d.id, "base": d.base, "java": re2.to_java(d.pattern), "validators": list(d.validators), "keywords": [k.lower() for k in d.keywords], "best_effort": d.best_effort} for d in detectors]
+    return F.from_json(F.lit(json.dumps(rows)), f"array<{_RULE}>")
 
 
-def _finding(d: Detector, c: Confidence, matches: Column, keyword: Column) -> Column:
-    count = F.size(matches).cast("bigint")
-    validated = F.size(F.filter(matches, lambda m: _valid(d, m))).cast("bigint") if d.validators else count
-    points = confidence(d, c, count, validated, keyword)
-    fired = points >= c.fire_threshold
-    if d.validators:
-        fired = fired & (validated > 0)
-    if d.best_effort:
-        fired = fired & keyword
-    found = F.struct(count.alias("raw_count"), validated.alias("validated_count"), keyword.alias("keyword_found"), points.alias("confidence"), fired.alias("fired"), F.slice(matches, 1, SAMPLES).alias("samples"))
-    return F.when(F.size(matches) > 0, found).cast(FINDING)
-
-
-@lru_cache(maxsize=16)
-def _compiled(application: str, rules: RuleSet, text_col: str) -> tuple[dict[str, Column], dict[str, Column]]:
-    """Columns of matches, and of findings over them. Columns are by name, so one compilation serves every table."""
-    text, lower = F.col(text_col).cast("string"), F.col("_lower")
-    usable = [d for d in rules.detectors if d.kind == "regex" and d.pattern]
-    found = {f"m_{d.id}": F.when(guard(d, text, lower, F.col("_digit")), all_matches(text, d.pattern)) for d in usable}
-    findings = {}
+def _hits(detectors: list[Detector], text: Column, lower: Column, digit: Column, limit: int | None) -> Column:
+    """An array of (at, m): the place in the table of each detector that has matches, and its matches."""
+    each = [F.struct(F.lit(i).alias("at"), F.when(guard(d, text, lower, digit), all_matches(text, d.pattern, limit)).alias("m")) for i, d in enumerate(detectors)]
+    return F.filter(F.array(*each), lambda x: F.size(x["m"]) > 0) if each else F.array().cast("array<struct<at:int,m:array<string>>>")
+
+
+def _valid(value: Column, names: Column, known: set[str]) -> Column:
+    """Whether `value` passes all the validators that `names` has."""
+
+    def passes(name: Column) -> Column:
+        out = F.lit(False)
+        for v in sorted(known & set(validators.VALIDATORS)):
+            out = F.when(name == v, validators.run(v, value)).otherwise(out)
+        return out
+
+    return F.forall(names, passes) if known else F.lit(True)
+
+
+def _known(detectors: list[Detector]) -> set[str]:
+    return {v for d in detectors for v in d.validators}
+
+
+def _scored(detectors: list[Detector], rules: RuleSet, table: Column, text: Column, lower: Column):
+    """From (at, m) to (id, finding)."""
+    c, known = rules.confidence, _known(detectors)
+
+    def score(x: Column) -> Column:
+        r, m = F.get(table, x["at"]), x["m"]
+        count = F.size(m).cast("bigint")
+        checked = F.size(r["validators"]) > 0
+        validated = F.when(checked, F.size(F.filter(m, lambda v: _valid(v, r["validators"], known))).cast("bigint")).otherwise(count)
+        anywhere = F.exists(r["keywords"], lambda k: F.contains(lower, k))
+        close = F.when(anywhere, F.exists(match_starts(text, r["java"], m), lambda p: near(lower, p, r["keywords"], c.keyword_window))).otherwise(False)
+        given = F.struct(count.alias("n"), validated.alias("good"), close.alias("keyword"), r.alias("r"), m.alias("m"))
+        return F.element_at(F.transform(F.array(given), points), 1)  # each is worked out once
+
+    def points(x: Column) -> Column:
+        r, checked = x["r"], F.size(x["r"]["validators"]) > 0
+        total = r["base"] + F.when(x["keyword"], c.keyword_boost).otherwise(0) + F.when(checked & (x["good"] > 0), c.validator_boost).otherwise(0)
+        total = F.least(total + F.least(x["n"] - 1, F.lit(c.max_instance_boosts)) * c.instance_boost, F.lit(100)).cast("bigint")
+        fired = (total >= c.fire_threshold) & (~checked | (x["good"] > 0)) & (~r["best_effort"] | x["keyword"])
+        finding = F.struct(x["n"].alias("raw_count"), x["good"].alias("validated_count"), x["keyword"].alias("keyword_found"), total.alias("confidence"), fired.alias("fired"), F.slice(x["m"], 1, SAMPLES).alias("samples"))
+        return F.struct(r["id"].alias("id"), finding.alias("finding"))
+
+    return score
+
+
+def found_array(df: DataFrame, rules: RuleSet, text: Column, lower: Column, digit: Column, ids: list[str] | None = None, unless: str | None = None, out: str = "_found") -> DataFrame:
+    """`df` with an array `out` of (id, finding) of the detectors in `ids` (None: all) that have a finding. Where the
+    column `unless` is true nothing is looked for, and the array is empty."""
+    detectors = _usable(rules, ids)
+    wanted = ~F.col(unless) if unless else F.lit(True)
+    table, none = _table(detectors), F.array().cast("array<struct<at:int,m:array<string>>>")
+    df = df.withColumn("_hits", F.when(wanted, _hits(detectors, text, lower, digit, MAX_MATCHES)).otherwise(none) if unless else _hits(detectors, text, lower, digit, MAX_MATCHES))
+    found = [F.transform("_hits", _scored(detectors, rules, table, text, lower)).cast(_FOUND)]
     for d in rules.detectors:
-        m = F.col(f"m_{d.id}")
-        if d.kind == "dictionary":
-            finding = name_finding(d, rules.confidence, text, lower).cast(FINDING)
-        elif not d.pattern:
-            finding = F.lit(None).cast(FINDING)
-        else:
-            finding = _finding(d, rules.confidence, m, _keyword_near(m, text, d, rules.confidence) if d.keywords else F.lit(False))
-        findings[f"f_{d.id}"] = finding
-    return found, findings
+        if d.kind == "dictionary" and (ids is None or d.id in ids):
+            df = df.withColumn(f"_n_{d.id}", F.when(wanted, name_finding(d, rules.confidence, text, lower)).cast(FINDING))
+            one = F.array(F.struct(F.lit(d.id).alias("id"), F.col(f"_n_{d.id}").alias("finding")))
+            found.append(F.when(F.col(f"_n_{d.id}").isNotNull(), one).otherwise(F.array()).cast(_FOUND))
+    names = [c for c in df.columns if c.startswith("_n_")]
+    return df.withColumn(out, F.concat(*found) if len(found) > 1 else found[0]).drop("_hits", *names)
 
 
 def with_findings(df: DataFrame, rules: RuleSet, text_col: str = "text") -> DataFrame:
     """`df` with a column `f_<detector>` for every detector: null, or its finding. A null text has none.
 
-    Texts are looked at whole. Columns of `df` named f_... or m_... of a detector are replaced.
+    Texts are looked at whole. Columns of `df` named f_... of a detector are replaced.
     """
     text = F.col(text_col).cast("string")
-    found, findings = _compiled(df.sparkSession.sparkContext.applicationId, rules, text_col)
-    df = df.withColumns({"_lower": F.lower(text), "_digit": has_digit(text)}).withColumns(found)
-    # one struct, exploded from an array of one: the optimizer does not copy what stands below a generator into each use
-    df = df.withColumn("_found", F.explode(F.array(F.struct(*[f.alias(name) for name, f in findings.items()]))))
-    return df.withColumns({name: F.col(f"_found.{name}") for name in findings}).drop("_lower", "_digit", "_found", *found)
+    df = df.withColumns({"_lower": F.lower(text), "_digit": has_digit(text)})
+    df = found_array(df, rules, text, F.col("_lower"), F.col("_digit")).withColumn("_by", F.map_from_entries("_found"))
+    return df.withColumns({f"f_{d.id}": F.col("_by")[d.id] for d in rules.detectors}).drop("_lower", "_digit", "_found", "_by")
 
 
-def _keyword_near(m: Column, text: Column, d: Detector, c: Confidence) -> Column:
-    anywhere = has_any(F.col("_lower"), tuple(k.lower() for k in d.keywords))
-    starts = match_starts(text, re2.to_java(d.pattern), m)
-    return F.when((F.size(m) > 0) & anywhere, F.exists(starts, lambda p: near(F.col("_lower"), p, d.keywords, c.keyword_window))).otherwise(False)
-
-
-def matches_long(df: DataFrame, rules: RuleSet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each match: doc_id, detector, ord (from 1), start (byte), value, valid."""
-    text, lower, digit = F.col("_text"), F.col("_lower"), F.col("_digit")
-    usable = [d for d in rules.detectors if d.kind == "regex" and d.pattern]
-    source = F.col(text_col).cast("string")
+def matches_long(df: DataFrame, rules: RuleSet, id_col: str = "doc_id", text_col: str = "text", limit: int | None = None) -> DataFrame:
+    """One row for each match: doc_id, detector, ord (from 1), start (byte), value, valid. `limit` keeps the first so many
+    of each detector and document; by default all are given."""
+    detectors, source = _usable(rules), F.col(text_col).cast("string")
+    table, known = _table(detectors), _known(detectors)
     base = df.select(F.col(id_col).alias("doc_id"), source.alias("_text"), F.lower(source).alias("_lower"), has_digit(source).alias("_digit"))
-    base = base.select("doc_id", "_text", *[F.when(guard(d, text, lower, digit), all_matches(text, d.pattern)).alias(d.id) for d in usable])
-    rows = []
-    for d in usable:
-        m = F.col(d.id)
-        zipped = F.arrays_zip(match_starts(text, re2.to_java(d.pattern), m).alias("start"), m.alias("value"))
-        rows.append(F.when(F.size(m) > 0, F.transform(zipped, _match_row(d))))
-    every = F.flatten(F.array_compact(F.array(*rows)))
-    return base.select("doc_id", F.inline(every))
-
-
-def _match_row(d: Detector):
-    def row(x: Column, i: Column) -> Column:
-        return F.struct(F.lit(d.id).alias("detector"), (i + 1).cast("bigint").alias("ord"), x["start"].cast("bigint").alias("start"), x["value"].alias("value"), _valid(d, x["value"]).alias("valid"))
-
-    return row
+    hits = base.select("doc_id", "_text", F.explode(_hits(detectors, F.col("_text"), F.col("_lower"), F.col("_digit"), limit)).alias("h"))
+    hits = hits.select("doc_id", "_text", F.get(table, F.col("h.at")).alias("r"), F.col("h.m").alias("m"))
+    zipped = F.arrays_zip(match_starts(F.col("_text"), F.col("r.java"), F.col("m")).alias("start"), F.col("m").alias("value"))
+    rows = hits.select("doc_id", "r", F.posexplode(zipped).alias("at", "x"))
+    valid = F.when(F.size("r.validators") > 0, _valid(F.col("x.value"), F.col("r.validators"), known)).otherwise(True)
+    return rows.select("doc_id", F.col("r.id").alias("detector"), (F.col("at") + 1).cast("bigint").alias("ord"), F.col("x.start").cast("bigint").alias("start"), F.col("x.value").alias("value"), valid.alias("valid"))
 
 
 def findings_long(df: DataFrame, rules: RuleSet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document and detector with a finding."""
-    wide = with_findings(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rules)
-    rows = [F.when(F.col(f"f_{d.id}").isNotNull(), F.struct(F.lit(d.id).alias("detector"), *[F.col(f"f_{d.id}")[c].alias(c) for c in ("raw_count", "validated_count", "keyword_found", "confidence", "fired")])) for d in rules.detectors]
-    return wide.select("doc_id", F.inline(F.array_compact(F.array(*rows))))
+    base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
+    base = base.withColumns({"_lower": F.lower("_text"), "_digit": has_digit(F.col("_text"))})
+    found = found_array(base, rules, F.col("_text"), F.col("_lower"), F.col("_digit"))
+    fields = ("raw_count", "validated_count", "keyword_found", "confidence", "fired")
+    flat = F.transform("_found", lambda x: F.struct(x["id"].alias("detector"), *[x["finding"][c].alias(c) for c in fields]))
+    return found.select("doc_id", F.inline(flat))

@@ -7,19 +7,18 @@ latter case it is not part of the name. Of what is left the first few tokens are
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.rules import Confidence, Detector
-from .places import match_starts, near
-
-_TOKEN = r"\p{L}[\p{L}'-]*"
-_CAPITAL = r"\p{Lu}[\p{L}'-]*"
-_RUN = rf"(?<![\p{{L}}'-])(?:((?!\p{{Lu}}){_TOKEN})[ \t]+)?({_CAPITAL}(?:[ \t]+{_CAPITAL})*)"
-#: An apostrophe or hyphen that is not inside a token; up to so many of them in a row are told from a token's end.
-_STRAY = r"(?<!\p{L}['-]{0,64})['-]"
+from .places import near
+
+_TOKEN = r"\p{L}[\p{L}'-]*+"
+_CAPITAL = r"\p{Lu}[\p{L}'-]*+"
+#: From the start of a text on, every item is what is no letter and then a run with the token before it, or some tokens
+#: that no run follows; so a match begins at a token and never inside one.
+_ITEM = rf"[^\p{{L}}]*+(?:(?:(?!\p{{Lu}}){_TOKEN}[ \t]++)?+{_CAPITAL}(?:[ \t]++{_CAPITAL})*+|(?:(?!\p{{Lu}}){_TOKEN}(?![ \t]++\p{{Lu}})[^\p{{L}}]*+){{1,40}}+)"
+_PARTS = rf"\A[^\p{{L}}]*+(?:((?!\p{{Lu}}){_TOKEN})[ \t]++)?+({_CAPITAL}(?:[ \t]++{_CAPITAL})*+)\z"
 _GAP = r"[ \t]+"
 
 
@@ -27,39 +26,54 @@ def span_confidence(score: Column) -> Column:
     return F.least(score * 8 + 40, F.lit(95)).cast("bigint")
 
 
-def name_finding(d: Detector, c: Confidence, text: Column, lower: Column) -> Column:
-    """The finding of a name detector, within the row: no shuffle, and fit for streams."""
+def row_spans(d: Detector, c: Confidence, text: Column, lower: Column) -> Column:
+    """The spans of a text, fired or not, within the row: an array of start (byte), span, evidence, titled, near_keyword and
+    score, null for a text that cannot have one that fires."""
     words = d.dictionary
-    plain = F.regexp_replace(text, _STRAY, ".")
-    hits = [F.regexp_extract_all(plain, F.lit(_RUN), F.lit(i)) for i in (0, 1, 2)]
-    zipped = F.arrays_zip(hits[0].alias("hit"), hits[1].alias("before"), hits[2].alias("run"), match_starts(plain, _RUN, hits[0]).alias("start"))
+    titles, listed = sorted(words.titles), words.evidence
+    keywords = F.array(*[F.lit(k.lower()) for k in d.keywords]).cast("array<string>")
+    placed = F.aggregate(
+        F.regexp_extract_all(text, F.lit(_ITEM), F.lit(0)),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<end:int,item:string>>").alias("runs")),
+        lambda acc, x: F.struct(
+            (acc["at"] + F.octet_length(x)).alias("at"),
+            F.when(x.rlike(r"\p{Lu}[\p{L}'-]*+\z"), F.concat(acc["runs"], F.array(F.struct((acc["at"] + F.octet_length(x)).alias("end"), x.alias("item"))))).otherwise(acc["runs"]).alias("runs"),
+        ),
+    )["runs"]
+
+    def cut(x: Column) -> Column:
+        run = F.regexp_extract(x["item"], _PARTS, 2)
+        return F.struct(run.alias("run"), F.regexp_extract(x["item"], _PARTS, 1).alias("before"), F.split(run, _GAP).alias("tokens"), (x["end"] - F.octet_length(run)).alias("at"))
+
+    def span(x: Column) -> Column:
+        own = F.lower(x["tokens"][0]).isin(titles)
+        kept = F.slice(x["tokens"], F.when(own, 2).otherwise(1), F.lit(words.max_span_tokens))
+        first = F.octet_length(x["run"]) - F.octet_length(F.regexp_replace(x["run"], r"^[^ \t]+[ \t]+", ""))
+        at = x["at"] + F.when(own, first).otherwise(0)
+        return F.struct(kept.alias("kept"), (own | F.lower(x["before"]).isin(titles)).alias("titled"), at.alias("at"), F.size(F.filter(kept, lambda t: F.lower(t).isin(listed))).alias("evidence"))
 
     def scored(x: Column) -> Column:
-        tokens = F.split(x["run"], _GAP)
-        own_title = F.lower(tokens[0]).isin(sorted(words.titles))
-        titled = own_title | F.lower(x["before"]).isin(sorted(words.titles))
-        span = F.slice(tokens, F.when(own_title, 2).otherwise(1), F.lit(words.max_span_tokens))
-        evidence = F.size(F.filter(span, lambda t: F.lower(t).isin(words.evidence)))
-        rest = F.regexp_replace(x["run"], r"^[^ \t]+[ \t]+", "")
-        at = x["start"] + F.octet_length(x["hit"]) - F.when(own_title, F.octet_length(rest)).otherwise(F.octet_length(x["run"]))
-        return F.struct(F.size(span).alias("n"), evidence.alias("evidence"), titled.alias("titled"), at.alias("at"), F.array_join(span, " ").alias("span"))
-
-    def points(x: Column) -> Column:
+        close = near(lower, x["at"], keywords, c.keyword_window) if d.keywords else F.lit(False)
         score = x["evidence"] * words.name_hit + F.when(x["evidence"] >= 2, words.adjacency).otherwise(0) + F.when(x["titled"], words.title).otherwise(0)
-        keyword = near(lower, x["at"], d.keywords, c.keyword_window)
-        return F.struct((score + F.when(keyword, words.keyword).otherwise(0)).alias("score"), x["span"].alias("span"))
-
-    spans = F.filter(F.transform(zipped, scored), lambda x: (x["n"] > 0) & ((x["evidence"] > 0) | x["titled"]))
-    fired = F.filter(F.transform(spans, points), lambda x: x["score"] >= words.fire)
-    found = F.aggregate(
-        fired,
-        F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("best"), F.array().cast("array<string>").alias("samples")),
-        lambda acc, x: F.struct((acc["n"] + 1).alias("n"), F.greatest(acc["best"], x["score"]).alias("best"), F.slice(F.concat(acc["samples"], F.array(x["span"])), 1, 3).alias("samples")),
-        lambda acc: F.when(acc["n"] > 0, F.struct(acc["n"].alias("raw_count"), acc["n"].alias("validated_count"), F.lit(False).alias("keyword_found"), span_confidence(acc["best"]).alias("confidence"), F.lit(True).alias("fired"), acc["samples"].alias("samples"))),
-    )
+        score = score + F.when(close, words.keyword).otherwise(0)
+        return F.struct(x["at"].cast("bigint").alias("start"), F.array_join(x["kept"], " ").alias("span"), x["evidence"].cast("bigint").alias("evidence"), x["titled"].alias("titled"), close.alias("near_keyword"), score.cast("bigint").alias("score"))
+
+    cuts = F.filter(F.transform(placed, cut), lambda x: x["run"] != "")
+    spans = F.filter(F.transform(cuts, span), lambda x: (F.size(x["kept"]) > 0) & ((x["evidence"] > 0) | x["titled"]))
+    return F.transform(spans, scored)
+
+
+def name_finding(d: Detector, c: Confidence, text: Column, lower: Column) -> Column:
+    """The finding of a name detector, within the row: no shuffle, and fit for streams."""
+    words = d.dictionary
+    fired = F.filter(row_spans(d, c, text, lower), lambda x: x["score"] >= words.fire)
+    summed = F.transform(F.array(fired), lambda s: F.when(F.size(s) > 0, F.struct(
+        F.size(s).cast("bigint").alias("raw_count"), F.size(s).cast("bigint").alias("validated_count"), F.lit(False).alias("keyword_found"),
+        span_confidence(F.array_max(F.transform(s, lambda x: x["score"]))).alias("confidence"), F.lit(True).alias("fired"), F.slice(F.transform(s, lambda x: x["span"]), 1, 3).alias("samples"),
+    )))
     listed = F.exists(F.regexp_extract_all(text, F.lit(_CAPITAL), F.lit(0)), lambda t: F.lower(t).isin(words.evidence))
     needs_evidence = words.title + words.keyword < words.fire
-    return F.when(listed if needs_evidence else text.rlike(r"\p{Lu}"), found)
+    return F.when(listed if needs_evidence else text.rlike(r"\p{Lu}"), F.element_at(summed, 1))
 
 
 def name_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -77,20 +91,6 @@ def name_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     return rows.select("doc_id", "row", F.col("ord").cast("bigint").alias("ord"), "pair.token", "pair.gap", start.alias("start"), F.col("pair.token").rlike(r"\A\p{Lu}").alias("capital"), *carry)
 
 
-def _places(lower: Column, keywords: tuple[str, ...]) -> Column:
-    """Where the keywords stand in the lower-case text: an array of byte and size."""
-    each = []
-    for k in dict.fromkeys(k.lower() for k in keywords):
-        java = re.escape(k)
-        found = match_starts(lower, java, F.regexp_extract_all(lower, F.lit(java), F.lit(0)))
-        each.append(F.transform(F.when(F.contains(lower, F.lit(k)), found), _place(len(k.encode()))))
-    return F.flatten(F.array_compact(F.array(*each))) if each else F.array().cast("array<struct<at:int,size:int>>")
-
-
-def _place(size: int):
-    return lambda at: F.struct(at.alias("at"), F.lit(size).alias("size"))
-
-
 def name_runs(tokens: DataFrame) -> DataFrame:
     """The capitalised tokens of `tokens`, with the run they belong to, their place in it, and the token before them if
     only spaces and tabs lie between."""
@@ -104,29 +104,8 @@ def name_runs(tokens: DataFrame) -> DataFrame:
 def name_spans(df: DataFrame, d: Detector, c: Confidence, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each span, fired or not: doc_id, start, span, evidence, titled, near_keyword, score, confidence, fired.
 
-    The word lists are joined as tables; `name_finding` gives the same spans within the row.
+    A map over rows: the tokens of a run are never rows of their own, and nothing is shuffled.
     """
-    words, spark = d.dictionary, df.sparkSession
-    table = lambda name, values: spark.createDataFrame([(v,) for v in sorted(values)] or [(None,)], f"{name} string")
-    listed = table("listed", words.given_names).union(table("listed", words.surnames)).distinct().join(table("common", words.common_words), F.col("listed") == F.col("common"), "left_anti")
-    runs = name_runs(name_tokens(df.withColumn("_places", _places(F.lower(F.col(text_col).cast("string")), d.keywords)), id_col, text_col, ("_places",)))
-    titles = sorted(words.titles)
-    first = Window.partitionBy("row", "run").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    own_title = F.first(F.lower("token")).over(first).isin(titles)
-    runs = runs.withColumns({"own": own_title, "titled": own_title | F.coalesce(F.first(F.lower("before")).over(first).isin(titles), F.lit(False))})
-    place = F.col("place") - F.col("own").cast("int")
-    spans = runs.withColumn("place", place).where(F.col("place").between(1, words.max_span_tokens))
-    spans = spans.join(F.broadcast(listed), F.lower("token") == F.col("listed"), "left")  # two lists of rules, of fixed size
-    spans = spans.groupBy("doc_id", "row", "run").agg(
-        F.min("start").alias("start"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]), " ").alias("span"),
-        F.count("listed").alias("evidence"),
-        F.first("titled").alias("titled"),
-        F.first("_places").alias("_places"),
-    )
-    w = c.keyword_window
-    spans = spans.withColumn("near_keyword", F.exists("_places", lambda k: (k["at"] >= F.col("start") - w) & (k["at"] + k["size"] <= F.col("start") + w)))
-    score = F.col("evidence") * words.name_hit + F.when(F.col("evidence") >= 2, words.adjacency).otherwise(0)
-    score = score + F.when(F.col("titled"), words.title).otherwise(0) + F.when(F.col("near_keyword"), words.keyword).otherwise(0)
-    out = spans.withColumn("score", score.cast("bigint")).where("evidence > 0 or titled")
-    return out.select("doc_id", F.col("start").cast("bigint").alias("start"), "span", "evidence", "titled", "near_keyword", "score", span_confidence(F.col("score")).alias("confidence"), (F.col("score") >= words.fire).alias("fired"))
+    text = F.col(text_col).cast("string")
+    rows = df.select(F.col(id_col).alias("doc_id"), F.explode(row_spans(d, c, text, F.lower(text))).alias("s"))
+    return rows.select("doc_id", "s.*", span_confidence(F.col("s.score")).alias("confidence"), (F.col("s.score") >= d.dictionary.fire).alias("fired"))

@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def match_starts(text: Column, java: str, matches: Column) -> Column:
-    """The byte at which each of `matches` starts, from what lies between them."""
+def match_starts(text: Column, java: Column, matches: Column) -> Column:
+    """The byte at which each of `matches` starts, from what lies between them. `java` is the pattern."""
     between = F.split(text, java, -1)
     placed = F.aggregate(
-        F.arrays_zip(F.slice(between, 1, F.size(matches)).alias("gap"), matches.alias("hit")),
+        F.arrays_zip(F.slice(between, F.lit(1), F.size(matches)).alias("gap"), matches.alias("hit")),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
         lambda acc, x: F.struct(
             (acc["at"] + F.octet_length(x["gap"]) + F.octet_length(x["hit"])).alias("at"),
@@ -20,12 +20,9 @@ def match_starts(text: Column, java: str, matches: Column) -> Column:
     return placed["starts"]
 
 
-def near(lower: Column, start: Column, keywords: tuple[str, ...], window: int) -> Column:
-    """Whether a keyword lies whole within `window` bytes of `start`, in the bytes of the lower-case text."""
-    raw = F.encode(lower, "UTF-8")
+def near(lower: Column, start: Column, keywords: Column, window: int) -> Column:
+    """Whether one of `keywords`, an array in lower case, lies whole within `window` bytes of `start`, in the bytes of the
+    lower-case text."""
     low = F.greatest(start - window, F.lit(0))
-    part = F.substring(raw, low + 1, start + window - low)
-    out = F.lit(False)
-    for k in keywords:
-        out = out | F.contains(part, F.encode(F.lit(k.lower()), "UTF-8"))
-    return out
+    part = F.substring(F.encode(lower, "UTF-8"), low + 1, start + window - low)
+    return F.exists(keywords, lambda k: F.contains(part, F.encode(k, "UTF-8")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,34 +13,28 @@ SEVERITY = {"ALLOW": 0, "ESCALATE": 1, "BLOCK": 2}
 PROFILE = "struct<profile_id:string,profile_name:string,data_type:string,verdict_on_match:string,confidence:bigint,severity:int>"
 
 
-def holds(n: Node, rules: RuleSet) -> Column:
-    """Whether the findings of a row satisfy the node. An empty `and` holds; an empty `or`, a detector that is not
-    declared, and an operation that is not known do not."""
-    if n.op == "detector":
-        if rules.detector(n.id) is None:
-            return F.lit(False)
-        f = F.col(f"f_{n.id}")
-        out = f["fired"]
-        if n.min_validated > 0:
-            out = out & (f["validated_count"] >= n.min_validated)
-        if n.min_count > 0:
-            out = out & (f["raw_count"] >= n.min_count)
-        return F.coalesce(out, F.lit(False))
-    if n.op == "and":
-        return reduce(lambda a, b: a & b, (holds(x, rules) for x in n.of), F.lit(True))
-    if n.op == "or" and n.of:
-        if max(n.least, 1) == 1:
-            return reduce(lambda a, b: a | b, (holds(x, rules) for x in n.of))
-        return reduce(lambda a, b: a + b, (holds(x, rules).cast("int") for x in n.of)) >= n.least
-    return F.lit(False)
+def _leaves(n: Node) -> list[Node]:
+    return [n] if n.op == "detector" else [x for y in n.of for x in _leaves(y)]
+
 
+def _leaf(n: Node) -> str:
+    return f"_l_{n.id}_{n.min_count}_{n.min_validated}"
 
-def node_confidence(n: Node, rules: RuleSet) -> Column:
-    """The greatest confidence among the satisfied parts."""
+
+def _confidence(n: Node, rules: RuleSet) -> Column:
+    """The greatest confidence among the satisfied parts, null if the node does not hold. An empty `and` holds; an empty
+    `or`, a detector that is not declared, and an operation that is not known do not."""
     if n.op == "detector":
-        return F.coalesce(F.col(f"f_{n.id}")["confidence"], F.lit(0)) if rules.detector(n.id) else F.lit(0)
-    parts = [F.when(holds(x, rules), node_confidence(x, rules)).otherwise(0) for x in n.of]
-    return F.greatest(F.lit(0), F.lit(0), *parts)
+        return F.col(_leaf(n)) if rules.detector(n.id) else F.lit(None).cast("bigint")
+    parts = [_confidence(x, rules) for x in n.of]
+    best = F.greatest(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), *parts)
+    if n.op == "and":
+        return F.when(reduce(lambda a, b: a & b, (p.isNotNull() for p in parts), F.lit(True)), best)
+    if n.op == "or" and parts:
+        if max(n.least, 1) == 1:
+            return reduce(lambda a, b: F.greatest(a, b), parts)  # of those that are not null
+        return F.when(reduce(lambda a, b: a + b, (p.isNotNull().cast("int") for p in parts)) >= n.least, best)
+    return F.lit(None).cast("bigint")
 
 
 def disposition(confidence: Column, p: Profile, rules: RuleSet) -> Column:
@@ -49,10 +43,21 @@ def disposition(confidence: Column, p: Profile, rules: RuleSet) -> Column:
     return F.least(F.when(confidence >= rules.confidence.block_threshold, 2).otherwise(1), F.lit(ceiling))
 
 
-@lru_cache(maxsize=16)
-def _compiled(application: str, rules: RuleSet) -> tuple[dict[str, Column], Column]:
-    """A column with the confidence of each profile, null where it does not hold, and the array over them."""
-    conf = {f"_c_{p.id}": F.when(holds(p.match, rules), node_confidence(p.match, rules)).cast("bigint") for p in rules.profiles}
+def with_profiles(df: DataFrame, rules: RuleSet, by: str = "_by", out: str = "profiles") -> DataFrame:
+    """`df` with an array `out` of the satisfied profiles in the order of the rules, from a map `by` of findings by
+    detector."""
+    leaves = {_leaf(n): n for p in rules.profiles for n in _leaves(p.match) if rules.detector(n.id)}
+
+    def leaf(n: Node) -> Column:
+        f = F.col(by)[n.id]
+        held = f["fired"]
+        if n.min_validated > 0:
+            held = held & (f["validated_count"] >= n.min_validated)
+        if n.min_count > 0:
+            held = held & (f["raw_count"] >= n.min_count)
+        return F.when(held, f["confidence"])
+
+    conf = {f"_c_{p.id}": _confidence(p.match, rules).cast("bigint") for p in rules.profiles}
     each = [
         F.when(
             F.col(f"_c_{p.id}").isNotNull(),
@@ -60,10 +65,6 @@ def _compiled(application: str, rules: RuleSet) -> tuple[dict[str, Column], Colu
         ).cast(PROFILE)
         for p in rules.profiles
     ]
-    return conf, F.array_compact(F.array(*each)) if each else F.array().cast(f"array<{PROFILE}>")
-
-
-def with_profiles(df: DataFrame, rules: RuleSet) -> DataFrame:
-    """`df`, as `with_findings` gives it, with an array `profiles` of the satisfied ones in the order of the rules."""
-    conf, profiles = _compiled(df.sparkSession.sparkContext.applicationId, rules)
-    return df.withColumns(conf).withColumn("profiles", profiles).drop(*conf)
+    profiles = F.array_compact(F.array(*each)) if each else F.array().cast(f"array<{PROFILE}>")
+    df = df.withColumns({name: leaf(n) for name, n in leaves.items()}) if leaves else df
+    return df.withColumns(conf).withColumn(out, profiles).drop(*conf, *leaves)

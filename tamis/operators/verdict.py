@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import json
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.rules import RuleSet
-from .detect import with_findings
+from ..plans.rules import EarlyExit, RuleSet
+from .detect import found_array, has_digit
 from .labels import LABEL, body_labels
 from .profiles import PROFILE, SEVERITY, with_profiles
 
@@ -20,12 +21,11 @@ def verdict_name(severity: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, VERDICTS)), severity.cast("int") + 1)
 
 
-@lru_cache(maxsize=16)
-def fired_detectors(application: str, rules: RuleSet) -> Column:
-    """The fired findings, by descending confidence and then by id."""
-    each = [F.when(F.col(f"f_{d.id}")["fired"], F.struct((-F.col(f"f_{d.id}")["confidence"]).alias("order"), F.lit(d.id).alias("id"), F.lit(d.name or d.id).alias("name"), F.col(f"f_{d.id}")["raw_count"].alias("raw_count"), F.col(f"f_{d.id}")["validated_count"].alias("validated_count"))) for d in rules.detectors]
-    kept = F.array_sort(F.array_compact(F.array(*each)))
-    return F.transform(kept, lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name"), x["raw_count"].alias("raw_count"), x["validated_count"].alias("validated_count"), (-x["order"]).alias("confidence")))
+def fired_detectors(found: Column, rules: RuleSet) -> Column:
+    """The fired findings of an array of (id, finding), by descending confidence and then by id."""
+    names = F.from_json(F.lit(json.dumps({d.id: d.name or d.id for d in rules.detectors})), "map<string,string>")
+    kept = F.transform(F.filter(found, lambda x: x["finding"]["fired"]), lambda x: F.struct((-x["finding"]["confidence"]).alias("order"), x["id"].alias("id"), x["finding"]["raw_count"].alias("raw_count"), x["finding"]["validated_count"].alias("validated_count")))
+    return F.transform(F.array_sort(kept), lambda x: F.struct(x["id"].alias("id"), names[x["id"]].alias("name"), x["raw_count"].alias("raw_count"), x["validated_count"].alias("validated_count"), (-x["order"]).alias("confidence")))
 
 
 def _batches(rules: RuleSet) -> list[list[str]]:
@@ -33,24 +33,24 @@ def _batches(rules: RuleSet) -> list[list[str]]:
     return [ids[i : i + n] for i in range(0, len(ids), n)]
 
 
-def _short_circuited(df: DataFrame, rules: RuleSet) -> DataFrame:
-    """Findings of batches after the one that ended the scan become null. Batches have a fixed size, so the result does
-    not depend on the machine."""
-    df = df.withColumns({"_done": F.lit(False), "_total": F.lit(0).cast("bigint")})
-    seen: list[str] = []
-    for batch in _batches(rules)[:-1]:
-        seen += batch
-        raw = F.lit(0).cast("bigint")
-        for i in batch:
-            raw = raw + F.coalesce(F.col(f"f_{i}")["raw_count"], F.lit(0))
-        so_far = {f"f_{d.id}": F.col(f"f_{d.id}") if d.id in seen else F.lit(None).cast(dict(df.dtypes)[f"f_{d.id}"]) for d in rules.detectors}
-        later = {k: F.col(k) for k in so_far if k[2:] not in seen}
-        probe = with_profiles(df.withColumns({f"_keep_{k}": c for k, c in later.items()}).withColumns(so_far), rules)
-        blocked = F.exists("profiles", lambda p: p["severity"] == 2) if rules.early_exit.stop_on_block else F.lit(False)
-        full = (F.col("_total") + raw >= rules.early_exit.max_total_matches) if rules.early_exit.max_total_matches else F.lit(False)
-        df = probe.withColumns({"_done": F.col("_done") | blocked | full, "_total": F.col("_total") + raw})
-        df = df.withColumns({k: F.when(~F.col("_done"), F.col(f"_keep_{k}")) for k in later}).drop("profiles", *[f"_keep_{k}" for k in later])
-    return df.withColumnRenamed("_done", "short_circuited").drop("_total")
+def _with_found(df: DataFrame, rules: RuleSet) -> DataFrame:
+    """`df` with `_found` and `short_circuited`. With an early exit, batches after the one that ended the scan are not
+    scanned for. Batches have a fixed size, so the result does not depend on the machine."""
+    text, lower, digit = F.col("_text"), F.col("_lower"), F.col("_digit")
+    df = df.withColumns({"_lower": F.lower(text), "_digit": has_digit(text)})
+    if not rules.early_exit.enabled:
+        return found_array(df, rules, text, lower, digit).withColumn("short_circuited", F.lit(False)).drop("_lower", "_digit")
+    batches = _batches(rules)
+    df = found_array(df, rules, text, lower, digit, batches[0] if batches else []).withColumn("short_circuited", F.lit(False))
+    for batch in batches[1:]:
+        df = with_profiles(df.withColumn("_by", F.map_from_entries("_found")), rules, out="_so_far")
+        ends = F.exists("_so_far", lambda p: p["severity"] == 2) if rules.early_exit.stop_on_block else F.lit(False)
+        if most := rules.early_exit.max_total_matches:
+            ends = ends | (F.aggregate("_found", F.lit(0).cast("bigint"), lambda n, x: n + x["finding"]["raw_count"]) >= most)
+        df = df.withColumn("short_circuited", F.col("short_circuited") | ends).drop("_so_far", "_by")
+        df = found_array(df, rules, text, lower, digit, batch, "short_circuited", "_more")
+        df = df.withColumn("_found", F.concat("_found", "_more")).drop("_more")
+    return df.drop("_lower", "_digit")
 
 
 def inspect(df: DataFrame, rules: RuleSet, text_col: str = "text", source_labels: str | None = None, partial: str | None = None, truncated: str | None = None, error: str | None = None) -> DataFrame:
@@ -70,10 +70,9 @@ def inspect(df: DataFrame, rules: RuleSet, text_col: str = "text", source_labels
         (flag(partial) | flag(truncated)).alias("_in_part"),
         (F.col(error) if error else F.lit(None).cast("string")).alias("_error"),
     )
-    df = with_findings(df, rules, "_text")
-    df = _short_circuited(df, rules) if rules.early_exit.enabled else df.withColumn("short_circuited", F.lit(False))
+    df = _with_found(df, rules).withColumn("_by", F.map_from_entries("_found"))
     df = with_profiles(df, rules)
-    df = df.withColumns({"_body": body_labels(F.col("_text"), rules), "_detectors": fired_detectors(df.sparkSession.sparkContext.applicationId, rules)})
+    df = df.withColumns({"_body": body_labels(F.col("_text"), rules), "_detectors": fired_detectors(F.col("_found"), rules)})
     severity = F.coalesce(F.array_max(F.transform("profiles", lambda p: p["severity"])), F.lit(0))
     severity = F.greatest(severity, F.when(F.size("_body") > 0, 1).otherwise(0), F.when(F.size("_meta") > 0, 2).otherwise(0))
     uncovered = F.col("_in_part") & (severity == 0)
@@ -95,9 +94,10 @@ def inspect(df: DataFrame, rules: RuleSet, text_col: str = "text", source_labels
 
 def profiles_long(df: DataFrame, rules: RuleSet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document and satisfied profile: doc_id, profile_id, verdict_on_match, confidence, disposition."""
-    found = with_profiles(with_findings(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rules), rules)
-    rows = found.select("doc_id", F.explode("profiles").alias("p"))
-    return rows.select("doc_id", "p.profile_id", "p.verdict_on_match", "p.confidence", verdict_name(F.col("p.severity")).alias("disposition"))
+    found = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
+    found = with_profiles(_with_found(found, replace(rules, early_exit=EarlyExit())).withColumn("_by", F.map_from_entries("_found")), rules)
+    flat = F.transform("profiles", lambda p: F.struct(*[p[c].alias(c) for c in ("profile_id", "verdict_on_match", "confidence")], verdict_name(p["severity"]).alias("disposition")))
+    return found.select("doc_id", F.inline(flat))
 
 
 __all__ = ["PROFILE", "VERDICTS", "fired_detectors", "inspect", "profiles_long", "verdict_name"]

@@ -103,7 +103,7 @@ def guard(d: Detector) -> str:
     if d.literals:
         parts.append(_anywhere("text", d.literals))
     if d.needs_digit:
-        parts.append("regexp_matches(text, '[0-9]')")
+        parts.append("(" + " OR ".join(["regexp_matches(text, '[0-9]')", *(f"contains(text, {q(w)})" for w in d.digit_or)]) + ")")
     if d.best_effort:
         parts.append(_anywhere("lower(text)", [k.lower() for k in d.keywords]))
     return " AND ".join(parts) or "true"
@@ -115,15 +115,17 @@ def _starts(between: str, sizes: str) -> str:
     return f"list_transform(range(1, len({between})), lambda i: ({before} + {sizes})::BIGINT)"
 
 
-def matches(d: Detector, table: str = "documents") -> str:
-    """doc_id, text, m (matches) of the documents with any."""
-    found = f"list_slice(regexp_extract_all(text, {q(d.pattern)}), 1, {MATCHES})"
+def matches(d: Detector, limit: int | None = MATCHES, table: str = "documents") -> str:
+    """doc_id, text, m (matches, the first `limit` of them) of the documents with any."""
+    found = f"regexp_extract_all(text, {q(d.pattern)})"
+    found = f"list_slice({found}, 1, {limit})" if limit else found
     return f"(SELECT doc_id, text, {found} AS m FROM {table} WHERE {guard(d)} AND regexp_matches(text, {q(d.pattern)}))"
 
 
-def starts(d: Detector) -> str:
+def starts(d: Detector, limit: int | None = MATCHES) -> str:
     hits = "coalesce(list_sum(list_transform(m[1:i - 1], lambda s: strlen(s))), 0)"
-    return f"list_slice({_starts(f'string_split_regex(text, {q(d.pattern)})', hits)}, 1, {MATCHES})"
+    every = _starts(f"string_split_regex(text, {q(d.pattern)})", hits)
+    return f"list_slice({every}, 1, {limit})" if limit else every
 
 
 def keyword_places(d: Detector) -> str:
@@ -144,7 +146,7 @@ def matches_long(rules: RuleSet, ids: list[str] | None = None) -> str:
     for d in rules.detectors:
         if d.kind == "regex" and d.pattern and (ids is None or d.id in ids):
             valid = " AND ".join(VALIDATORS[name]("value") for name in d.validators) or "true"
-            parts.append(f"SELECT doc_id, {q(d.id)} AS detector, ord::BIGINT AS ord, start, value, coalesce({valid}, false) AS valid FROM (SELECT doc_id, unnest(range(1, len(m) + 1)) AS ord, unnest({starts(d)}) AS start, unnest(m) AS value FROM {matches(d)})")
+            parts.append(f"SELECT doc_id, {q(d.id)} AS detector, ord::BIGINT AS ord, start, value, coalesce({valid}, false) AS valid FROM (SELECT doc_id, unnest(range(1, len(m) + 1)) AS ord, unnest({starts(d, None)}) AS start, unnest(m) AS value FROM {matches(d, None)})")
     return "\nUNION ALL\n".join(parts)
 
 

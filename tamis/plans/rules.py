@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import dataclass, field
 
 from ..functions import re2
@@ -66,6 +67,7 @@ class Detector:
     best_effort: bool = False
     literals: tuple[str, ...] = ()
     needs_digit: bool = False
+    digit_or: tuple[str, ...] = ()
     dictionary: Dictionary | None = None
 
     @property
@@ -141,9 +143,17 @@ class RuleSet:
         return sorted(self.detectors, key=lambda d: -d.priority)
 
     @classmethod
-    def from_dict(cls, x: dict, lexicons: dict[str, frozenset[str]] | None = None) -> RuleSet:
-        """From decoded JSON; keys that are not known are ignored. KeyError if a lexicon that is named is absent."""
-        lexicons = lexicons or {}
+    def from_dict(cls, x: dict, lexicons: dict[str, frozenset[str]] | None = None, folder: str | None = None) -> RuleSet:
+        """From decoded JSON; keys that are not known are ignored. A word list is named by a key of `lexicons`, or else by
+        the path of a file below `folder`; KeyError if there is neither."""
+        given = dict(lexicons or {})
+
+        def words_of(name: str) -> frozenset[str]:
+            if name not in given and folder is not None and os.path.isfile(path := os.path.join(folder, name)):
+                with open(path, encoding="utf-8") as f:
+                    given[name] = frozenset(w for line in f if (w := line.strip().lower()))
+            return given[name]
+
         own = lambda kind, d: kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in d.items() if k in kind.__dataclass_fields__})
 
         def node(d: dict) -> Node:
@@ -152,7 +162,7 @@ class RuleSet:
         detectors = []
         for d in x.get("detectors", []):
             if words := d.get("dictionary"):
-                lists = {k: lexicons[words[k]] for k in ("given_names", "surnames", "common_words") if words.get(k)}
+                lists = {k: words_of(words[k]) for k in ("given_names", "surnames", "common_words") if words.get(k)}
                 words = own(Dictionary, {k: v for k, v in words.items() if k not in lists and k != "titles"} | lists | {"titles": frozenset(t.lower() for t in words.get("titles", []))})
             detectors.append(own(Detector, d | {"dictionary": words}))
         profiles = [own(Profile, p | {"match": node(p["match"])}) for p in x.get("profiles", [])]
@@ -167,8 +177,9 @@ class RuleSet:
 
     @classmethod
     def load(cls, path: str, lexicons: dict[str, frozenset[str]] | None = None) -> RuleSet:
+        """From a JSON file; word lists are looked for beside it."""
         with open(path, encoding="utf-8") as f:
-            return cls.from_dict(json.load(f), lexicons)
+            return cls.from_dict(json.load(f), lexicons, os.path.dirname(os.path.abspath(path)))
 
     def lint(self) -> list[tuple[str, str, str]]:
         """(severity, subject, problem): what a careful author would mend. Errors come first."""

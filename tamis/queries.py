@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as sql
+from . import planted
 from .functions import validators
 from .operators import detect, labels, names, profiler
-from .operators.verdict import inspect, profiles_long
+from .operators.verdict import COVERAGE_NOTE, inspect, profiles_long
 from .plans.default_rules import DEFAULT_RULES as RULES
+from .plans.rules import Node, Profile
 from .sources import extract, formats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,8 +40,6 @@ def _docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
 
 
 def _detectors(*ids: str):
-    from dataclasses import replace
-
     return replace(RULES, detectors=tuple(d for d in RULES.detectors if d.id in ids))
 
 
@@ -79,10 +80,10 @@ def best_effort_gate(spark, sf_dir):
 for _id in [d.id for d in RULES.detectors if d.kind == "regex"]:
 
     def _matches(spark, sf_dir, _id=_id):
-        return detect.matches_long(_docs(spark, sf_dir), _detectors(_id))
+        return detect.matches_long(planted.documents(spark, sf_dir), _detectors(_id))
 
     _matches.__name__ = f"matches_{_id}"
-    _query(sql.matches_long(RULES, [_id]))(_matches)
+    _query(planted.over(sql.matches_long(RULES, [_id])))(_matches)
 
 
 @_query(sql.matches_long(RULES))
@@ -102,56 +103,70 @@ def match_cap(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", m.alias("m")).select("doc_id", F.size("m").cast("bigint").alias("n"), F.array_join(F.slice("m", 1, detect.SAMPLES), "|").alias("samples"))
 
 
-@_query("SELECT conv_id, turn, detector, ord, start, value, valid FROM (" + sql.matches_long(RULES, ["email", "phone", "ip_address", "credit_card", "api_key"]).replace("doc_id", "conv_id, turn").replace("FROM documents", "FROM conversations") + ")")
-def conversation_matches(spark, sf_dir):
-    turns = _docs(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), "text")
-    rows = detect.matches_long(turns, _detectors("email", "phone", "ip_address", "credit_card", "api_key"))
-    return rows.select("doc_id.conv_id", "doc_id.turn", "detector", "ord", "start", "value", "valid")
+#: What turns of conversations are given: an address or an identifier in every third.
+_TURN_ENDS = [" Reach me at agent{}@example.org.", " Card 4111 1111 1111 1111, ref {}."]
 
 
-# --- validators, over identifiers made from keys ---
+def _turns(spark, sf_dir) -> DataFrame:
+    end = F.when(F.col("conv_id") % 3 == 0, F.replace(F.lit(_TURN_ENDS[0]), F.lit("{}"), F.col("conv_id").cast("string")))
+    end = end.when(F.col("conv_id") % 3 == 1, F.replace(F.lit(_TURN_ENDS[1]), F.lit("{}"), F.col("turn").cast("string"))).otherwise("")
+    return _docs(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), F.concat("text", end).alias("text"))
 
 
-def _padded(n: int, factor: int, key: str = "o_orderkey") -> tuple[Column, str]:
-    """`key` times `factor`, its last n digits; in Spark and in SQL."""
-    return F.lpad((F.col(key) * factor % 10**n).cast("string"), n, "0"), f"lpad(({key} * {factor} % {10**n})::VARCHAR, {n}, '0')"
+_TURNS_SQL = f"(SELECT conv_id, turn, text || CASE conv_id % 3 WHEN 0 THEN replace({sql.q(_TURN_ENDS[0])}, '{{}}', conv_id::VARCHAR) WHEN 1 THEN replace({sql.q(_TURN_ENDS[1])}, '{{}}', turn::VARCHAR) ELSE '' END AS text FROM conversations)"
 
 
-def _letters(key: str, factor: int, alphabet: str) -> tuple[Column, str]:
-    return F.substr(F.lit(alphabet), (F.col(key) * factor % len(alphabet) + 1).cast("int"), F.lit(1)), f"substr('{alphabet}', ({key} * {factor} % {len(alphabet)} + 1)::INTEGER, 1)"
+@_query("SELECT conv_id, turn, detector, ord, start, value, valid FROM (" + sql.matches_long(RULES).replace("doc_id", "conv_id, turn").replace("FROM documents", f"FROM {_TURNS_SQL}") + ")")
+def conversation_matches(spark, sf_dir):
+    rows = detect.matches_long(_turns(spark, sf_dir), RULES)
+    return rows.select("doc_id.conv_id", "doc_id.turn", "detector", "ord", "start", "value", "valid")
 
 
-def _joined(*parts: tuple[Column, str] | str) -> tuple[Column, str]:
-    parts = [(F.lit(p), f"'{p}'") if isinstance(p, str) else p for p in parts]
-    return F.concat(*[p[0] for p in parts]), "(" + " || ".join(p[1] for p in parts) + ")"
+# --- validators, over identifiers made from keys ---
 
 
+# An identifier is told as parts, from which both sides are made: a text, ("pad", n, factor): the last n digits of the
+# key times the factor, or ("letter", factor, alphabet).
 _AZ, _VIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHJKLMNPRSTUVWXYZ0123456789X"
-
-
-def _identifiers() -> dict[str, tuple[Column, str]]:
-    vin = [_letters("o_orderkey", f, _VIN) for f in (1, 3, 7, 11, 13, 17, 19, 23)]
-    return {
-        "luhn_check": _joined("4", _padded(15, 7_919_777_777)),
-        "iban_mod97": _joined("GB", _padded(2, 17), "WEST", _padded(14, 1_234_577)),
-        "aba_checksum": _padded(9, 48_611),
-        "vin_check": _joined(*vin, _letters("o_orderkey", 29, "0123456789X"), *vin),
-        "ssn_check": _joined(_padded(3, 37), "-", _padded(2, 13), "-", _padded(4, 7)),
-        "ein_prefix": _joined(_padded(2, 1), "-", _padded(7, 31)),
-        "npi_check": _joined("1", _padded(9, 7_919)),
-        "dea_check": _joined(_letters("o_orderkey", 5, _AZ), _letters("o_orderkey", 3, _AZ + "9"), _padded(7, 104_729)),
-        "itin_check": _joined("9", _padded(2, 3), "-", _padded(2, 7), "-", _padded(4, 11)),
-        "sin_check": _joined(_padded(3, 11), " ", _padded(3, 13), " ", _padded(3, 17)),
-        "nir_check": _padded(15, 98_765_432_1),
-        "de_tax_check": _padded(11, 86_028_157),
-        "es_dni_check": _joined(_padded(8, 15_485_863), _letters("o_orderkey", 1, validators.DNI_LETTERS)),
-        "bsn_check": _padded(9, 15_485_867),
-    }
+_HALF_VIN = [("letter", f, _VIN) for f in (1, 3, 7, 11, 13, 17, 19, 23)]
+_IDENTIFIERS = {
+    "luhn_check": ["4", ("pad", 15, 7_919_777_777)],
+    "iban_mod97": ["GB", ("pad", 2, 17), "WEST", ("pad", 14, 1_234_577)],
+    "aba_checksum": [("pad", 9, 48_611)],
+    "vin_check": [*_HALF_VIN, ("letter", 29, "0123456789X"), *_HALF_VIN],
+    "ssn_check": [("pad", 3, 37), "-", ("pad", 2, 13), "-", ("pad", 4, 7)],
+    "ein_prefix": [("pad", 2, 1), "-", ("pad", 7, 31)],
+    "npi_check": ["1", ("pad", 9, 7_919)],
+    "dea_check": [("letter", 5, _AZ), ("letter", 3, _AZ + "9"), ("pad", 7, 104_729)],
+    "itin_check": ["9", ("pad", 2, 3), "-", ("pad", 2, 7), "-", ("pad", 4, 11)],
+    "sin_check": [("pad", 3, 11), " ", ("pad", 3, 13), " ", ("pad", 3, 17)],
+    "nir_check": [("pad", 15, 98_765_432_1)],
+    "de_tax_check": [("pad", 11, 86_028_157)],
+    "es_dni_check": [("pad", 8, 15_485_863), ("letter", 1, validators.DNI_LETTERS)],
+    "bsn_check": [("pad", 9, 15_485_867)],
+}
+
+
+def _column(part: str | tuple) -> Column:
+    key = F.col("o_orderkey")
+    if isinstance(part, str):
+        return F.lit(part)
+    if part[0] == "pad":
+        return F.lpad((key * part[2] % 10 ** part[1]).cast("string"), part[1], "0")
+    return F.substr(F.lit(part[2]), (key * part[1] % len(part[2]) + 1).cast("int"), F.lit(1))
+
+
+def _sql(part: str | tuple) -> str:
+    if isinstance(part, str):
+        return sql.q(part)
+    if part[0] == "pad":
+        return f"lpad((o_orderkey * {part[2]} % {10 ** part[1]})::VARCHAR, {part[1]}, '0')"
+    return f"substr('{part[2]}', (o_orderkey * {part[1]} % {len(part[2])} + 1)::INTEGER, 1)"
 
 
 def _validator(name: str):
     def run(spark, sf_dir):
-        value = _identifiers()[name][0]
+        value = F.concat(*map(_column, _IDENTIFIERS[name]))
         orders = _docs(spark, sf_dir, "orders").select("o_orderkey", value.alias("value"))
         return orders.select("o_orderkey", "value", validators.run(name, F.col("value")).alias("valid"))
 
@@ -159,15 +174,8 @@ def _validator(name: str):
     return run
 
 
-def _sql_identifiers() -> dict[str, str]:
-    """The SQL side alone: columns need a session, which is not there yet."""
-    from unittest import mock
-
-    with mock.patch(f"{__name__}.F", mock.MagicMock()):
-        return {name: x[1] for name, x in _identifiers().items()}
-
-
-for _name, _value in _sql_identifiers().items():
+for _name, _parts in _IDENTIFIERS.items():
+    _value = " || ".join(map(_sql, _parts))
     _query(f"SELECT o_orderkey, value, coalesce({sql.VALIDATORS[_name]('value')}, false) AS valid FROM (SELECT o_orderkey, {_value} AS value FROM orders)")(_validator(_name))
 
 
@@ -199,19 +207,52 @@ def name_runs(spark, sf_dir):
     return runs.select("doc_id", "ord", "token", F.col("run").cast("bigint").alias("run"), F.col("place").cast("bigint").alias("place"))
 
 
-@_query(f"WITH {sql.spans(RULES)} SELECT * FROM spans")
+@_query(planted.over(f"WITH {sql.spans(RULES)} SELECT * FROM spans"))
 def name_spans(spark, sf_dir):
-    return names.name_spans(_docs(spark, sf_dir), NAME, RULES.confidence)
+    return names.name_spans(planted.documents(spark, sf_dir), NAME, RULES.confidence)
 
 
-@_query(f"WITH {sql.spans(RULES)} SELECT detector, count(*) AS n_docs, sum(raw_count)::BIGINT AS n_spans FROM name_docs GROUP BY detector")
+@_query(planted.over(f"WITH {sql.spans(RULES)} SELECT detector, count(*) AS n_docs, sum(raw_count)::BIGINT AS n_spans FROM name_docs GROUP BY detector"))
 def name_docs(spark, sf_dir):
-    fired = names.name_spans(_docs(spark, sf_dir), NAME, RULES.confidence).where("fired")
+    fired = names.name_spans(planted.documents(spark, sf_dir), NAME, RULES.confidence).where("fired")
     return fired.groupBy(F.lit(NAME.id).alias("detector")).agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_spans"))
 
 
 # --- profiles and verdicts ---
 
+
+@_query(planted.over(sql.findings(RULES) + " SELECT * FROM findings"))
+def planted_findings(spark, sf_dir):
+    return detect.findings_long(planted.documents(spark, sf_dir), RULES)
+
+
+@_query(planted.over(sql.profiles(RULES) + " SELECT doc_id, profile_id, verdict_on_match, confidence, ['ALLOW', 'ESCALATE', 'BLOCK'][severity + 1] AS disposition FROM profiles"))
+def planted_profiles(spark, sf_dir):
+    return profiles_long(planted.documents(spark, sf_dir), RULES)
+
+
+@_query(planted.over(sql.verdicts(RULES) + " SELECT doc_id, verdict, profiles, bytes_seen FROM verdicts"))
+def planted_verdict(spark, sf_dir):
+    """With labels in some texts, which raise the verdict."""
+    found = F.array_join(F.array_sort(F.col("profiles.profile_id")), ",")
+    return inspect(planted.documents(spark, sf_dir), RULES).select("doc_id", "verdict", found.alias("profiles"), "bytes_seen")
+
+
+@_query(planted.over(sql.findings(RULES) + " SELECT doc_id, string_agg(detector || ':' || raw_count || ':' || validated_count || ':' || confidence, ',' ORDER BY confidence DESC, detector) AS detectors FROM findings WHERE fired GROUP BY doc_id"))
+def fired_detectors(spark, sf_dir):
+    """The fired detectors of each document in their order."""
+    told = F.transform("detectors", lambda x: F.concat_ws(":", x["id"], x["raw_count"], x["validated_count"], x["confidence"]))
+    return inspect(planted.documents(spark, sf_dir), RULES).where(F.size("detectors") > 0).select("doc_id", F.array_join(told, ",").alias("detectors"))
+
+
+@_query(planted.over(sql.verdicts(RULES) + " SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'ALLOW' ELSE 'ESCALATE' END WHEN doc_id % 3 = 0 AND verdict = 'ALLOW' THEN 'ESCALATE' ELSE verdict END AS verdict, CASE WHEN doc_id % 7 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'unsupported: none' ELSE 'cannot be read' END WHEN doc_id % 3 = 0 AND verdict = 'ALLOW' THEN " + sql.q(COVERAGE_NOTE) + " END AS note FROM verdicts"))
+def coverage_verdict(spark, sf_dir):
+    """Documents of which only a part was seen, and documents without a text."""
+    docs = planted.documents(spark, sf_dir)
+    error = F.when(F.col("doc_id") % 7 == 0, F.when(F.col("doc_id") % 2 == 0, "unsupported: none").otherwise("cannot be read"))
+    docs = docs.withColumns({"part": F.col("doc_id") % 3 == 0, "error": error})
+    return inspect(docs, RULES, partial="part", error="error").select("doc_id", "verdict", "note")
+
 _DISPOSITION = "['ALLOW', 'ESCALATE', 'BLOCK'][severity + 1]"
 
 
@@ -324,9 +365,10 @@ def compat_report(spark, sf_dir):
     return profiler.compat_report(spark, RULES)
 
 
-_REFERENCES = [(p.id, r) for p in RULES.profiles for r in sorted(p.match.references())]
+_BROKEN = replace(RULES, profiles=(*RULES.profiles, Profile("DRAFT", Node("or", of=(Node("detector", "email"), Node("detector", "retired_detector"))))))
+_REFERENCES = [(p.id, r) for p in _BROKEN.profiles for r in sorted(p.match.references())]
 
 
 @_query("SELECT profile_id, detector FROM " + _values(_REFERENCES) + " r(profile_id, detector) ANTI JOIN " + _values([(d.id,) for d in RULES.detectors]) + " d(detector) USING (detector)")
 def unresolved_references(spark, sf_dir):
-    return profiler.unresolved_references(spark, RULES)
+    return profiler.unresolved_references(spark, _BROKEN)

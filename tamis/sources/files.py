@@ -13,13 +13,13 @@ from .extract import ExtractOptions, extracted
 def scan_files(spark: SparkSession, path: str | list[str], recursive: bool = True, max_read_bytes: int | None = None, max_files: int | None = None, skip_suffix: str | None = None) -> DataFrame:
     """(path, length, content) of the files below `path`. Size limits are pushed into the scan. Spark's listing leaves out
     names that start with a dot or an underscore, and its scan files without a byte (they would be ALLOW); name the former
-    one by one to read them."""
+    one by one to read them. `max_files` takes the first by path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "length", "content")
     if max_read_bytes is not None:
         files = files.where(F.col("length") <= max_read_bytes)
     if skip_suffix:
         files = files.where(~F.col("path").endswith(skip_suffix))
-    return files if max_files is None else files.limit(max_files)
+    return files if max_files is None else files.orderBy("path").limit(max_files)
 
 
 def from_memory(spark: SparkSession, documents: list[tuple[str, bytes]]) -> DataFrame:

@@ -14,14 +14,19 @@ def names_of(root):
     return [line.split() for line in out.splitlines()[-2:]]
 
 
-def test_works_without_the_subpackage(tmp_path):
-    root = tmp_path / "repo"
-    shutil.copytree(ROOT, root, ignore=shutil.ignore_patterns(".git", "tests", "__pycache__", "spark-warehouse"))
-    shutil.rmtree(root / "tamis" / "llm", ignore_errors=True)
+def without_the_subpackage(root):
+    shutil.copytree(ROOT, root, ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse", "llm"))
     (root / "corpus_pipeline.py").unlink(missing_ok=True)
-    queries, oracle = names_of(str(root))
+    return str(root)
+
+
+def test_works_without_the_subpackage(tmp_path):
+    root = without_the_subpackage(tmp_path / "repo")
+    queries, oracle = names_of(root)
     assert "verdict" in queries and not [n for n in queries if n.startswith("op") or n == "pipeline"]
     assert set(oracle) <= set(queries)
+    tests = [sys.executable, "-m", "pytest", "-q", "-x", "tests/inspection/test_regex.py", "tests/inspection/test_validators.py"]
+    subprocess.run(tests, cwd=root, env=os.environ | {"PYTHONPATH": root}, check=True, capture_output=True)
 
 
 def test_entry(spark):
