@@ -21,6 +21,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` with a reliable checkpoint, so a lost executor never recomputes what stands before it."""
     checkpoint_dir(df.sparkSession)

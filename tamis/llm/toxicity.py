@@ -1,5 +1,10 @@
 """Toxicity by a classifier chain: linear models in a fixed order of categories, each of which sees, beside the words,
-the probabilities of the categories before it. The probabilities that a later model is trained on are out of fold."""
+the probabilities of the categories before it. The probabilities that a later model is trained on are out of fold.
+
+Labels say only whether a text is toxic. The categories before that are kinds of toxic texts, learnt from the labelled rows
+in whatever language they are: the words that speak for the label fall into groups that go together in the same texts, and
+a toxic text is of the kinds that it has words of. No word is fixed beforehand.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +22,8 @@ from pyspark.sql import types as T
 from .base import labelled_sample, stable
 from .linear import Rows, fit_logistic, sigmoid
 
-#: Labelled rows of each class that the chain is fitted on (in expectation), words and beginnings of words it looks at.
+#: Labelled rows of each class that the chain is fitted on (in expectation), words and beginnings of words it looks at
+#: (those that tell the classes apart best).
 TRAIN_PER_CLASS = 4000
 FEATURES = 1200
 #: A feature must be in so many distinct labelled texts, and be so many standard errors from chance.
@@ -25,13 +31,9 @@ LEAST_TEXTS, LEAST_Z = 4, 3.5
 PREFIX = 5
 FOLDS = 5
 THRESHOLD = 0.5
-#: Fixed seed words of the weak categories: a toxic text that has one of them is in the category.
-SEEDS = {
-    "insult": ("idiot", "moron", "stupid", "clown"),
-    "contempt": ("loser", "pathetic", "worthless"),
-    "disgust": ("trash", "scum", "disgusting"),
-}
-CATEGORIES = (*SEEDS, "toxic")
+#: Kinds of toxic texts that are learnt, in order of the number of their texts; the label itself is the last category.
+KINDS = 3
+CATEGORIES = (*(f"kind_{i + 1}" for i in range(KINDS)), "toxic")
 
 _WORD = re.compile(r"\w+")
 
@@ -92,10 +94,30 @@ def _damped(score):
     return np.clip(score, -6, 6) / 6
 
 
-def weak_categories(text: Column, toxic: Column) -> list[Column]:
-    """1 or 0 for each of CATEGORIES: the label itself, and for the others the label with a seed word in the text."""
-    hit = lambda seeds: F.lower(text).rlike(r"\b(?:" + "|".join(seeds) + r")\b")
-    return [(toxic * hit(seeds).cast("int")).alias(name) for name, seeds in SEEDS.items()] + [toxic.alias("toxic")]
+def kinds_of(found: list[list[int]], toxic: np.ndarray, speaks: np.ndarray, kinds: int = KINDS) -> np.ndarray:
+    """For each row 1 or 0 for each kind. The features marked by `speaks` are grouped by the toxic rows that they are in:
+    spherical k-means, begun with the most frequent feature and then those least like the ones before."""
+    rows = np.flatnonzero(toxic)
+    table = np.zeros((len(rows), len(speaks)), np.float32)
+    for i, r in enumerate(rows):
+        table[i, found[r]] = 1
+    chosen = np.flatnonzero(speaks & (table.sum(axis=0) > 0))
+    out = np.zeros((len(found), kinds))
+    if not len(chosen):
+        return out
+    unit = table[:, chosen].T / np.linalg.norm(table[:, chosen], axis=0)[:, None]
+    centres = [unit[int(np.argmax(table[:, chosen].sum(axis=0)))]]
+    while len(centres) < min(kinds, len(chosen)):
+        centres.append(unit[int(np.argmin((unit @ np.stack(centres).T).max(axis=1)))])
+    centres = np.stack(centres)
+    for _ in range(20):
+        group = np.argmax(unit @ centres.T, axis=1)
+        sums = np.stack([unit[group == k].sum(axis=0) if (group == k).any() else centres[k] for k in range(len(centres))])
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1), 1e-12)[:, None]
+    has = np.stack([(table[:, chosen[group == k]] > 0).any(axis=1) for k in range(len(centres))], axis=1)
+    order = np.argsort(-has.sum(axis=0), kind="stable")
+    out[rows[:, None], np.arange(len(centres))[None, :]] = has[:, order]
+    return out
 
 
 def fit_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = TRAIN_PER_CLASS) -> Chain | None:
@@ -110,7 +132,7 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     sample = F.broadcast(labelled_sample(known, "y", per_class, "id"))  # about 2 * per_class pairs of numbers
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     rows = texts.join(sample, "id").select("text", "y").groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"), F.max("y").alias("toxic"))
-    rows = stable(rows.select("h", *weak_categories(F.col("text"), F.col("toxic")), _words_udf("text").alias("words")))
+    rows = stable(rows.select("h", "toxic", _words_udf("text").alias("words")))
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return None
@@ -119,16 +141,20 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     counted = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     a, b = F.col("a"), F.col("b")
     z = (odds(a, n[1]) - odds(b, n[0])) / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    chosen = counted.withColumn("z", F.abs(z)).where((a + b >= LEAST_TEXTS) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "word").limit(FEATURES)
-    features = sorted(r["word"] for r in chosen.select("word").collect())
+    strength = F.abs("z")
+    chosen = counted.withColumn("z", z).where((a + b >= LEAST_TEXTS) & (strength >= LEAST_Z)).orderBy(F.desc(strength), "word").limit(FEATURES)
+    leans = {r["word"]: r["z"] > 0 for r in chosen.select("word", "z").collect()}
+    features = sorted(leans)
     if not features:
         return None
     places = F.array_sort(F.array_intersect("words", F.from_json(F.lit(_json(features)), "array<string>")))
-    got = rows.select("h", *CATEGORIES, places.alias("words")).toArrow().to_pylist()
+    got = rows.select("h", "toxic", places.alias("words")).toArrow().to_pylist()
     got.sort(key=lambda r: r["h"])
     at = {f: i for i, f in enumerate(features)}
     found = [[at[w] for w in r["words"]] for r in got]
-    y = np.array([[r[c] for c in CATEGORIES] for r in got], np.float64)
+    toxic = np.array([r["toxic"] for r in got], np.float64)
+    speaks = np.array([leans[f] and not f.startswith("^") for f in features])
+    y = np.concatenate((kinds_of(found, toxic, speaks), toxic[:, None]), axis=1)
     share = np.array([totals[0] / n[0], totals[1] / n[1]])  # as many as there are, though the classes were drawn alike
     weight = share[y[:, -1].astype(int)]
     return Chain.fit(CATEGORIES, features, found, y, np.array([r["h"] % FOLDS for r in got]), weight)

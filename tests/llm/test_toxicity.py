@@ -64,3 +64,40 @@ def test_rows_outside_the_sample(spark, monkeypatch):
     assert hit >= 0.9 * (hit + missed) and wrong <= 0.01 * clean, (hit, missed, wrong, clean)
     flagged = op9_toxicity(spark, "/root/testdata/sf0.01")
     assert flagged.where("not is_toxic").count() == 0 and flagged.count() > 0
+
+
+def test_kinds_are_groups_of_words_that_go_together():
+    rng = random.Random(3)
+    groups = [["idiot", "moron"], ["grobzeug", "abschaum"], ["ordure", "racaille"]]
+    words = [w for g in groups for w in g] + ["house"]
+    found, toxic, kind = [], [], []
+    for i in range(300):
+        g = rng.choices(range(3), [5, 3, 2])[0]
+        toxic.append(float(i % 2))
+        kind.append(g)
+        found.append([words.index("house")] + ([words.index(w) for w in groups[g]] if i % 2 else []))
+    got = t.kinds_of(found, np.array(toxic), np.array([True] * 6 + [False]))
+    for row, y, g in zip(got, toxic, kind, strict=True):
+        assert row.tolist() == [float(y and g == k) for k in range(3)]
+    assert not t.kinds_of(found, np.array(toxic), np.zeros(7, bool)).any()
+
+
+def test_scores_by_plain_loops(spark):
+    """From words to probabilities without numpy, for all rows of the smallest table."""
+    import math
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    chain = t.fit_toxicity(docs, labels)
+    got = {r["doc_id"]: r for r in t.toxicity(docs, chain).collect()}
+    for r in docs.collect():
+        logits = []
+        for w in chain.weights:
+            score = float(w[-1])
+            for word, place in chain.places.items():
+                score += float(w[place]) * (word in t.words_of(r["text"]))
+            for k, earlier in enumerate(logits):
+                score += float(w[len(chain.places) + k]) * max(-6.0, min(6.0, earlier)) / 6
+            logits.append(score)
+        for c, score in zip(t.CATEGORIES, logits, strict=True):
+            assert abs(got[r["doc_id"]][f"p_{c}"] - 1 / (1 + math.exp(-score))) < 1e-6
