@@ -168,8 +168,9 @@ def _views(got: pa.Table) -> list[np.ndarray]:
     return [a, b]
 
 
-def _unlabelled(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Features of both views of all rows without a label, kept for the rounds: mark of the text, source group, a, b."""
+def _pool(rows: DataFrame) -> DataFrame:
+    """Features of all rows, kept for the rounds: id, mark of the text (h), those of the text (a), metadata. They stay where
+    they are made: neither texts nor features are shuffled."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,64 +179,54 @@ def _unlabelled(rows: DataFrame, known: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, marks, pa.array(a, pa.binary()), metas], ["id", "h", "a", "meta"])
 
     kinds = T.StructType([rows.schema["id"], T.StructField("h", T.LongType()), T.StructField("a", T.BinaryType()), T.StructField("meta", T.ArrayType(T.StringType()))])
-    # the labels go with the rows that have them; only the rest is turned into features
-    alone = rows.join(known.select("id").distinct(), "id", "left_anti").select("id", "text", "meta", "h")
-    return stable(alone.mapInArrow(extract, kinds).select("h", "a", "meta"))
+    return stable(rows.select("id", "text", "meta", "h").mapInArrow(extract, kinds))
 
 
-def _surest(pool: DataFrame) -> Surest:
-    """Over all rows of `pool`. A task keeps, of each view, label and group (the first metadata column), the distinct texts
-    that it is surest of; their union holds those of the whole corpus, of which the groups get equal parts."""
-    groups = pool.agg(F.approx_count_distinct(F.coalesce(F.col("meta")[0], F.lit("")), 0.01)).first()[0]
+def _surest(pool: DataFrame, known: DataFrame) -> Surest:
+    """Over all rows of `pool` whose id is not in `known`. In a round every row that a view is sure of becomes a narrow row;
+    those with a label go, equal texts become one, and the groups (the first metadata column) get equal parts of what is
+    handed over. Only what is handed over is looked up again for its features."""
+    group = F.coalesce(F.get("meta", F.lit(0)), F.lit(""))
+    groups = pool.agg(F.approx_count_distinct(group, 0.01)).first()[0]
     most = max(1, -(-HANDED_OVER // max(1, groups)))
+    kinds = T.StructType([pool.schema["id"], *(T.StructField(n, k) for n, k in (("v", T.IntegerType()), ("y", T.IntegerType()), ("h", T.LongType()), ("sure", T.DoubleType()), ("meta", T.ArrayType(T.StringType()))))])
 
     def surest(views: list[np.ndarray], taken: list[set[int]]) -> list[tuple[int, int, list[int], list[np.ndarray]]]:
-        held = pool.sparkSession.sparkContext.broadcast((views, taken))
+        held = pool.sparkSession.sparkContext.broadcast((views, [np.fromiter(sorted(t), np.int64, len(t)) for t in taken]))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             views, taken = held.value
-            best: dict[tuple[int, int, str], dict[int, tuple[float, bytes, list[str]]]] = {}
-            floor: dict[tuple[int, int, str], float] = {}
             for batch in batches:
-                marks, raw, metas = (batch.column(i).to_pylist() for i in range(3))
-                if not marks:
+                if not batch.num_rows:
                     continue
-                xs = [np.frombuffer(b"".join(raw), np.float16).reshape(len(raw), -1).astype(np.float32), np.stack([metadata_features(m) for m in metas])]
+                marks, metas = batch.column(1).to_numpy(), batch.column(3).to_pylist()
+                xs = [np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float16).reshape(len(marks), -1).astype(np.float32), np.stack([metadata_features(m) for m in metas])]
                 for v in (0, 1):
                     p = sigmoid(scores(xs[v], views[v]))
-                    for label, sure in ((1, p), (0, 1 - p)):
-                        for i in np.flatnonzero(sure >= SURE):
-                            key = (v, label, metas[i][0] if metas[i] else "")
-                            h, s = marks[i], float(sure[i])
-                            if h in taken[1 - v] or s < floor.get(key, 0):
-                                continue
-                            mine = best.setdefault(key, {})
-                            if h not in mine or (-s, metas[i]) < (-mine[h][0], mine[h][2]):
-                                mine[h] = (s, raw[i], metas[i])
-                            if len(mine) > 2 * most:
-                                keep = sorted(mine, key=lambda h: (-mine[h][0], h))[:most]
-                                best[key] = {h: mine[h] for h in keep}
-                                floor[key] = mine[keep[-1]][0]
-            out = [(v, y, g, h, *mine[h]) for (v, y, g), mine in best.items() for h in sorted(mine, key=lambda h: (-mine[h][0], h))[:most]]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.string())), strict=True)], ["v", "y", "g", "h", "sure", "a", "meta"])
-
-        found = pool.mapInArrow(search, "v int, y int, g string, h bigint, sure double, a binary, meta array<string>")
-        once = Window.partitionBy("v", "y", "h").orderBy(F.desc("sure"), "meta")
-        ranked = Window.partitionBy("v", "y", "g").orderBy(F.desc("sure"), "h")
-        found = found.withColumn("n", F.row_number().over(once)).where("n = 1").withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= most)
-        found = stable(found)
+                    sure = np.maximum(p, 1 - p)
+                    at = pa.array(np.flatnonzero((sure >= SURE) & ~np.isin(marks, taken[1 - v])))
+                    label = pa.array((p >= 0.5).astype(np.int32)).take(at)
+                    view = pa.array(np.full(len(at), v, np.int32))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), view, label, batch.column(1).take(at), pa.array(sure.astype(np.float64)).take(at), batch.column(3).take(at)], ["id", "v", "y", "h", "sure", "meta"])
+
+        found = pool.mapInArrow(search, kinds).join(known.select("id").distinct(), "id", "left_anti")
+        once = found.groupBy("v", "y", "h").agg(F.min(F.struct((-F.col("sure")).alias("less"), "meta")).alias("best")).select("v", "y", "h", "best.less", "best.meta")
+        ranked = Window.partitionBy("v", "y", group).orderBy("less", "h")
+        firsts = stable(once.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= most))
         # the groups' firsts come before their seconds, so many groups do not make more rows
         pairs, out = [(v, y) for v in (0, 1) for y in (1, 0)], []
-        parts = [found.where((F.col("v") == v) & (F.col("y") == y)).orderBy("n", F.desc("sure"), "h").limit(HANDED_OVER) for v, y in pairs]
-        table = [r for part in parts for r in part.collect()]
-        chosen: list[set[int]] = [set(), set()]
-        for v, y in pairs:
-            rows = sorted((r for r in table if r["v"] == v and r["y"] == y and r["h"] not in chosen[v]), key=lambda r: r["h"])
-            chosen[v].update(r["h"] for r in rows)
+        parts = [firsts.where((F.col("v") == v) & (F.col("y") == y)).orderBy("n", "less", "h").limit(HANDED_OVER) for v, y in pairs]
+        chosen: dict[tuple[int, int], dict[int, list[str]]] = {}
+        for (v, y), part in zip(pairs, parts, strict=True):
+            already = chosen.get((v, 1), {}) if y == 0 else {}
+            chosen[v, y] = {r["h"]: r["meta"] for r in part.collect() if r["h"] not in already}
+        marks = sorted({h for rows in chosen.values() for h in rows})
+        texts = pool.where(F.col("h").isin(marks)).groupBy("h").agg(F.min("a").alias("a")).collect() if marks else []
+        texts = {r["h"]: np.frombuffer(bytes(r["a"]), np.float16).astype(np.float32) for r in texts}
+        for (v, y), rows in chosen.items():
             if rows:
-                a = np.frombuffer(b"".join(bytes(r["a"]) for r in rows), np.float16).reshape(len(rows), -1).astype(np.float32)
-                out.append((v, y, [r["h"] for r in rows], [a, np.stack([metadata_features(r["meta"]) for r in rows])]))
+                hs = sorted(rows)
+                out.append((v, y, hs, [np.stack([texts[h] for h in hs]), np.stack([metadata_features(rows[h]) for h in hs])]))
         return out
 
     return surest
@@ -259,10 +250,10 @@ def fit_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     y = np.array(got["y"].to_pylist(), np.float64)
     if len(np.unique(y)) < 2:
         return None
-    pool = _unlabelled(rows, known)
+    pool = _pool(rows)
     share = np.array([totals[k] / max(1, (y == k).sum()) for k in (0, 1)])  # as many as there are, though drawn alike
     apart = np.array(got["h"].to_pylist()) % CALIBRATION == 0
-    return QualityModel.fit(_views(got), y, apart, _surest(pool), share[y.astype(int)])
+    return QualityModel.fit(_views(got), y, apart, _surest(pool, known), share[y.astype(int)])
 
 
 def quality(df: DataFrame, model: QualityModel | None, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = _META_COLUMNS, length_col: str = "n_chars", threshold: float = THRESHOLD) -> DataFrame:

@@ -78,11 +78,14 @@ def test_surest_rows_by_hand(spark, monkeypatch):
     import random as r
 
     rng = r.Random(5)
+    labelled = {4, 5, 74}
     rows = [(i % 70, q.text_features(f"{i % 70} " + "word " * rng.randint(1, 40)).astype("float16").tobytes(), [f"source=s{i % 3}"]) for i in range(300)]
-    pool = spark.createDataFrame(rows, "h bigint, a binary, meta array<string>").repartition(5)
+    pool = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id bigint, h bigint, a binary, meta array<string>").repartition(5)
+    known = spark.createDataFrame([(i,) for i in labelled], "id bigint")
+    rows = [r for i, r in enumerate(rows) if i not in labelled]
     views = [np.random.default_rng(1).normal(size=q.SHAPES + q.TEXT_WIDTH + 1) * 4, np.random.default_rng(2).normal(size=q.META_WIDTH + 1)]
     taken = [{1, 2, 3}, set(range(0, 70, 7))]
-    got = {(v, y): set(h) for v, y, h, _ in q._surest(pool)(views, taken)}
+    got = {(v, y): set(h) for v, y, h, _ in q._surest(pool, known)(views, taken)}
     for y in (0, 1):
         best = {}
         for h, a, meta in rows:
