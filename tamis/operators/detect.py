@@ -9,6 +9,7 @@ row for each match, for analytics.
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +34,14 @@ def has_digit(text: Column) -> Column:
 def has_any(text: Column, words: tuple[str, ...]) -> Column:
     """Whether `text` contains any of `words`, as they are written. Plain searches over bytes: a pattern with the words as
     alternatives would take many times as long."""
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(text, F.lit(w))
-    return out
+    return _any([F.contains(text, F.lit(w)) for w in words])
+
+
+def _any(tests: list[Column]) -> Column:
+    """Their disjunction, as a flat tree."""
+    if len(tests) < 2:
+        return tests[0] if tests else F.lit(False)
+    return _any(tests[: len(tests) // 2]) | _any(tests[len(tests) // 2 :])
 
 
 def guard(d: Detector, text: Column, lower: Column, digit: Column) -> Column:
@@ -59,7 +64,7 @@ def all_matches(text: Column, pattern: str, limit: int | None = MAX_MATCHES) ->
     return found if limit is None else F.slice(found, 1, limit)
 
 
-def _usable(rules: RuleSet, ids: list[str] | None = None) -> list[Detector]:
+def _usable(rules: RuleSet, ids: tuple[str, ...] | None = None) -> list[Detector]:
     return [d for d in rules.detectors if d.kind == "regex" and d.pattern and (ids is None or d.id in ids)]
 
 
@@ -79,10 +84,13 @@ def _valid(value: Column, names: Column, known: set[str]) -> Column:
     """Whether `value` passes all the validators that `names` has."""
 
     def passes(name: Column) -> Column:
-        out = F.lit(False)
-        for v in sorted(known & set(validators.VALIDATORS)):
-            out = F.when(name == v, validators.run(v, value)).otherwise(out)
-        return out
+        tests = [(name == v, validators.run(v, value)) for v in sorted(known & set(validators.VALIDATORS))]
+        if not tests:
+            return F.lit(False)
+        out = F.when(*tests[0])
+        for test in tests[1:]:
+            out = out.when(*test)
+        return out.otherwise(False)
 
     return F.forall(names, passes) if known else F.lit(True)
 
@@ -116,21 +124,33 @@ def _scored(detectors: list[Detector], rules: RuleSet, table: Column, text: Colu
     return score
 
 
-def found_array(df: DataFrame, rules: RuleSet, text: Column, lower: Column, digit: Column, ids: list[str] | None = None, unless: str | None = None, out: str = "_found") -> DataFrame:
-    """`df` with an array `out` of (id, finding) of the detectors in `ids` (None: all) that have a finding. Where the
-    column `unless` is true nothing is looked for, and the array is empty."""
+def registry() -> tuple:
+    """What rules compile to depends on the validators that are known by now."""
+    return tuple(sorted((name, id(v)) for name, v in validators.VALIDATORS.items()))
+
+
+@lru_cache(maxsize=32)
+def _compiled(application: str, known: tuple, rules: RuleSet, text_col: str, ids: tuple[str, ...] | None, unless: str | None) -> tuple[Column, dict[str, Column], Column]:
+    """Columns by name, so that one compilation serves every table: the hits, name findings, and all findings over them."""
+    text, lower, digit = F.col(text_col).cast("string"), F.col("_lower"), F.col("_digit")
     detectors = _usable(rules, ids)
-    wanted = ~F.col(unless) if unless else F.lit(True)
-    table, none = _table(detectors), F.array().cast("array<struct<at:int,m:array<string>>>")
-    df = df.withColumn("_hits", F.when(wanted, _hits(detectors, text, lower, digit, MAX_MATCHES)).otherwise(none) if unless else _hits(detectors, text, lower, digit, MAX_MATCHES))
-    found = [F.transform("_hits", _scored(detectors, rules, table, text, lower)).cast(_FOUND)]
+    hits, none = _hits(detectors, text, lower, digit, MAX_MATCHES), F.array().cast("array<struct<at:int,m:array<string>>>")
+    hits = F.when(~F.col(unless), hits).otherwise(none) if unless else hits
+    found, by_names = [F.transform("_hits", _scored(detectors, rules, _table(detectors), text, lower)).cast(_FOUND)], {}
     for d in rules.detectors:
         if d.kind == "dictionary" and (ids is None or d.id in ids):
-            df = df.withColumn(f"_n_{d.id}", F.when(wanted, name_finding(d, rules.confidence, text, lower)).cast(FINDING))
+            finding = name_finding(d, rules.confidence, text, lower)
+            by_names[f"_n_{d.id}"] = (F.when(~F.col(unless), finding) if unless else finding).cast(FINDING)
             one = F.array(F.struct(F.lit(d.id).alias("id"), F.col(f"_n_{d.id}").alias("finding")))
             found.append(F.when(F.col(f"_n_{d.id}").isNotNull(), one).otherwise(F.array()).cast(_FOUND))
-    names = [c for c in df.columns if c.startswith("_n_")]
-    return df.withColumn(out, F.concat(*found) if len(found) > 1 else found[0]).drop("_hits", *names)
+    return hits, by_names, F.concat(*found)
+
+
+def found_array(df: DataFrame, rules: RuleSet, text_col: str, ids: tuple[str, ...] | None = None, unless: str | None = None, out: str = "_found") -> DataFrame:
+    """`df`, which has `_lower` and `_digit`, with an array `out` of (id, finding) of the detectors in `ids` (None: all)
+    that have a finding. Where the column `unless` is true nothing is looked for, and the array is empty."""
+    hits, by_names, found = _compiled(df.sparkSession.sparkContext.applicationId, registry(), rules, text_col, ids, unless)
+    return df.withColumns({"_hits": hits, **by_names}).withColumn(out, found).drop("_hits", *by_names)
 
 
 def with_findings(df: DataFrame, rules: RuleSet, text_col: str = "text") -> DataFrame:
@@ -140,7 +160,7 @@ def with_findings(df: DataFrame, rules: RuleSet, text_col: str = "text") -> Data
     """
     text = F.col(text_col).cast("string")
     df = df.withColumns({"_lower": F.lower(text), "_digit": has_digit(text)})
-    df = found_array(df, rules, text, F.col("_lower"), F.col("_digit")).withColumn("_by", F.map_from_entries("_found"))
+    df = found_array(df, rules, text_col).withColumn("_by", F.map_from_entries("_found"))
     return df.withColumns({f"f_{d.id}": F.col("_by")[d.id] for d in rules.detectors}).drop("_lower", "_digit", "_found", "_by")
 
 
@@ -162,7 +182,7 @@ def findings_long(df: DataFrame, rules: RuleSet, id_col: str = "doc_id", text_co
     """One row for each document and detector with a finding."""
     base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     base = base.withColumns({"_lower": F.lower("_text"), "_digit": has_digit(F.col("_text"))})
-    found = found_array(base, rules, F.col("_text"), F.col("_lower"), F.col("_digit"))
+    found = found_array(base, rules, "_text")
     fields = ("raw_count", "validated_count", "keyword_found", "confidence", "fired")
     flat = F.transform("_found", lambda x: F.struct(x["id"].alias("detector"), *[x["finding"][c].alias(c) for c in fields]))
     return found.select("doc_id", F.inline(flat))

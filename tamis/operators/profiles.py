@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +43,9 @@ def disposition(confidence: Column, p: Profile, rules: RuleSet) -> Column:
     return F.least(F.when(confidence >= rules.confidence.block_threshold, 2).otherwise(1), F.lit(ceiling))
 
 
-def with_profiles(df: DataFrame, rules: RuleSet, by: str = "_by", out: str = "profiles") -> DataFrame:
-    """`df` with an array `out` of the satisfied profiles in the order of the rules, from a map `by` of findings by
-    detector."""
+@lru_cache(maxsize=32)
+def _compiled(application: str, rules: RuleSet, by: str) -> tuple[dict[str, Column], dict[str, Column], Column]:
+    """Columns of the leaves, of each profile's confidence, and the array over them."""
     leaves = {_leaf(n): n for p in rules.profiles for n in _leaves(p.match) if rules.detector(n.id)}
 
     def leaf(n: Node) -> Column:
@@ -66,5 +66,12 @@ def with_profiles(df: DataFrame, rules: RuleSet, by: str = "_by", out: str = "pr
         for p in rules.profiles
     ]
     profiles = F.array_compact(F.array(*each)) if each else F.array().cast(f"array<{PROFILE}>")
-    df = df.withColumns({name: leaf(n) for name, n in leaves.items()}) if leaves else df
+    return {name: leaf(n) for name, n in leaves.items()}, conf, profiles
+
+
+def with_profiles(df: DataFrame, rules: RuleSet, by: str = "_by", out: str = "profiles") -> DataFrame:
+    """`df` with an array `out` of the satisfied profiles in the order of the rules, from a map `by` of findings by
+    detector."""
+    leaves, conf, profiles = _compiled(df.sparkSession.sparkContext.applicationId, rules, by)
+    df = df.withColumns(leaves) if leaves else df
     return df.withColumns(conf).withColumn(out, profiles).drop(*conf, *leaves)

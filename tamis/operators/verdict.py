@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import replace
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,34 +22,35 @@ def verdict_name(severity: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, VERDICTS)), severity.cast("int") + 1)
 
 
-def fired_detectors(found: Column, rules: RuleSet) -> Column:
-    """The fired findings of an array of (id, finding), by descending confidence and then by id."""
+@lru_cache(maxsize=32)
+def fired_detectors(application: str, rules: RuleSet) -> Column:
+    """The fired findings of the array `_found` of (id, finding), by descending confidence and then by id."""
+    found = F.col("_found")
     names = F.from_json(F.lit(json.dumps({d.id: d.name or d.id for d in rules.detectors})), "map<string,string>")
     kept = F.transform(F.filter(found, lambda x: x["finding"]["fired"]), lambda x: F.struct((-x["finding"]["confidence"]).alias("order"), x["id"].alias("id"), x["finding"]["raw_count"].alias("raw_count"), x["finding"]["validated_count"].alias("validated_count")))
     return F.transform(F.array_sort(kept), lambda x: F.struct(x["id"].alias("id"), names[x["id"]].alias("name"), x["raw_count"].alias("raw_count"), x["validated_count"].alias("validated_count"), (-x["order"]).alias("confidence")))
 
 
-def _batches(rules: RuleSet) -> list[list[str]]:
-    ids, n = [d.id for d in rules.by_priority], max(1, rules.early_exit.batch)
+def _batches(rules: RuleSet) -> list[tuple[str, ...]]:
+    ids, n = tuple(d.id for d in rules.by_priority), max(1, rules.early_exit.batch)
     return [ids[i : i + n] for i in range(0, len(ids), n)]
 
 
 def _with_found(df: DataFrame, rules: RuleSet) -> DataFrame:
     """`df` with `_found` and `short_circuited`. With an early exit, batches after the one that ended the scan are not
     scanned for. Batches have a fixed size, so the result does not depend on the machine."""
-    text, lower, digit = F.col("_text"), F.col("_lower"), F.col("_digit")
-    df = df.withColumns({"_lower": F.lower(text), "_digit": has_digit(text)})
+    df = df.withColumns({"_lower": F.lower("_text"), "_digit": has_digit(F.col("_text"))})
     if not rules.early_exit.enabled:
-        return found_array(df, rules, text, lower, digit).withColumn("short_circuited", F.lit(False)).drop("_lower", "_digit")
+        return found_array(df, rules, "_text").withColumn("short_circuited", F.lit(False)).drop("_lower", "_digit")
     batches = _batches(rules)
-    df = found_array(df, rules, text, lower, digit, batches[0] if batches else []).withColumn("short_circuited", F.lit(False))
+    df = found_array(df, rules, "_text", batches[0] if batches else ()).withColumn("short_circuited", F.lit(False))
     for batch in batches[1:]:
         df = with_profiles(df.withColumn("_by", F.map_from_entries("_found")), rules, out="_so_far")
         ends = F.exists("_so_far", lambda p: p["severity"] == 2) if rules.early_exit.stop_on_block else F.lit(False)
         if most := rules.early_exit.max_total_matches:
             ends = ends | (F.aggregate("_found", F.lit(0).cast("bigint"), lambda n, x: n + x["finding"]["raw_count"]) >= most)
         df = df.withColumn("short_circuited", F.col("short_circuited") | ends).drop("_so_far", "_by")
-        df = found_array(df, rules, text, lower, digit, batch, "short_circuited", "_more")
+        df = found_array(df, rules, "_text", batch, "short_circuited", "_more")
         df = df.withColumn("_found", F.concat("_found", "_more")).drop("_more")
     return df.drop("_lower", "_digit")
 
@@ -72,7 +74,7 @@ def inspect(df: DataFrame, rules: RuleSet, text_col: str = "text", source_labels
     )
     df = _with_found(df, rules).withColumn("_by", F.map_from_entries("_found"))
     df = with_profiles(df, rules)
-    df = df.withColumns({"_body": body_labels(F.col("_text"), rules), "_detectors": fired_detectors(F.col("_found"), rules)})
+    df = df.withColumns({"_body": body_labels(F.col("_text"), rules), "_detectors": fired_detectors(df.sparkSession.sparkContext.applicationId, rules)})
     severity = F.coalesce(F.array_max(F.transform("profiles", lambda p: p["severity"])), F.lit(0))
     severity = F.greatest(severity, F.when(F.size("_body") > 0, 1).otherwise(0), F.when(F.size("_meta") > 0, 2).otherwise(0))
     uncovered = F.col("_in_part") & (severity == 0)
