@@ -239,6 +239,27 @@ def predicted_language(text: Column, model: LanguageModel | None, df: DataFrame)
     return F.pandas_udf(predict, _ANSWER)(text)
 
 
+_JUDGED = T.StructType([*_ANSWER.fields, T.StructField("strangeness", T.DoubleType())])
+
+
+def judged_language(text: Column, model: LanguageModel | None, familiar: Familiarity | None, df: DataFrame) -> Column:
+    """A struct of lang_pred, score and strangeness, as `predicted_language` and `strangeness` give them, in one pass."""
+    held = df.sparkSession.sparkContext.broadcast((model, familiar))  # a few vectors of WIDTH numbers
+
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        import regex
+
+        letter, (model, familiar) = regex.compile(r"\p{L}").search, held.value
+        out = []
+        for t in texts:
+            lang, score = model.predict(features(t)) if model is not None and t is not None and letter(t) else (UNDETERMINED, 0.0)
+            known = familiar is not None and lang in familiar.bits
+            out.append((lang, score, familiar.strangeness(prose_features(t), lang) if known else None))
+        return pd.DataFrame(out, columns=_JUDGED.names).astype({"strangeness": "float64"})
+
+    return F.pandas_udf(judge, _JUDGED)(text)
+
+
 def identified(df: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `df`: doc_id, held_out, lang_pred, score. Only the whole text decides. A null id is not
     held out; repeated rows stay; other columns are ignored; an empty table gives an empty result."""
