@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .base import stable, unused
-from .components import connected_components
+from .components import connected_components, joined_evenly
 
 THRESHOLD = 4
 SHINGLE_WORDS = 4
@@ -208,13 +208,16 @@ def near_links(prints: DataFrame, hot_homes: int = HOT_HOMES) -> DataFrame:
     return dealt.mapInArrow(_compared, "a bigint, b bigint")
 
 
-def _components(docs: DataFrame, *order: str) -> DataFrame:
-    """(print, first): for each distinct fingerprint of `docs`, the least of `order` in its whole component."""
-    prints = stable(docs.groupBy("print").agg(F.min(F.struct(*order)).alias("least")))
+def _components(docs: DataFrame, *order: str) -> tuple[DataFrame, DataFrame]:
+    """(print, n, first): for each distinct fingerprint of `docs`, its rows and the least of `order` in its whole component;
+    and (print, n) alone, which is there already."""
+    prints = stable(docs.groupBy("print").agg(F.min(F.struct(*order)).alias("least"), F.count("*").alias("n")))
     stars = connected_components(near_links(prints.select("print")))
     roots = prints.join(stars.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-    least = roots.groupBy("root").agg(F.min("least").alias("first"))
-    return roots.select("print", "root").join(least, "root").select("print", "first")
+    least = roots.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("n"))
+    of_print = roots.select("print", "root", F.col("n").alias("copies"))
+    named = joined_evenly(of_print, least, "root", prints.count()).select("print", F.col("copies").alias("n"), "first")
+    return named, prints.select("print", "n")
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,8 +230,8 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gives an empty result; other columns of `df` are ignored.
     """
     docs = stable(df.select(F.col(id_col).alias("doc_id"), simhash64(F.col(text_col).cast("string")).alias("print")))
-    named = _components(docs.select("print", F.col("doc_id").isNull().alias("no_id"), "doc_id"), "no_id", "doc_id")
-    out = docs.join(named, "print")
+    named, counts = _components(docs.select("print", F.col("doc_id").isNull().alias("no_id"), "doc_id"), "no_id", "doc_id")
+    out = joined_evenly(docs, named, "print", docs.count(), counts)
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
@@ -241,7 +244,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     columns = df.columns
     digest, no_id = F.xxhash64(*[F.col(c) for c in columns]), F.col(id_col).isNull()
     docs = stable(df.select(simhash64(F.col(text_col).cast("string")).alias("print"), no_id.alias("_no_id"), F.col(id_col).alias("_id"), digest.alias("_digest")))
-    named = _components(docs, "_no_id", "_id", "_digest")
+    named, _ = _components(docs, "_no_id", "_id", "_digest")
     keys = stable(named.select("first.*").distinct())
     own = unused(df, "_digest")
     whole = df.withColumn(own, digest)

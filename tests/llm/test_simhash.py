@@ -3,8 +3,8 @@ import random
 import numpy as np
 import xxhash
 
-from tamis.llm import simhash
-from tamis.llm.components import connected_components
+from tamis.llm import components, simhash
+from tamis.llm.components import connected_components, joined_evenly
 from tamis.llm.simhash import fingerprint, near_links, simhash_components
 
 
@@ -90,3 +90,21 @@ def test_documents(spark):
             least[want[p]] = min(i, least.get(want[p], i))
     assert got == sorted(((r[0], f"{texts[r[0]]:016x}", least.get(want[texts[r[0]]])) for r in rows), key=str)
     assert simhash_components(frame.limit(0)).collect() == []
+
+
+def test_hubs_are_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB_ROWS", 10)
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 500), (2, 11), (3, 10), (4, 1)) for i in range(n)], "k int, v int")
+    facts = spark.createDataFrame([(1, 500, "a"), (2, 11, "b"), (3, 10, "c"), (4, 1, "d"), (5, 0, "e")], "k int, n bigint, fact string")
+    got = joined_evenly(rows, facts.where("n > 0"), "k", 522)
+    assert got.columns == ["k", "v", "fact"]
+    assert sorted(map(tuple, got.collect())) == sorted((r["k"], r["v"], "abcd"[r["k"] - 1]) for r in rows.collect())
+    assert joined_evenly(rows.limit(0), facts.limit(0), "k", 0).collect() == []
+    # a star, a chain and a clique, all larger than a hub
+    links = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 160)] + [(i, j) for i in range(200, 225) for j in range(i)][-300:]
+    want = roots_of({x for link in links for x in link}, lambda a, b: (a, b) in links or (b, a) in links)
+    found = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    groups = {}
+    for node, root in want.items():
+        groups.setdefault(root, []).append(node)
+    assert all(found.get(x, x) == min(g) for g in groups.values() for x in g)
