@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import re2, validators
 from ..plans.rules import Detector, RuleSet
 from .names import name_finding
+from .once import once
 from .places import match_starts, near
 
 #: Matches of a detector in one document that findings look at.
@@ -150,7 +151,7 @@ def found_array(df: DataFrame, rules: RuleSet, text_col: str, ids: tuple[str, ..
     """`df`, which has `_lower` and `_digit`, with an array `out` of (id, finding) of the detectors in `ids` (None: all)
     that have a finding. Where the column `unless` is true nothing is looked for, and the array is empty."""
     hits, by_names, found = _compiled(df.sparkSession.sparkContext.applicationId, registry(), rules, text_col, ids, unless)
-    return df.withColumns({"_hits": hits, **by_names}).withColumn(out, found).drop("_hits", *by_names)
+    return once(once(df, {"_hits": hits, **by_names}), {out: found}).drop("_hits", *by_names)
 
 
 def with_findings(df: DataFrame, rules: RuleSet, text_col: str = "text") -> DataFrame:
@@ -159,7 +160,7 @@ def with_findings(df: DataFrame, rules: RuleSet, text_col: str = "text") -> Data
     Texts are looked at whole. Columns of `df` named f_... of a detector are replaced.
     """
     text = F.col(text_col).cast("string")
-    df = df.withColumns({"_lower": F.lower(text), "_digit": has_digit(text)})
+    df = once(df, {"_lower": F.lower(text), "_digit": has_digit(text)})
     df = found_array(df, rules, text_col).withColumn("_by", F.map_from_entries("_found"))
     return df.withColumns({f"f_{d.id}": F.col("_by")[d.id] for d in rules.detectors}).drop("_lower", "_digit", "_found", "_by")
 
@@ -181,7 +182,7 @@ def matches_long(df: DataFrame, rules: RuleSet, id_col: str = "doc_id", text_col
 def findings_long(df: DataFrame, rules: RuleSet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document and detector with a finding."""
     base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
-    base = base.withColumns({"_lower": F.lower("_text"), "_digit": has_digit(F.col("_text"))})
+    base = once(base, {"_lower": F.lower("_text"), "_digit": has_digit(F.col("_text"))})
     found = found_array(base, rules, "_text")
     fields = ("raw_count", "validated_count", "keyword_found", "confidence", "fired")
     flat = F.transform("_found", lambda x: F.struct(x["id"].alias("detector"), *[x["finding"][c].alias(c) for c in fields]))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.rules import Node, Profile, RuleSet
+from .once import once
 
 SEVERITY = {"ALLOW": 0, "ESCALATE": 1, "BLOCK": 2}
 PROFILE = "struct<profile_id:string,profile_name:string,data_type:string,verdict_on_match:string,confidence:bigint,severity:int>"
@@ -73,5 +74,6 @@ def with_profiles(df: DataFrame, rules: RuleSet, by: str = "_by", out: str = "pr
     """`df` with an array `out` of the satisfied profiles in the order of the rules, from a map `by` of findings by
     detector."""
     leaves, conf, profiles = _compiled(df.sparkSession.sparkContext.applicationId, rules, by)
-    df = df.withColumns(leaves) if leaves else df
-    return df.withColumns(conf).withColumn(out, profiles).drop(*conf, *leaves)
+    df = once(df, leaves) if leaves else df
+    df = once(df, conf) if conf else df
+    return once(df, {out: profiles}).drop(*conf, *leaves)

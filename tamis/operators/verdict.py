@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..plans.rules import EarlyExit, RuleSet
 from .detect import found_array, has_digit
 from .labels import LABEL, body_labels
+from .once import once
 from .profiles import PROFILE, SEVERITY, with_profiles
 
 VERDICTS = sorted(SEVERITY, key=SEVERITY.get)
@@ -39,19 +40,19 @@ def _batches(rules: RuleSet) -> list[tuple[str, ...]]:
 def _with_found(df: DataFrame, rules: RuleSet) -> DataFrame:
     """`df` with `_found` and `short_circuited`. With an early exit, batches after the one that ended the scan are not
     scanned for. Batches have a fixed size, so the result does not depend on the machine."""
-    df = df.withColumns({"_lower": F.lower("_text"), "_digit": has_digit(F.col("_text"))})
+    df = once(df, {"_lower": F.lower("_text"), "_digit": has_digit(F.col("_text"))})
     if not rules.early_exit.enabled:
         return found_array(df, rules, "_text").withColumn("short_circuited", F.lit(False)).drop("_lower", "_digit")
     batches = _batches(rules)
     df = found_array(df, rules, "_text", batches[0] if batches else ()).withColumn("short_circuited", F.lit(False))
     for batch in batches[1:]:
-        df = with_profiles(df.withColumn("_by", F.map_from_entries("_found")), rules, out="_so_far")
+        df = with_profiles(once(df, {"_by": F.map_from_entries("_found")}), rules, out="_so_far")
         ends = F.exists("_so_far", lambda p: p["severity"] == 2) if rules.early_exit.stop_on_block else F.lit(False)
         if most := rules.early_exit.max_total_matches:
             ends = ends | (F.aggregate("_found", F.lit(0).cast("bigint"), lambda n, x: n + x["finding"]["raw_count"]) >= most)
         df = df.withColumn("short_circuited", F.col("short_circuited") | ends).drop("_so_far", "_by")
         df = found_array(df, rules, "_text", batch, "short_circuited", "_more")
-        df = df.withColumn("_found", F.concat("_found", "_more")).drop("_more")
+        df = once(df.withColumnRenamed("_found", "_before"), {"_found": F.concat("_before", "_more")}).drop("_before", "_more")
     return df.drop("_lower", "_digit")
 
 
@@ -66,32 +67,33 @@ def inspect(df: DataFrame, rules: RuleSet, text_col: str = "text", source_labels
     given, none = df.columns, F.array().cast(f"array<{LABEL}>")
     flag = lambda name: F.coalesce(F.col(name), F.lit(False)) if name else F.lit(False)
     df = df.select(  # what was given is out of the way of names that are used here
-        F.struct(*given).alias("_row"),
+        *[F.col(f"`{c}`").alias(f"_given{i}") for i, c in enumerate(given)],
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"),
         (F.coalesce(F.col(source_labels), none) if source_labels else none).alias("_meta"),
         (flag(partial) | flag(truncated)).alias("_in_part"),
         (F.col(error) if error else F.lit(None).cast("string")).alias("_error"),
     )
-    df = _with_found(df, rules).withColumn("_by", F.map_from_entries("_found"))
+    df = once(_with_found(df, rules), {"_by": F.map_from_entries("_found")})
     df = with_profiles(df, rules)
-    df = df.withColumns({"_body": body_labels(F.col("_text"), rules), "_detectors": fired_detectors(df.sparkSession.sparkContext.applicationId, rules)})
+    df = once(df, {"_body": body_labels(F.col("_text"), rules), "_detectors": fired_detectors(df.sparkSession.sparkContext.applicationId, rules)})
     severity = F.coalesce(F.array_max(F.transform("profiles", lambda p: p["severity"])), F.lit(0))
     severity = F.greatest(severity, F.when(F.size("_body") > 0, 1).otherwise(0), F.when(F.size("_meta") > 0, 2).otherwise(0))
     uncovered = F.col("_in_part") & (severity == 0)
     without = F.when(F.size("_meta") > 0, 2).when(F.startswith("_error", F.lit("unsupported")), 0).otherwise(1)
     severity = F.when(F.col("_error").isNotNull(), without).when(uncovered, 1).otherwise(severity)
     note = F.coalesce("_error", F.when(uncovered, COVERAGE_NOTE))
+    df = once(df, {"_severity": severity, "_note": note})
     new = {
-        "verdict": verdict_name(severity),
+        "verdict": verdict_name(F.col("_severity")),
         "bytes_seen": F.octet_length("_text").cast("bigint"),
         "labels": F.concat("_meta", "_body"),
         "detectors": F.col("_detectors"),
-        "note": note,
+        "note": F.col("_note"),
     }
-    df = df.withColumns(new)
-    kept = [c for c in given if c not in ("profiles", "short_circuited", *new)]
+    kept = [F.col(f"_given{i}").alias(c) for i, c in enumerate(given) if c not in ("profiles", "short_circuited", *new)]
     profiles = F.transform("profiles", lambda p: p.dropFields("severity")).alias("profiles")
-    return df.select(*[F.col(f"_row.{c}") for c in kept], "verdict", "bytes_seen", profiles, "labels", "detectors", "short_circuited", "note")
+    new = {name: column.alias(name) for name, column in new.items()}
+    return df.select(*kept, new["verdict"], new["bytes_seen"], profiles, new["labels"], new["detectors"], "short_circuited", new["note"])
 
 
 def profiles_long(df: DataFrame, rules: RuleSet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.labels import LABEL, xmp_labels, xmp_packet
+from ..operators.once import once
 from ..plans.rules import RuleSet
 from .formats import DOCX, ENCRYPTED, OFFICE, PDF, PLAINTEXT, PPTX, UNSUPPORTED, XLSX, file_type
 
@@ -194,18 +195,19 @@ def extracted(df: DataFrame, rules: RuleSet, options: ExtractOptions | None = No
     """
     o = options or ExtractOptions()
     content = F.coalesce(F.col(content_col), F.lit(b""))
-    df = df.withColumn("file_type", file_type(content, o.strict))
+    df = once(df, {"file_type": file_type(content, o.strict)})
     kind = F.col("file_type")
     office, pdf = kind.isin(*OFFICE), kind == PDF
-    df = df.withColumns({"_parts": _office_parts(F.when(office, content), kind), "_pdf": _pdf_text(F.when(pdf, content)), "_office": _office_label_udf(rules)(F.when(office, content))})
+    df = once(df, {"_parts": _office_parts(F.when(office, content), kind), "_pdf": _pdf_text(F.when(pdf, content)), "_office": _office_label_udf(rules)(F.when(office, content))})
     stripped = F.array_join(F.transform("_parts", lambda x: F.concat(strip_markup(x), F.lit("\n"))), "")
     found = F.encode(F.when(office, stripped).when(pdf, F.col("_pdf.text")), "UTF-8")
-    raw = F.when(kind == PLAINTEXT, content).otherwise(found)
-    partial = F.coalesce(F.octet_length(raw) > o.max_file_bytes, F.lit(False))
-    gated = head_tail(raw, o)
+    df = once(df, {"_raw": F.when(kind == PLAINTEXT, content).otherwise(found)})
+    partial = F.coalesce(F.octet_length("_raw") > o.max_file_bytes, F.lit(False))
+    df = once(df, {"_gated": head_tail(F.col("_raw"), o)})
+    gated = F.col("_gated")
     truncated = F.coalesce(F.octet_length(gated) > o.max_bytes, F.lit(False))
     text = F.make_valid_utf8(F.substring(gated, 1, o.max_bytes).cast("string"))
     error = F.when(kind == UNSUPPORTED, "unsupported format").when(kind == ENCRYPTED, "encrypted or legacy document").when(pdf, F.col("_pdf.error"))
     labels = F.when(office, F.col("_office").cast(f"array<{LABEL}>")).when(pdf, xmp_labels(F.coalesce(xmp_packet(content), F.lit("")), rules))
-    df = df.withColumns({"text": text, "partial": partial, "truncated": truncated, "error": error, "source_labels": F.coalesce(labels, F.array().cast(f"array<{LABEL}>"))})
-    return df.drop("_parts", "_pdf", "_office", content_col)
+    df = once(df, {"text": text, "partial": partial, "truncated": truncated, "error": error, "source_labels": F.coalesce(labels, F.array().cast(f"array<{LABEL}>"))})
+    return df.drop("_parts", "_pdf", "_office", "_raw", "_gated", content_col)
