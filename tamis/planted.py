@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .oracle import q
+from .sources.tables import read_table
 
 # Published test numbers and made-up identifiers; {0} is the last four digits of the id.
 LINES = [
@@ -60,7 +61,7 @@ def _line(doc_id: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of `documents`, each text with the line for its id behind it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, f"{sf_dir}/documents.parquet")
     return docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), _line(F.col("doc_id"))))
 
 

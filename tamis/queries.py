@@ -16,6 +16,7 @@ from .operators.verdict import COVERAGE_NOTE, inspect, profiles_long
 from .plans.default_rules import DEFAULT_RULES as RULES
 from .plans.rules import Node, Profile
 from .sources import extract, formats
+from .sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,7 +37,7 @@ def _query(oracle: str | None):
 
 
 def _docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _detectors(*ids: str):
