@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .base import table
 from .bpe import BytePairs, encoded
+from .collocations import collocations
 from .decontaminate import benchmark_leaks
 from .language import fit_languages, identified
 from .quality import fit_quality, quality
@@ -76,6 +77,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = public_
     return token_counts(table(spark, sf_dir, "documents"), WordTokenizer.from_file(vocabulary))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of 2 to 4 words that stand together most, by language."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_exact_topk": op2_exact_topk,
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -108,4 +115,44 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
+    "op13_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ),
+        words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+        totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+        placed AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 5) AS lengths(k)),
+        grams AS (
+            SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM placed GROUP BY ALL HAVING count(*) >= 30
+        ),
+        cuts AS (
+            SELECT lang, k, phrase, f AS a, unnest(range(1, k)) AS cut, string_split(phrase, ' ') AS w FROM grams WHERE k > 1
+        ),
+        scored AS (
+            SELECT c.lang, c.k, c.phrase, c.cut, a, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score
+            FROM cuts c
+            JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:cut], ' ')
+            JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:], ' ')
+        ),
+        least AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+        ),
+        inner_phrases AS (
+            SELECT lang, f AS longer, unnest([array_to_string(string_split(phrase, ' ')[1:k - 1], ' '), array_to_string(string_split(phrase, ' ')[2:], ' ')]) AS phrase
+            FROM grams WHERE k > 2
+            UNION ALL
+            SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' '), array_to_string(string_split(phrase, ' ')[3:4], ' ')])
+            FROM grams WHERE k = 4
+        ),
+        kept AS (
+            SELECT * FROM least s
+            WHERE NOT EXISTS (SELECT 1 FROM inner_phrases i WHERE i.lang = s.lang AND i.phrase = s.phrase AND 100 * i.longer >= 80 * s.a)
+        ),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+        )
+        SELECT lang, rank, phrase, k::BIGINT AS words, cut, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
 }
