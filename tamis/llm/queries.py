@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .balltree import hard_negatives
 from .base import table
 from .bpe import BytePairs, encoded
 from .collocations import collocations
@@ -77,6 +78,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = public_
     return token_counts(table(spark, sf_dir, "documents"), WordTokenizer.from_file(vocabulary))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each hundredth vector and each of its positives, the hard negatives; every seventh label is moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved)
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The phrases of 2 to 4 words that stand together most, by language."""
     return collocations(table(spark, sf_dir, "documents"))
@@ -93,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_collocations": op13_collocations,
 }
 
@@ -115,6 +123,32 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
+    "op12_hard_negatives": """
+        WITH good AS (
+            SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scored AS (
+            SELECT q.vec_id AS anchor_id, c.vec_id AS other, q.label = c.label AS same,
+                   list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+            FROM good q JOIN good c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 100 = 0
+        ),
+        positives AS (
+            SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+        ),
+        ranked AS (
+            SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INTEGER AS rank,
+                   other AS negative_id, positive_score, score AS negative_score
+            FROM positives JOIN scored USING (anchor_id)
+            WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        )
+        SELECT * FROM ranked WHERE rank <= 10
+    """,
     "op13_collocations": r"""
         WITH pieces AS (
             SELECT coalesce(lang, 'und') AS lang,
