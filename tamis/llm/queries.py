@@ -14,6 +14,7 @@ from .bpe import BytePairs, encoded
 from .collocations import collocations
 from .decontaminate import benchmark_leaks
 from .language import fit_languages, identified
+from .pages import main_texts
 from .quality import fit_quality, quality
 from .secrets import secret_digest
 from .sharding import shard_records
@@ -78,6 +79,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = public_
     return token_counts(table(spark, sf_dir, "documents"), WordTokenizer.from_file(vocabulary))
 
 
+def op11_main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each hundredth vector and each of its positives, the hard negatives; every seventh label is moved on by one."""
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op11_main_texts": op11_main_texts,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_collocations": op13_collocations,
 }
