@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import stable
@@ -147,6 +147,11 @@ def frequent_grams(df: DataFrame, max_n: int, least: int, lang_col: str = "lang"
     return grams, totals
 
 
+def exact_score() -> Column:
+    """floor(2000000 a / (l + r)) in Decimal, whose whole division rounds nothing."""
+    return F.expr("(cast(a as decimal(20,0)) * cast(2000000 as decimal(7,0))) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))")
+
+
 def collocations(df: DataFrame, max_n: int = 4, least: int = 30, absorbed: int = 80, top: int = 2000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """The `top` phrases of 2 to `max_n` words of each language: lang, rank, phrase, words, cut, a, l, r, n, score.
 
@@ -169,8 +174,7 @@ def collocations(df: DataFrame, max_n: int = 4, least: int = 30, absorbed: int =
     cuts = cuts.select("*", F.array_join(F.slice(parts, F.lit(1), F.col("cut")), " ").alias("first"), F.array_join(F.slice(parts, F.col("cut") + 1, F.col("words")), " ").alias("rest"))
     counts = lambda part, f: grams.select("lang", F.col("phrase").alias(part), F.col("f").alias(f))
     cuts = cuts.join(counts("first", "l"), ["lang", "first"]).join(counts("rest", "r"), ["lang", "rest"])
-    score = F.expr("(cast(a as decimal(20,0)) * cast(2000000 as decimal(7,0))) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))")
-    scored = cuts.withColumn("score", score).groupBy("lang", "phrase").agg(F.min(F.struct("score", "cut", "l", "r", "a", "words")).alias("least")).select("lang", "phrase", "least.*")
+    scored = cuts.withColumn("score", exact_score()).groupBy("lang", "phrase").agg(F.min(F.struct("score", "cut", "l", "r", "a", "words")).alias("least")).select("lang", "phrase", "least.*")
     tails = F.array(F.array_join(F.slice(parts, F.lit(1), F.col("words") - 1), " "), F.array_join(F.slice(parts, F.lit(2), F.col("words") - 1), " "))
     inner = candidates.where("words > 2").select("lang", F.col("f").alias("longer"), F.explode(tails).alias("phrase"))
     inner = inner.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
