@@ -38,14 +38,14 @@ _CUES = ("passw", "secret", "token", "api")
 #: In lower case, a name that is sensitive holds one of these.
 _NAME_CUES = ("pass", "pwd", "secret", "key", "token", "cred", "auth", "bearer")
 
-_SIGN = re.compile(r"[=:]")
+_SIGN = re.compile(r"[=:]|<-")
 # A quote without an end on its line stays a lone character: those behind it on the line are escaped, so none is tried twice.
 _TOKEN = re.compile(
     r"""(?P<string>(?:[rRbBfFuUL@$]{1,2}(?=["'`]))?(?:"(?:[^"\\\n]++|\\[^\n])*+"|'(?:[^'\\\n]++|\\[^\n])*+'|`[^`\n]*+`))"""
     r"""|(?P<escaped>\\"[^"\\\n]*+\\"|\\'[^'\\\n]*+\\')"""
-    r"""|(?P<sign>:=|=>|\?\?=|\|\|=|\+=|\?=|=(?![=~])|:(?!:))"""
+    r"""|(?P<sign>:=|=>|<-(?!-)|\?\?=|\|\|=|\+=|\?=|=(?![=~])|:(?!:))"""
     r"""|(?P<either>\|\||\?\?|\bor\b)"""
-    r"""|(?P<prose>(?:[a-z]++,?[ ]){4,}+(?=[A-Za-z]))"""
+    r"""|(?P<prose>(?:[a-z]++,?[ ](?=[A-Za-z])){4,}+)"""
     r"""|(?P<name>[A-Za-z_$][\w$]*+(?:'(?:s|t|re|ve|ll|d|m)\b|(?:[.-][A-Za-z_$][\w$]*+)*+))"""
     r"""|(?P<number>\d[\w.]*+)"""
     r"""|(?P<plus>\+(?!\+)|\.\.?(?=[ \t]*["'`])|&(?=[ \t]*["']))"""
@@ -61,16 +61,13 @@ _WORD = re.compile(r"""[^\s,;#"'`()\[\]{}<>]+""")
 _MORE, _SUM, _MARGIN = re.compile(r"[ \t\r]*[^ \t\r\n]"), re.compile(r"[ \t]*(?:\+|\|\||\?\?|or\b)"), re.compile(r"[ -]*")
 _BLOCK_SCALAR = re.compile(r"[ \t]*[|>][-+0-9]{0,2}[ \t]*(?:#[^\n]*)?\r?\n")
 _XML_ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*+)((?:\s[^<>]*+)?)>([^<>\n]++)</")
+_DEFINE = re.compile(r"""^[ \t]*#[ \t]*define[ \t]++([A-Za-z_]\w*+)[ \t]++"([^"\\\n]*+)\"""", re.M)
 _XML_KEY = re.compile(r"""\b(?:key|name|id)\s*=\s*["']([^"'<>]*)["']""")
 _KEY_NAMES, _VALUE_NAMES = frozenset({"key", "name", "id"}), frozenset({"value", "val", "default", "content"})
 #: After one of these a colon opens a block.
 _STATEMENTS = frozenset("if elif while for case with except when switch".split())
-#: Tokens that a type between a colon and an equals sign, or a subscript, may have.
-MOST_BETWEEN = 64
 #: Tokens lexed at a time.
 TOKENS_AT_ONCE = 32
-#: A bare word of more characters is not taken for a value.
-LONGEST_WORD = 1024
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _STRONG = frozenset("password passwd pwd passphrase secret apikey privatekey accesskey secretkey signingkey encryptionkey".split())
 _WEAK = frozenset("token credential credentials auth authtoken bearer pass".split())
@@ -141,10 +138,6 @@ class _Value:
         return -4 if self.odd else (self.size >= 8) + (self.digit and self.alpha) + (self.letters.bit_count() >= 8)
 
 
-def _mixed(word: str) -> bool:
-    return any(map(str.isdigit, word)) and any(map(str.isalpha, word))
-
-
 class _Parser:
     """Over the lines of a text from one with an assignment on; lines are lexed as the parser comes to them."""
 
@@ -153,6 +146,7 @@ class _Parser:
         self.reported: set[int] = set()
         self.no_end: set[str] = set()
         self.run_start = self.run_end = self.taken = 0
+        self.last_digit = self.last_letter = self.last_sign = -1
         self.read(0)
 
     def read(self, at: int) -> None:
@@ -218,11 +212,16 @@ class _Parser:
                 out.append((start, start + len(inner)))
         return out
 
-    def resume(self, k: int, at: int) -> int:
-        """Forget the tokens from `k` on and lex on from `at`."""
+    def resume(self, k: int, at: int, string: int | None = None) -> int:
+        """Forget the tokens from `k` on and lex on from `at`; one string from `string` to there takes their place."""
         del self.kinds[k:], self.starts[k:], self.ends[k:]
         self.at = at
-        return k
+        if string is None:
+            return k
+        self.kinds.append(STRING)
+        self.starts.append(string)
+        self.ends.append(at)
+        return k + 1
 
     def next_sign(self, k: int) -> bool:
         return self.kind(k) == SIGN and self.word(k) in ("=", ":", "=>")
@@ -270,7 +269,7 @@ class _Parser:
                         self.no_end.add(quote)
                         break
                     spans += self.lines(a + 3, end)
-                    k = self.resume(k, end + 3)
+                    k = self.resume(k, end + 3, a)
                 else:
                     span = self.literal(k)
                     if span[1] > span[0]:
@@ -303,19 +302,20 @@ class _Parser:
                 while self.kind(k) not in (NEWLINE, None):
                     k += 1
             elif kind in (NAME, NUMBER, OTHER) and need:
-                word = self.bare(a) if first and not stack else ""
+                end = self.bare(a) if first and not stack else a
+                mixed = end > a and min(self.last_digit, self.last_letter) >= a
                 after = self.kind(k + 1)
                 glued = after is not None and self.starts[k + 1] == self.ends[k]
                 if kind == NAME and after == OPEN and glued:
                     k = self.closing(k + 1) + 1  # a call, or a part of something
-                elif kind == NAME and self.next_sign(k + 1) and not (glued and not crossed and a + len(word) > self.ends[k + 1] + 1 and _mixed(word)):
+                elif kind == NAME and self.next_sign(k + 1) and not (glued and not crossed and end > self.ends[k + 1] + 1 and mixed):
                     break  # a key, a type, or another target
                 elif kind == NAME and self.word(k) in self.constants:
                     parts.append(self.constants[self.word(k)])
                     k += 1
-                elif word and _mixed(word.rstrip("=")) and self.alone(a, word, crossed):
-                    spans.append((a, a + len(word)))  # a bare word, as configuration has it
-                    self.taken = a + len(word)
+                elif mixed and self.alone(a, end, crossed):
+                    spans.append((a, end))  # a bare word, as configuration has it
+                    self.taken = end
                     break
                 elif kind == OTHER and text[a] in ";#" or text.startswith("//", a):
                     break
@@ -335,25 +335,32 @@ class _Parser:
                 break
         return _Value(text, spans, parts) if spans or parts else None
 
-    def bare(self, a: int) -> str:
-        """The run of characters from `a` to white space, a quote, a bracket or the like; empty if it is longer than
-        LONGEST_WORD. Places in one run end alike, so the end is looked for once."""
+    def bare(self, a: int) -> int:
+        """Where the run of characters from `a` to white space, a quote, a bracket or the like ends; `a` if there is none.
+
+        Places in one run end alike, so a run is looked at once: where it ends, and where its last digit, its last letter
+        and its last sign before any equals signs at its end are."""
         if not self.run_start <= a < self.run_end:
             m = _WORD.match(self.text, a)
             self.run_start, self.run_end = a, m.end() if m else a
-        return self.text[a : self.run_end] if self.run_end - a <= LONGEST_WORD else ""
-
-    def alone(self, a: int, word: str, crossed: bool) -> bool:
+            run = self.text[a : self.run_end]
+            last = lambda test: a + next((i for i in range(len(run) - 1, -1, -1) if test(run[i])), -1 - a)
+            self.last_digit, self.last_letter = last(str.isdigit), last(str.isalpha)
+            body = run.rstrip("=")
+            self.last_sign = a + max(body.rfind("="), body.rfind(":")) if "=" in body or ":" in body else -1
+        return self.run_end
+
+    def alone(self, a: int, end: int, crossed: bool) -> bool:
         """Not the start of a call, a subscript or a sum; on a line of its own, nothing else may stand there."""
-        text, end = self.text, a + len(word)
+        text = self.text
         if crossed:
-            return not _SIGN.search(word.rstrip("=")) and not _MORE.match(text, end)
+            return self.last_sign < a and not _MORE.match(text, end)
         return text[end : end + 1] not in ("(", "[") and not _SUM.match(text, end)
 
     def target(self, i: int) -> int | None:
-        """The token with the name that ends before token `i`: a name or string there, or the key of a subscript."""
-        least = max(0, i - MOST_BETWEEN)
-        while i > least:
+        """The token with the name that ends before token `i`: a name or string there, or the key of a subscript. The
+        sign before is not passed, so tokens between two signs are walked once."""
+        while i > 0:
             kind, mark = self.kinds[i - 1], self.text[self.starts[i - 1]]
             if kind in (NAME, STRING, ESCAPED):
                 return i - 1
@@ -363,9 +370,9 @@ class _Parser:
                 if i > 1 and self.kinds[i - 2] in (NAME, STRING, ESCAPED):
                     return i - 2
                 i -= 1  # a number or nothing: what has the subscript counts
-                while i > least and self.kinds[i - 1] != SIGN and self.text[self.starts[i - 1]] != "[":
+                while i > 0 and self.kinds[i - 1] != SIGN and self.text[self.starts[i - 1]] != "[":
                     i -= 1
-                if i <= least or self.kinds[i - 1] == SIGN:
+                if i <= 0 or self.kinds[i - 1] == SIGN:
                     return None
                 i -= 1
             else:
@@ -375,7 +382,7 @@ class _Parser:
     def annotated(self, i: int) -> int | None:
         """Of an equals sign at token `i`: the colon that a type between both follows, if there is one."""
         depth, named = 0, False
-        for k in range(i - 1, max(0, i - MOST_BETWEEN), -1):
+        for k in range(i - 1, 0, -1):
             kind, mark = self.kinds[k], self.text[self.starts[k]]
             if kind == SIGN:
                 return k if mark == ":" and named and depth == 0 else None
@@ -460,6 +467,11 @@ class _Parser:
                     self.tag_key = None
                 i += 1
             at = self.at
+        if "define" in text:
+            for m in _DEFINE.finditer(text):
+                value = _Value(text, [m.span(2)], [])
+                self.kept.append(value)
+                self.judge(m.group(1), value)
         if "</" in text:
             for m in _XML_ELEMENT.finditer(text):
                 a, b = m.span(3)
