@@ -24,19 +24,27 @@ class NotRE2(ValueError):
 @dataclass
 class _Node:
     """A part of a pattern in Java's syntax. words: it always matches at least a character, and the first and the last
-    one are word characters. empty: it may match nothing."""
+    one are word characters. empty: it may match nothing. longest: the most characters that it matches, None if there is
+    no limit. digit: every match has an ASCII digit."""
 
     text: str
     empty: bool = False
     starts_word: bool = False
     ends_word: bool = False
     boundary: bool = False
+    longest: int | None = 1
+    digit: bool = False
+
+
+def _longest(nodes: list[_Node], whole) -> int | None:
+    """`whole` (sum or max) of what the nodes match at most."""
+    return None if any(x.longest is None for x in nodes) else whole([x.longest for x in nodes] or [0])
 
 
 class _Parser:
     def __init__(self, pattern: str):
         self.p, self.i = pattern, 0
-        self.fold = self.dot_all = self.lines = False
+        self.fold = self.dot_all = self.lines = self.anchored = False
 
     def peek(self, n: int = 1) -> str:
         return self.p[self.i : self.i + n]
@@ -54,7 +62,7 @@ class _Parser:
             parts.append(self.sequence())
         if len(parts) == 1:
             return parts[0]
-        return _Node("|".join(x.text for x in parts), any(x.empty for x in parts), all(x.starts_word for x in parts), all(x.ends_word for x in parts))
+        return _Node("|".join(x.text for x in parts), any(x.empty for x in parts), all(x.starts_word for x in parts), all(x.ends_word for x in parts), False, _longest(parts, max), all(x.digit for x in parts))
 
     def sequence(self) -> _Node:
         nodes: list[_Node] = []
@@ -75,7 +83,7 @@ class _Parser:
             out.append(node.text)
         solid = [x for x in nodes if not x.boundary]
         empty = all(x.empty for x in solid)
-        return _Node("".join(out), empty, bool(solid) and solid[0].starts_word, bool(solid) and solid[-1].ends_word)
+        return _Node("".join(out), empty, bool(solid) and solid[0].starts_word, bool(solid) and solid[-1].ends_word, False, _longest(nodes, sum), any(x.digit for x in nodes))
 
     def repeated(self) -> _Node | None:
         node = self.atom()
@@ -86,9 +94,9 @@ class _Parser:
             c = self.peek()
             if c and c in "*+?":
                 self.take()
-                least, quantifier = (0 if c in "*?" else 1), c
+                least, most, quantifier = (0 if c in "*?" else 1), (1 if c == "?" else None), c
             elif c == "{" and (found := self.braces()):
-                least, quantifier = found
+                least, most, quantifier = found
             else:
                 return node
             count += 1
@@ -98,9 +106,10 @@ class _Parser:
                 self.take()
                 quantifier += "?"
             empty = node.empty or least == 0
-            node = _Node(node.text + quantifier, empty, node.starts_word and not empty, node.ends_word and not empty)
+            longest = node.longest * most if most is not None and node.longest is not None else 0 if node.longest == 0 else None
+            node = _Node(node.text + quantifier, empty, node.starts_word and not empty, node.ends_word and not empty, False, longest, node.digit and least > 0)
 
-    def braces(self) -> tuple[int, str] | None:
+    def braces(self) -> tuple[int, int | None, str] | None:
         end = self.p.find("}", self.i)
         body = self.p[self.i + 1 : end] if end > 0 else ""
         low, comma, high = body.partition(",")
@@ -109,7 +118,8 @@ class _Parser:
         if int(low) > MAX_REPEAT or int(high or 0) > MAX_REPEAT or (high and int(high) < int(low)):
             raise NotRE2("repetition out of range")
         self.i = end + 1
-        return int(low), "{" + low + comma + high + "}"
+        most = int(high) if high else None if comma else int(low)
+        return int(low), most, "{" + low + comma + high + "}"
 
     def atom(self) -> _Node | None:
         c = self.take()
@@ -120,15 +130,17 @@ class _Parser:
         if c == ".":
             return _Node(r"[\s\S]" if self.dot_all else r"[^\n]")
         if c == "^":
-            return _Node(r"(?<![^\n])" if self.lines else r"\A", True)
+            self.anchored = True
+            return _Node(r"(?<![^\n])" if self.lines else r"\A", True, longest=0)
         if c == "$":
-            return _Node(r"(?![^\n])" if self.lines else r"\z", True)
+            self.anchored = True
+            return _Node(r"(?![^\n])" if self.lines else r"\z", True, longest=0)
         if c == "\\":
             return self.escape()
         if c in "*+?":
             raise NotRE2("nothing to repeat")
         word = c.isascii() and (c.isalnum() or c == "_") and not self.fold
-        return _Node("\\" + c if c in "{}]" else c, False, word, word)
+        return _Node("\\" + c if c in "{}]" else c, False, word, word, digit=c in "0123456789")
 
     def group(self) -> _Node | None:
         opening = "("
@@ -156,7 +168,7 @@ class _Parser:
             raise NotRE2("missing )")
         self.take()
         self.fold, self.dot_all, self.lines = kept
-        return _Node(opening + inner.text + ")", inner.empty, inner.starts_word, inner.ends_word)
+        return _Node(opening + inner.text + ")", inner.empty, inner.starts_word, inner.ends_word, False, inner.longest, inner.digit)
 
     def flags(self, flags: str) -> None:
         on, _, off = flags.partition("-")
@@ -171,19 +183,20 @@ class _Parser:
     def escape(self) -> _Node:
         c = self.take()
         if c == "b":
-            return _Node(f"(?:{_BEFORE}{_NOT_AFTER}|{_NOT_BEFORE}{_AFTER})", True, boundary=True)
+            return _Node(f"(?:{_BEFORE}{_NOT_AFTER}|{_NOT_BEFORE}{_AFTER})", True, boundary=True, longest=0)
         if c == "B":
-            return _Node(f"(?:{_BEFORE}{_AFTER}|{_NOT_BEFORE}{_NOT_AFTER})", True)
+            return _Node(f"(?:{_BEFORE}{_AFTER}|{_NOT_BEFORE}{_NOT_AFTER})", True, longest=0)
         if c in "Az":
-            return _Node("\\" + c, True)
+            self.anchored = True
+            return _Node("\\" + c, True, longest=0)
         if c in "Q":
             end = self.p.find("\\E", self.i)
             body = self.p[self.i : end if end >= 0 else len(self.p)]
             self.i = end + 2 if end >= 0 else len(self.p)
-            return _Node("(?:" + "".join("\\" + x if not x.isalnum() and x.isascii() else x for x in body) + ")", not body)
+            return _Node("(?:" + "".join("\\" + x if not x.isalnum() and x.isascii() else x for x in body) + ")", not body, longest=len(body), digit=any(x in "0123456789" for x in body))
         if c.lower() in _PERL:
             word = c in "dw" and not self.fold
-            return _Node(f"[{'^' if c.isupper() else ''}{_PERL[c.lower()]}]", False, word, word)
+            return _Node(f"[{'^' if c.isupper() else ''}{_PERL[c.lower()]}]", False, word, word, digit=c == "d")
         if c in "pP":
             return _Node(self.unicode_class(c))
         return _Node(self.single(c))
@@ -255,7 +268,8 @@ class _Parser:
             word &= c == "-" or c == "_" or (c.isascii() and c.isalnum())
         self.take()
         word &= not negated and not self.fold and "-" not in (out[:1], out[-1:])
-        return _Node(f"[{'^' if negated else ''}{out}]", False, word, word)
+        digit = not negated and bool(out) and not set(out) - set("0123456789-") and "-" not in (out[:1], out[-1:])
+        return _Node(f"[{'^' if negated else ''}{out}]", False, word, word, digit=digit)
 
 
 def _parsed(pattern: str) -> tuple[_Node, _Parser]:
@@ -275,6 +289,13 @@ def to_java(pattern: str) -> str:
     return ("(?iu)" if parser.fold else "") + node.text
 
 
+def reach(pattern: str) -> int | None:
+    """The most characters of a match, if each match has a digit and where it stands in the text does not matter; else None.
+    Whether a pattern with a reach matches shows in the characters around digits alone."""
+    node, parser = _parsed(pattern)
+    return node.longest if node.digit and not parser.anchored else None
+
+
 def classify(pattern: str) -> str | None:
     """None if RE2 takes the pattern, else the reason why not."""
     try:

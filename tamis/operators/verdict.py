@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.rules import EarlyExit, RuleSet
-from .detect import found_array, has_digit
+from .detect import found_array, looked_at
 from .labels import LABEL, body_labels
 from .once import once
 from .profiles import PROFILE, SEVERITY, with_profiles
@@ -40,20 +40,21 @@ def _batches(rules: RuleSet) -> list[tuple[str, ...]]:
 def _with_found(df: DataFrame, rules: RuleSet) -> DataFrame:
     """`df` with `_found` and `short_circuited`. With an early exit, batches after the one that ended the scan are not
     scanned for. Batches have a fixed size, so the result does not depend on the machine."""
-    df = once(df, {"_lower": F.lower("_text"), "_digit": has_digit(F.col("_text"))})
+    df = looked_at(df, rules, "_text")
+    own = "_seen", "_lower", "_digit", "_near"
     if not rules.early_exit.enabled:
-        return found_array(df, rules, "_text").withColumn("short_circuited", F.lit(False)).drop("_lower", "_digit")
+        return found_array(df, rules).withColumn("short_circuited", F.lit(False)).drop(*own)
     batches = _batches(rules)
-    df = found_array(df, rules, "_text", batches[0] if batches else ()).withColumn("short_circuited", F.lit(False))
+    df = found_array(df, rules, batches[0] if batches else ()).withColumn("short_circuited", F.lit(False))
     for batch in batches[1:]:
         df = with_profiles(once(df, {"_by": F.map_from_entries("_found")}), rules, out="_so_far")
         ends = F.exists("_so_far", lambda p: p["severity"] == 2) if rules.early_exit.stop_on_block else F.lit(False)
         if most := rules.early_exit.max_total_matches:
             ends = ends | (F.aggregate("_found", F.lit(0).cast("bigint"), lambda n, x: n + x["finding"]["raw_count"]) >= most)
         df = df.withColumn("short_circuited", F.col("short_circuited") | ends).drop("_so_far", "_by")
-        df = found_array(df, rules, "_text", batch, "short_circuited", "_more")
+        df = found_array(df, rules, batch, "short_circuited", "_more")
         df = once(df.withColumnRenamed("_found", "_before"), {"_found": F.concat("_before", "_more")}).drop("_before", "_more")
-    return df.drop("_lower", "_digit")
+    return df.drop(*own)
 
 
 def inspect(df: DataFrame, rules: RuleSet, text_col: str = "text", source_labels: str | None = None, partial: str | None = None, truncated: str | None = None, error: str | None = None) -> DataFrame:

@@ -14,5 +14,5 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     have many row groups and are read where they are."""
     df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # a number, or an object that prints as one
     return df.repartition(cores) if size <= cores * CORE_BYTES else df
