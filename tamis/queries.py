@@ -12,6 +12,7 @@ from . import oracle as sql
 from . import planted
 from .functions import validators
 from .operators import detect, labels, names, profiler
+from .operators.literals import literals_in
 from .operators.verdict import COVERAGE_NOTE, inspect, profiles_long
 from .plans.default_rules import DEFAULT_RULES as RULES
 from .plans.rules import Node, Profile
@@ -54,8 +55,9 @@ def digit_gate(spark, sf_dir):
 
 @_query("SELECT doc_id, contains(text, '@') AS at_sign, contains(text, 'http') AS http, (contains(text, 'AKIA') OR contains(text, 'token')) AS key_cue FROM documents")
 def literal_prefilter(spark, sf_dir):
-    has = lambda *w: detect.has_any(F.col("text"), w)
-    return _docs(spark, sf_dir).select("doc_id", has("@").alias("at_sign"), has("http").alias("http"), has("AKIA", "token").alias("key_cue"))
+    found = literals_in(F.col("text"), ("@", "http", "AKIA", "token"))
+    has = lambda *w: F.arrays_overlap("found", F.array(*map(F.lit, w)))
+    return _docs(spark, sf_dir).select("doc_id", found.alias("found")).select("doc_id", has("@").alias("at_sign"), has("http").alias("http"), has("AKIA", "token").alias("key_cue"))
 
 
 _KEYWORDS = [(d.id, d.keywords) for d in RULES.detectors if d.keywords]
@@ -63,8 +65,9 @@ _KEYWORDS = [(d.id, d.keywords) for d in RULES.detectors if d.keywords]
 
 @_query("SELECT doc_id, " + ", ".join(f"{sql._anywhere('lower(text)', [k.lower() for k in ks])} AS {i}" for i, ks in _KEYWORDS) + " FROM documents")
 def keyword_anywhere(spark, sf_dir):
-    lower = F.lower("text")
-    return _docs(spark, sf_dir).select("doc_id", *[detect.has_any(lower, tuple(k.lower() for k in ks)).alias(i) for i, ks in _KEYWORDS])
+    found = literals_in(F.lower("text"), [k.lower() for _, ks in _KEYWORDS for k in ks])
+    has = lambda ks: F.arrays_overlap("found", F.array(*[F.lit(k.lower()) for k in ks]))
+    return _docs(spark, sf_dir).select("doc_id", found.alias("found")).select("doc_id", *[has(ks).alias(i) for i, ks in _KEYWORDS])
 
 
 _GATED = [d for d in RULES.detectors if d.best_effort]
