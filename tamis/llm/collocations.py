@@ -4,13 +4,17 @@ Texts are exploded into n-gram rows (lang, phrase, f), which Spark hash-aggregat
 both parts of each cut are joined to a phrase, scores are made in Decimal, phrases that a one-word extension accounts for
 go by an anti-join, and a window ranks the rest.
 
-A phrase of `least` occurrences has only parts of as many. So after the words, an n-gram is exploded only if its words,
-and after the pairs only if its pairs, may be frequent: a bitmap of a fixed size, hashed from the frequent ones, says so.
-It errs on the side of too many, which the counts then settle, and it is the same size whatever the corpus.
+A phrase of `least` occurrences has only parts of as many. So after the words, only pairs of words that may be frequent are
+looked at, longer n-grams only where all their pairs may be, and in the end only what may be frequent itself: bitmaps of a
+fixed size say so. They err on the side of too many, which the counts then settle. The bitmaps of pairs and of longer ones
+come from counts by a hash, so that the many rare ones are shuffled as numbers and never as text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,130 +25,167 @@ from .base import stable
 
 #: Bits of the bitmap of frequent parts, and bytes of text that a task explodes at a time.
 FILTER_BITS = 1 << 25
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Tasks among which the phrases of a language are ranked first.
 RANK_PARTS = 64
 _BREAKS, _MARK = b".,;:!?\n\x0b\x0c\r", b"."
 _TO_MARK = bytes.maketrans(_BREAKS, _MARK * len(_BREAKS))
-COUNTED = "lang string, phrase string, f bigint"
 
 
-def _chunks(texts: list[bytes]):
-    """Texts joined by a mark, CHUNK_BYTES or little more at a time; a longer one is cut at marks where it has any."""
+def _chunks(texts: Iterator[bytes]):
+    """The tokens of texts joined by a mark, CHUNK_BYTES or little more at a time; a longer text is cut at marks where it
+    has any."""
     held, size = [], 0
+
+    def tokens(parts: list[bytes]) -> list[bytes]:
+        return _MARK.join(parts).replace(_MARK, b" . ").split()
+
     for text in texts:
         text = text.lower().translate(_TO_MARK)  # of bytes: A-Z alone
-        while len(text) > CHUNK_BYTES and (cut := text.find(_MARK, CHUNK_BYTES)) >= 0:
-            yield text[:cut]
-            text = text[cut + 1 :]
-        held.append(text)
-        size += len(text)
+        start = 0
+        while len(text) - start > CHUNK_BYTES and (cut := text.find(_MARK, start + CHUNK_BYTES)) >= 0:
+            yield tokens([text[start:cut]])
+            start = cut + 1
+        held.append(text[start:])
+        size += len(text) - start
         if size >= CHUNK_BYTES:
-            yield _MARK.join(held)
+            yield tokens(held)
             held, size = [], 0
     if held:
-        yield _MARK.join(held)
+        yield tokens(held)
 
 
-class Bits:
-    """A set of (lang, phrase) that may say yes to others, too: one bit for each, by the hash that Spark's xxhash64 has."""
+class Words:
+    """The words of a chunk as numbers: `names` by number, `ids` in their order, the mark among them, and what they hash to
+    in a language, as Spark's xxhash64 of (lang, phrase) does."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+    def __init__(self, tokens: list[bytes], lang: str):
+        coded = pa.array(tokens, pa.large_binary()).dictionary_encode()
+        self.names, self.ids = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        seed = xxhash.xxh64_intdigest(lang.encode(), 42)
+        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.names), np.uint64, len(self.names))
+        self.solid = np.array([w != _MARK for w in self.names], bool)
 
-    def holds(self, seed: int, phrases: list[bytes]) -> np.ndarray:
-        at = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in phrases), np.uint64, len(phrases)) % np.uint64(len(self.bits) * 8)
-        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    def gram_hashes(self, at: np.ndarray, n: int) -> np.ndarray:
+        """32 bits for the n words from each place of `at` on."""
+        x = self.hashes[self.ids[at]] + np.uint64(n)
+        for k in range(1, n):
+            x = x * np.uint64(0x9E3779B97F4A7C15) + self.hashes[self.ids[at + k]]
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((x ^ (x >> np.uint64(32))) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def _seed(lang: str) -> int:
-    return xxhash.xxh64_intdigest(lang.encode(), 42)
+def holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash is set."""
+    at = hashes.astype(np.int64) & (len(bits) * 8 - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def bits_of(frequent: DataFrame, size: int = FILTER_BITS) -> Bits:
-    """The bitmap of the rows (lang, phrase). It is put together in Spark; `size` bits reach the driver, whatever the rows."""
-    hashed = F.xxhash64("lang", "phrase")
-    at = hashed.bitwiseAND(F.lit(size - 1)) + 1  # `size` is a power of two; the bitmap functions count from 1
-    parts = frequent.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+def bits_of(hashes: DataFrame, size: int | None = None) -> np.ndarray:
+    """The bitmap of a column `hash`. It is put together in Spark; `size` bits, a power of two, reach the driver, whatever the
+    rows."""
+    size = size or FILTER_BITS
+    at = F.col("hash").bitwiseAND(F.lit(size - 1)) + 1  # the bitmap functions count from 1
+    parts = hashes.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     out = np.zeros(size // 8, np.uint8)
     for row in parts.toArrow().to_pylist():
         part = np.frombuffer(row["bits"], np.uint8)
         start = (row["bucket"] - 1) * len(part)
         out[start : start + len(part)] = part[: len(out) - start]
-    return Bits(out)
-
-
-def gram_counts(tokens: list[bytes], lang: str, lengths: tuple[int, ...], filters: dict[int, Bits]) -> list[tuple[list[bytes], np.ndarray]]:
-    """For each of `lengths`, the n-grams of `tokens` that no mark lies in and whose parts pass `filters` (by length of the
-    part), and how often each stands there."""
-    coded = pa.array(tokens, pa.large_binary()).dictionary_encode()
-    words, ids, seed, out = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), _seed(lang), []
-    good = np.array([w != _MARK for w in words], bool)
-    if 1 in filters:
-        good &= filters[1].holds(seed, words)
-    names, now, usable = words, ids, good[ids]
-    pairs = None
-    for n in range(1, max(lengths) + 1):
-        if n > 1:  # one word more: `now` names the n-gram that starts at each place, where there is one
-            width = len(now) - 1
-            usable = usable[:width] & good[ids[n - 1 : n - 1 + width]]
-            if pairs is not None:
-                usable &= pairs[n - 2 : n - 2 + width]
-            keys = now[:width][usable] * len(words) + ids[n - 1 : n - 1 + width][usable]
-            found, back = np.unique(keys, return_inverse=True)
-            names = [names[k // len(words)] + b" " + words[k % len(words)] for k in found.tolist()]
-            now = np.zeros(width, np.int64)
-            now[usable] = back
-            if n == 2 and 2 in filters and len(names):
-                kept = filters[2].holds(seed, names)
-                usable[usable] = kept[back]
-                pairs = usable.copy()
-        if n in lengths:
-            count = np.bincount(now[usable], minlength=len(names))
-            held = np.flatnonzero(count)
-            out.append(([names[i] for i in held.tolist()], count[held]))
-        if not usable.any():
-            break
     return out
 
 
-def exploded(df: DataFrame, lengths: tuple[int, ...], filters: dict[int, Bits], lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """Rows (lang, phrase, f): the n-grams of each chunk of text, equal ones of a chunk in one row."""
-    context = df.sparkSession.sparkContext
-    held = {n: context.broadcast(b.bits) for n, b in filters.items()}
+def _pairs(words: Words, bits: np.ndarray) -> np.ndarray:
+    """At which places a pair of words begins that `bits` both has."""
+    good = words.solid & holds(bits, words.hashes)
+    return np.flatnonzero(good[words.ids[:-1]] & good[words.ids[1:]])
+
+
+def _places(words: Words, bits: np.ndarray, pair_bits: np.ndarray, max_n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For n from 2 to max_n: n, and the places where an n-gram begins all pairs of which the bitmaps have."""
+    at = _pairs(words, bits)
+    at = at[holds(pair_bits, words.gram_hashes(at, 2))]
+    pairs = np.zeros(len(words.ids) + max_n, bool)
+    pairs[at] = True
+    for n in range(2, max_n + 1):
+        if n > 2:  # one word more, where a pair begins at the last one
+            at = at[pairs[at + n - 2]]
+        yield n, at
+
+
+def word_counts(words: Words) -> tuple[list, np.ndarray]:
+    count = np.bincount(words.ids, minlength=len(words.names))
+    at = np.flatnonzero(words.solid)
+    return [words.names[i] for i in at.tolist()], count[at]
+
+
+def pair_buckets(words: Words, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of pairs of words that `bits` has, and how often each stands there."""
+    return np.unique(words.gram_hashes(_pairs(words, bits), 2), return_counts=True)
+
+
+def longer_buckets(words: Words, bits: np.ndarray, pair_bits: np.ndarray, max_n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of 3- to max_n-grams, all pairs of which the bitmaps have."""
+    hashes = [words.gram_hashes(at, n) for n, at in _places(words, bits, pair_bits, max_n) if n > 2]
+    return np.unique(np.concatenate([np.zeros(0, np.int64), *hashes]), return_counts=True)
+
+
+def gram_counts(words: Words, bits: np.ndarray, pair_bits: np.ndarray, longer_bits: np.ndarray, max_n: int) -> tuple[list, np.ndarray]:
+    """The n-grams of 2 to max_n words that no mark lies in and the bitmaps have, and how often each stands there."""
+    names, counts = [], []
+    for n, at in _places(words, bits, pair_bits, max_n):
+        if n > 2:
+            at = at[holds(longer_bits, words.gram_hashes(at, n))]
+        now = words.ids[at]
+        codes: list[np.ndarray] = []
+        for k in range(1, n):  # numbers of the pairs of what came so far and the next word
+            codes, now = np.unique(now * len(words.names) + words.ids[at + k], return_inverse=True)
+        first = np.zeros(len(codes), np.int64)
+        first[now[::-1]] = at[::-1]  # a place for each
+        names += [b" ".join([words.names[i] for i in row]) for row in words.ids[first[:, None] + np.arange(n)].tolist()]
+        counts.append(np.bincount(now, minlength=len(codes)))
+    return names, np.concatenate([np.zeros(0, np.int64), *counts])
+
+
+def exploded(df: DataFrame, step: Callable[..., tuple], *bits: np.ndarray, numbers: bool = False, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """What `step` finds in each chunk of text: rows (lang, phrase, f), or (hash, f) of a step that gives `numbers`. Equal ones
+    of a chunk are one row."""
+    held = df.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
-        known = {n: Bits(b.value) for n, b in held.items()}
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            texts: dict[str, list[bytes]] = {}
-            for lang, text in zip(langs, batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                texts.setdefault(lang, []).append(text)
-            for lang, group in texts.items():
-                for chunk in _chunks(group):
-                    tokens = chunk.replace(_MARK, b" . ").split()
-                    for phrases, f in gram_counts(tokens, lang, lengths, known) if tokens else ():
-                        strings = pa.array(phrases, pa.binary()).cast(pa.string())
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), strings, pa.array(f.astype(np.int64))], ["lang", "phrase", "f"])
+            places: dict[str, list[int]] = {}
+            for i, lang in enumerate(batch.column(0).to_pylist()):
+                places.setdefault(lang, []).append(i)
+            texts = batch.column(1).cast(pa.binary())
+            for lang, rows in places.items():
+                for tokens in _chunks(texts[i].as_py() for i in rows):
+                    if not tokens:
+                        continue
+                    found, f = step(Words(tokens, lang), *held.value)
+                    f = pa.array(f.astype(np.int64))
+                    if numbers:
+                        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32, casting="unsafe")), f], ["hash", "f"])
+                    else:
+                        phrases = pa.array(found, pa.binary()).cast(pa.string())
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), phrases, f], ["lang", "phrase", "f"])
 
     texts = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.mapInArrow(run, COUNTED)
+    return texts.mapInArrow(run, "hash int, f bigint" if numbers else "lang string, phrase string, f bigint")
 
 
 def frequent_grams(df: DataFrame, max_n: int, least: int, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, f) of all n-grams with f >= least, by levels, and (lang, n) of all words."""
-    count = lambda lengths, filters: exploded(df, lengths, filters, lang_col, text_col).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    words = stable(count((1,), {}))
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    levels, filters = [words.where(F.col("f") >= least)], {}
-    for lengths in ((2,), tuple(range(3, max_n + 1))):
-        if lengths and lengths[0] <= max_n:
-            filters[lengths[0] - 1] = bits_of(levels[-1])
-            levels.append(stable(count(lengths, filters).where(F.col("f") >= least)))
-    grams = levels[0]
-    for level in levels[1:]:
-        grams = grams.unionByName(level)
-    return grams, totals
+    """(lang, phrase, f) of all n-grams with f >= least, and (lang, n) of all words."""
+    columns = {"lang_col": lang_col, "text_col": text_col}
+    summed = lambda rows, *by: rows.groupBy(*by).agg(F.sum("f").alias("f"))
+    words = stable(summed(exploded(df, word_counts, **columns), "lang", "phrase"))
+    frequent = F.col("f") >= least
+    bits = [bits_of(words.where(frequent).select(F.xxhash64("lang", "phrase").alias("hash")))]
+    for step in (pair_buckets, partial(longer_buckets, max_n=max_n)):
+        buckets = summed(exploded(df, step, *bits, numbers=True, **columns), "hash").where(frequent) if max_n > len(bits) else None
+        bits.append(bits_of(buckets.select(F.col("hash").cast("bigint").alias("hash"))) if buckets is not None else np.zeros(1, np.uint8))
+    longer = stable(summed(exploded(df, partial(gram_counts, max_n=max_n), *bits, **columns), "lang", "phrase").where(frequent))
+    return words.where(frequent).unionByName(longer), words.groupBy("lang").agg(F.sum("f").alias("n"))
 
 
 def exact_score() -> Column:

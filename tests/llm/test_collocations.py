@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamis.llm import collocations as module
-from tamis.llm.collocations import bits_of, collocations
+from tamis.llm.collocations import collocations
 
 
 def plainly(rows, max_n, least, absorbed, top):
@@ -47,7 +47,7 @@ def rows_of(seed):
 @pytest.mark.parametrize("chunk, bits", [(1 << 22, 1 << 25), (40, 1 << 10)])
 def test_against_plain_loops(spark, monkeypatch, chunk, bits):
     monkeypatch.setattr(module, "CHUNK_BYTES", chunk)
-    monkeypatch.setattr(module.bits_of, "__defaults__", (bits,))  # a bitmap with room for few says yes too often, no more
+    monkeypatch.setattr(module, "FILTER_BITS", bits)  # a bitmap with room for few says yes too often, no more
     rows = rows_of(bits)
     frame = spark.createDataFrame(rows, "lang string, text string").withColumns({"f": F.lit(1), "phrase": F.lit("x")})
     for max_n, least, absorbed, top in ((4, 3, 80, 2000), (4, 2, 60, 7), (3, 2, 100, 50), (2, 4, 80, 3)):
@@ -57,10 +57,12 @@ def test_against_plain_loops(spark, monkeypatch, chunk, bits):
 
 
 def test_bitmap_has_all_it_was_given(spark):
-    rows = [("en", f"w{i} é{i}") for i in range(3000)] + [("", "x")]
-    bits = bits_of(spark.createDataFrame(rows, "lang string, phrase string"), 1 << 17)
-    assert bits.holds(module._seed("en"), [p.encode() for _, p in rows[:-1]]).all() and bits.holds(module._seed(""), [b"x"]).all()
-    assert bits.holds(module._seed("de"), [p.encode() for _, p in rows[:-1]]).mean() < 0.1
+    rows = [("en", f"w{i}") for i in range(3000)] + [("", "é")]
+    frame = spark.createDataFrame(rows, "lang string, phrase string").select(F.xxhash64("lang", "phrase").alias("hash"))
+    bits = module.bits_of(frame, 1 << 17)
+    names = [p.encode() for _, p in rows[:-1]]
+    assert module.holds(bits, module.Words(names, "en").hashes).all() and module.holds(bits, module.Words(["é".encode()], "").hashes).all()
+    assert module.holds(bits, module.Words(names, "de").hashes).mean() < 0.1
 
 
 def test_counts_beyond_64_bits(spark):
