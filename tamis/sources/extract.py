@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from xml.parsers import expat
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,10 +18,13 @@ from ..operators.labels import LABEL, xmp_labels, xmp_packet
 from ..operators.once import once
 from ..plans.rules import RuleSet
 from .formats import DOCX, ENCRYPTED, OFFICE, PDF, PLAINTEXT, PPTX, UNSUPPORTED, XLSX, file_type
+from .pdf import pdf_text
 
 #: Set between the two ends of a long text; it holds no keyword, digit or capital.
 GAP = "\n\n[... the middle of this text was not looked at ...]\n\n"
 PART_BYTES, METADATA_BYTES, PDF_BYTES = 5 << 20, 1 << 20, 32 << 20
+#: Bytes of a part that are inflated at a time.
+READ_BYTES = 1 << 16
 # Fixed names of the parts that hold text; a star stands for any ending.
 PARTS = {
     DOCX: ("word/document.xml", "word/header*", "word/footer*", "docProps/core.xml", "docProps/custom.xml"),
@@ -63,76 +66,62 @@ def _wanted(name: str, parts: tuple[str, ...]) -> bool:
     return any(name == p or (p.endswith("*") and name.startswith(p[:-1])) for p in parts)
 
 
-def office_parts(content: bytes, kind: str) -> list[str]:
-    """The parts with text, by name, each read up to PART_BYTES; those that can't be read are left out."""
-    out = []
+def read_parts(content: bytes, kind: str, most: int = PART_BYTES) -> Iterator[tuple[str, str, bool]]:
+    """The parts of an Office document with text, by name: name, what stands in the first `most` bytes, and whether that is
+    not all. A part that can't be read to its end is given as far as it can, and counts as cut."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         for name in sorted(n for n in archive.namelist() if _wanted(n, PARTS[kind])):
+            pieces, left, cut = [], most + 1, False
             try:
                 with archive.open(name) as f:
-                    out.append(f.read(PART_BYTES).decode("utf-8", "replace"))
+                    while left and (piece := f.read(min(left, READ_BYTES))):
+                        pieces.append(piece)
+                        left -= len(piece)
             except (zipfile.BadZipFile, OSError, zlib.error, NotImplementedError, RuntimeError, EOFError):
-                continue
-    return out
+                cut = True
+            whole = b"".join(pieces)
+            yield name, whole[:most].decode("utf-8", "replace"), cut or len(whole) > most
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _office_parts(contents: pd.Series, kinds: pd.Series) -> pd.Series:
-    return pd.Series([office_parts(bytes(c), k) if c is not None else None for c, k in zip(contents, kinds, strict=True)])
+class OfficeParts:
+    """The table function office_parts(content, file_type): ord, part, xml, cut of each part with text."""
 
+    def eval(self, content: bytes, kind: str):
+        if content is not None and kind in OFFICE:
+            try:
+                for i, (name, xml, cut) in enumerate(read_parts(bytes(content), kind)):
+                    yield i, name, xml, cut
+            except (zipfile.BadZipFile, ValueError, OSError, NotImplementedError):
+                return
 
-# --- PDF: text shown by the operators of content streams; enough for a text layer in simple fonts ---
 
-_STREAM = re.compile(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\n?endstream", re.S)
-_SHOWN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|\bT[djm*J]\b|['\"]|\bET\b", re.S)
-_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+def office_parts(spark: SparkSession, name: str = "office_parts") -> None:
+    """Register the table function, for lateral joins in SQL: one row for each part, parts of several files never together
+    in one value."""
+    spark.udtf.register(name, F.udtf(OfficeParts, returnType="ord int, part string, xml string, cut boolean"))
 
 
-def _literal(raw: bytes) -> str:
-    if raw.startswith(b"<"):
-        digits = re.sub(rb"\s", b"", raw[1:-1])
-        data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-    else:
-        octal = lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else _ESCAPES.get(m[1], b"" if m[1] in b"\r\n" else m[1])
-        data = re.sub(rb"\\([0-7]{1,3}|.)", octal, raw[1:-1], flags=re.S)
-    return data[2:].decode("utf-16-be", "replace") if data.startswith(b"\xfe\xff") else data.decode("latin-1")
+_PARTS_READ = T.StructType([T.StructField("parts", T.ArrayType(T.StringType())), T.StructField("cut", T.BooleanType())])
 
 
-def pdf_text(content: bytes) -> str:
-    """The text that content streams show, plain or deflated, PDF_BYTES at most. ValueError if it is no sound PDF."""
-    if b"%%EOF" not in content[-2048:] and b"startxref" not in content:
-        raise ValueError("no end of file mark")
-    out, left = [], PDF_BYTES
-    for head, body in _STREAM.findall(content):
-        if b"/Image" in head:
-            continue
-        if b"/FlateDecode" in head:
-            inflater = zlib.decompressobj()
-            body = inflater.decompress(body, left)
-            if inflater.unconsumed_tail:
-                raise ValueError("more text than is looked at")
-        elif b"/Filter" in head:
-            continue
-        left -= len(body)
-        if b"BT" not in body:
-            continue
-        for token in _SHOWN.findall(body):
-            if token[:1] in b"(<":
-                out.append(_literal(token))
-            elif token != b"TJ":
-                out.append("\n" if token in (b"ET", b"T*", b"Td", b"TD", b"Tm", b"'", b'"') else "")
-    return re.sub(r"\n+", "\n", "".join(out)).strip("\n") + "\n"
+@F.pandas_udf(_PARTS_READ)
+def _office_parts(contents: pd.Series, kinds: pd.Series) -> pd.DataFrame:
+    def one(c, k):
+        read = list(read_parts(bytes(c), k)) if c is not None else []
+        return [xml for _, xml, _ in read], any(cut for _, _, cut in read)
+
+    return pd.DataFrame([one(c, k) for c, k in zip(contents, kinds, strict=True)], columns=["parts", "cut"])
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("cut", T.BooleanType()), T.StructField("error", T.StringType())]))
 def _pdf_text(contents: pd.Series) -> pd.DataFrame:
     def one(c):
         try:
-            return (pdf_text(bytes(c)), None) if c is not None else (None, None)
-        except (ValueError, zlib.error) as e:  # a bad file must not end the job
-            return None, f"pdf: {e}"
+            return (*pdf_text(bytes(c), PDF_BYTES), None) if c is not None else (None, False, None)
+        except (ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError, zlib.error) as e:  # a bad file must not end the job
+            return None, False, f"pdf: {e}"
 
-    return pd.DataFrame([one(c) for c in contents], columns=["text", "error"])
+    return pd.DataFrame([one(c) for c in contents], columns=["text", "cut", "error"])
 
 
 def office_labels(content: bytes, markers: list[tuple[str, tuple[str, ...], tuple[str, ...]]]) -> list[tuple[str, str, str, str]]:
@@ -191,7 +180,7 @@ def _office_label_udf(rules: RuleSet):
 def extracted(df: DataFrame, rules: RuleSet, options: ExtractOptions | None = None, content_col: str = "content") -> DataFrame:
     """`df` with file_type, text, partial, truncated, error and source_labels in place of the content.
 
-    A file that can't be read has a null text and an error; no file ends the job.
+    A file that can't be read has a null text and an error, and so has a null content; no file ends the job.
     """
     o = options or ExtractOptions()
     content = F.coalesce(F.col(content_col), F.lit(b""))
@@ -199,15 +188,16 @@ def extracted(df: DataFrame, rules: RuleSet, options: ExtractOptions | None = No
     kind = F.col("file_type")
     office, pdf = kind.isin(*OFFICE), kind == PDF
     df = once(df, {"_parts": _office_parts(F.when(office, content), kind), "_pdf": _pdf_text(F.when(pdf, content)), "_office": _office_label_udf(rules)(F.when(office, content))})
-    stripped = F.array_join(F.transform("_parts", lambda x: F.concat(strip_markup(x), F.lit("\n"))), "")
+    stripped = F.array_join(F.transform("_parts.parts", lambda x: F.concat(strip_markup(x), F.lit("\n"))), "")
     found = F.encode(F.when(office, stripped).when(pdf, F.col("_pdf.text")), "UTF-8")
     df = once(df, {"_raw": F.when(kind == PLAINTEXT, content).otherwise(found)})
-    partial = F.coalesce(F.octet_length("_raw") > o.max_file_bytes, F.lit(False))
+    cut = F.when(office, F.col("_parts.cut")).when(pdf, F.col("_pdf.cut"))
+    partial = F.coalesce(F.octet_length("_raw") > o.max_file_bytes, F.lit(False)) | F.coalesce(cut, F.lit(False))
     df = once(df, {"_gated": head_tail(F.col("_raw"), o)})
     gated = F.col("_gated")
     truncated = F.coalesce(F.octet_length(gated) > o.max_bytes, F.lit(False))
     text = F.make_valid_utf8(F.substring(gated, 1, o.max_bytes).cast("string"))
-    error = F.when(kind == UNSUPPORTED, "unsupported format").when(kind == ENCRYPTED, "encrypted or legacy document").when(pdf, F.col("_pdf.error"))
+    error = F.when(F.col(content_col).isNull(), "cannot be read").when(kind == UNSUPPORTED, "unsupported format").when(kind == ENCRYPTED, "encrypted or legacy document").when(pdf, F.col("_pdf.error"))
     labels = F.when(office, F.col("_office").cast(f"array<{LABEL}>")).when(pdf, xmp_labels(F.coalesce(xmp_packet(content), F.lit("")), rules))
     df = once(df, {"text": text, "partial": partial, "truncated": truncated, "error": error, "source_labels": F.coalesce(labels, F.array().cast(f"array<{LABEL}>"))})
     return df.drop("_parts", "_pdf", "_office", "_raw", "_gated", content_col)

@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.verdict import inspect
 from ..plans.rules import RuleSet
 from .extract import ExtractOptions, extracted
+from .tree import file_tree
 
 
-def scan_files(spark: SparkSession, path: str | list[str], recursive: bool = True, max_read_bytes: int | None = None, max_files: int | None = None, skip_suffix: str | None = None) -> DataFrame:
-    """(path, length, content) of the files below `path`. Size limits are pushed into the scan. Spark's listing leaves out
-    names that start with a dot or an underscore, and its scan files without a byte (they would be ALLOW); name the former
-    one by one to read them. `max_files` takes the first by path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "length", "content")
-    if max_read_bytes is not None:
-        files = files.where(F.col("length") <= max_read_bytes)
-    if skip_suffix:
-        files = files.where(~F.col("path").endswith(skip_suffix))
-    return files if max_files is None else files.orderBy("path").limit(max_files)
+def scan_files(spark: SparkSession, path: str | list[str], recursive: bool = True, max_read_bytes: int | None = None, max_files: int | None = None, skip_suffix: str | None = None, hidden: bool = False) -> DataFrame:
+    """(path, length, content) of the files below `path`, dot-files and empty files among them, links not; folders whose name
+    starts with a dot only if `hidden`. Limits and suffixes are met while listing. `max_files` takes the first of the walk in
+    the order of names. A file that can't be read has a null content."""
+    paths = [path] if isinstance(path, str) else path
+    trees = [file_tree(spark, p, recursive=recursive, includeHidden=hidden, maxReadBytes=max_read_bytes, maxFiles=max_files, skipSuffix=skip_suffix) for p in paths]
+    files = reduce(DataFrame.unionByName, trees).select("path", "length", "content")
+    return files if max_files is None or len(paths) == 1 else files.limit(max_files)
 
 
 def from_memory(spark: SparkSession, documents: list[tuple[str, bytes]]) -> DataFrame:
