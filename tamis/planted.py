@@ -3,8 +3,14 @@ invalid ones, with a keyword nearby, far away or not at all. The same lines are
 
 from __future__ import annotations
 
+import io
+import zipfile
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .oracle import q
 from .sources.tables import read_table
@@ -71,3 +77,73 @@ def over(query: str) -> str:
     line = f"{lines}[(doc_id % {len(LINES)})::INTEGER + 1]"
     line = f"replace(replace({line}, '{{0}}', lpad((doc_id % 10000)::VARCHAR, 4, '0')), '{{1}}', (doc_id // {len(LINES)} % 10)::VARCHAR)"
     return query.replace("FROM documents", f"FROM (SELECT * REPLACE (coalesce(text, '') || chr(10) || {line} AS text) FROM documents)")
+
+
+# --- the same documents as files ---
+
+PROPERTY = '<Properties><property name="MSIP_Label_1_Name"><vt>General</vt></property></Properties>'
+#: Kinds of files by doc_id % 5.
+KINDS = ("plaintext", "docx", "xlsx", "pdf", "pptx")
+
+
+def _archive(parts: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(zipfile.ZipInfo(name), text, zipfile.ZIP_DEFLATED)
+    return out.getvalue()
+
+
+def _pdf(text: str) -> bytes:
+    """A page in a composite font whose map gives each code of two bytes its own character; deflated."""
+    shown = "".join(f"<{line.encode('utf-16-be').hex()}> Tj T*\n" for line in text.split("\n"))
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 256 beginbfrange " + b"".join(b"<%02X00> <%02XFF> <%02X00> " % (i, i, i) for i in range(256)) + b"endbfrange"
+    bodies = [
+        b"<</Type/Catalog/Pages 2 0 R>>",
+        b"<</Type/Pages/Kids[3 0 R]/Count 1/Resources<</Font<</F1 5 0 R>>>>>>",
+        b"<</Type/Page/Parent 2 0 R/Contents 4 0 R>>",
+        zlib.compress(f"BT /F1 10 Tf\n{shown}ET".encode("latin-1")),
+        b"<</Type/Font/Subtype/Type0/Encoding/Identity-H/ToUnicode 6 0 R>>",
+        zlib.compress(cmap),
+    ]
+    out, places = b"%PDF-1.5\n", []
+    for n, body in enumerate(bodies, 1):
+        places.append(len(out))
+        stream = b"<</Filter/FlateDecode/Length %d>>\nstream\n%s\nendstream" % (len(body), body) if n in (4, 6) else body
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, stream)
+    table = b"".join(b"%010d 00000 n \n" % p for p in places)
+    return out + b"xref\n0 %d\n0000000000 65535 f \n%strailer\n<</Root 1 0 R/Size %d>>\nstartxref\n%d\n%%%%EOF\n" % (len(bodies) + 1, table, len(bodies) + 1, len(out))
+
+
+@F.pandas_udf(T.BinaryType())
+def _content(ids: pd.Series, texts: pd.Series) -> pd.Series:
+    def one(doc_id, text):
+        kind, told = KINDS[doc_id % 5], text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+        if kind == "docx":
+            return _archive({"word/document.xml": f"<w:document><w:t>{told}</w:t></w:document>", "word/media/picture.bin": "x" * 99})
+        if kind == "xlsx":
+            return _archive({"xl/workbook.xml": "<x/>", "xl/sharedStrings.xml": f"<t>{told}</t>"} | ({"docProps/custom.xml": PROPERTY} if doc_id % 10 == 2 else {}))
+        if kind == "pptx":
+            return _archive({"ppt/slides/slide1.xml": f"<a:t>{told}</a:t>", "ppt/slides/_rels/slide1.xml": "<r/>"})
+        return _pdf(text) if kind == "pdf" else text.encode()
+
+    return pd.Series([one(int(i), t) for i, t in zip(ids, texts, strict=True)], dtype=object)
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of `documents` as files: path, length, content, doc_id. Every tenth has a label in its properties."""
+    docs = documents(spark, sf_dir).select("doc_id", _content("doc_id", "text").alias("content"))
+    return docs.select(F.concat(F.lit("doc-"), "doc_id").alias("path"), F.octet_length("content").cast("bigint").alias("length"), "content", "doc_id")
+
+
+def over_files(query: str) -> str:
+    """`query` with the texts that extraction finds in these files in the place of documents."""
+    lines = "[ \\n]*\\n[ \\n]*"
+    found = {
+        1: "'  ' || text || '  ' || chr(10)",
+        2: "CASE WHEN doc_id % 10 = 2 THEN '   General   ' || chr(10) ELSE '' END || ' ' || text || ' ' || chr(10)",
+        3: f"trim(regexp_replace(text, {q(lines)}, chr(10), 'g'), chr(10)) || chr(10)",
+        4: "' ' || text || ' ' || chr(10)",
+    }
+    told = " ".join(f"WHEN {k} THEN {v}" for k, v in found.items())
+    return over(query.replace("FROM documents", f"FROM (SELECT * REPLACE (CASE doc_id % 5 {told} ELSE text END AS text) FROM documents)"))

@@ -17,6 +17,7 @@ from .operators.verdict import COVERAGE_NOTE, inspect, profiles_long
 from .plans.default_rules import DEFAULT_RULES as RULES
 from .plans.rules import Node, Profile
 from .sources import extract, formats
+from .sources.files import inspect_files
 from .sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -327,6 +328,47 @@ def format_magic(spark, sf_dir):
     return docs.select("doc_id", formats.magic(F.col("content")).alias("kind"))
 
 
+# --- files ---
+
+_FILE_KIND = "CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN {sql.q(k)}" for i, k in enumerate(planted.KINDS)) + " END"
+_FILE_VERDICT = "CASE WHEN doc_id % 10 = 2 THEN 'BLOCK' ELSE verdict END"
+
+
+@_query(planted.over_files(sql.verdicts(RULES) + f" SELECT doc_id, {_FILE_KIND} AS file_type, {_FILE_VERDICT} AS verdict, profiles, bytes_seen, (doc_id % 10 = 2)::INTEGER AS n_metadata FROM verdicts"))
+def file_verdicts(spark, sf_dir):
+    """From the bytes of plain, Office and PDF files to their verdicts."""
+    verdicts = inspect_files(planted.files(spark, sf_dir), RULES)
+    found = F.array_join(F.array_sort(F.col("profiles.profile_id")), ",")
+    labelled = F.size(F.filter("labels", lambda x: x["source"] == "metadata"))
+    return verdicts.select("doc_id", "file_type", "verdict", found.alias("profiles"), "bytes_seen", labelled.alias("n_metadata"))
+
+
+@_query(planted.over_files(f"SELECT doc_id, {_FILE_KIND} AS file_type, md5(text) AS text_md5, false AS partial FROM documents"))
+def file_texts(spark, sf_dir):
+    """What extraction finds in the same files."""
+    texts = extract.extracted(planted.files(spark, sf_dir), RULES)
+    return texts.select("doc_id", "file_type", F.md5(F.col("text").cast("binary")).alias("text_md5"), "partial")
+
+
+_XML = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_PART_ROWS = [
+    (1, 0, "word/document.xml", f"'<w:document><w:t>' || {_XML} || '</w:t></w:document>'", "true"),
+    (2, 0, "docProps/custom.xml", sql.q(planted.PROPERTY), "doc_id % 10 = 2"),
+    (2, 1, "xl/sharedStrings.xml", f"'<t>' || {_XML} || '</t>'", "doc_id % 10 = 2"),
+    (2, 0, "xl/sharedStrings.xml", f"'<t>' || {_XML} || '</t>'", "doc_id % 10 <> 2"),
+    (4, 0, "ppt/slides/slide1.xml", f"'<a:t>' || {_XML} || '</a:t>'", "true"),
+]
+
+
+@_query(planted.over(" UNION ALL ".join(f"SELECT doc_id, {i} AS ord, {sql.q(n)} AS part, md5({x}) AS xml_md5, false AS cut FROM documents WHERE doc_id % 5 = {k} AND {w}" for k, i, n, x, w in _PART_ROWS)))
+def office_parts(spark, sf_dir):
+    """The parts of the Office files, from the table function in a lateral join."""
+    extract.office_parts(spark)
+    files = planted.files(spark, sf_dir).withColumn("file_type", formats.file_type(F.col("content")))
+    rows = spark.sql("SELECT f.doc_id, p.* FROM {files} f, LATERAL office_parts(f.content, f.file_type) p", files=files)
+    return rows.select("doc_id", "ord", "part", F.md5(F.col("xml").cast("binary")).alias("xml_md5"), "cut")
+
+
 # --- reports ---
 
 

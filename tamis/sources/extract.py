@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -23,6 +24,8 @@ from .pdf import pdf_text
 #: Set between the two ends of a long text; it holds no keyword, digit or capital.
 GAP = "\n\n[... the middle of this text was not looked at ...]\n\n"
 PART_BYTES, METADATA_BYTES, PDF_BYTES = 5 << 20, 1 << 20, 32 << 20
+#: What a damaged archive or part raises.
+BROKEN = (zipfile.BadZipFile, OSError, zlib.error, NotImplementedError, RuntimeError, EOFError, ValueError, IndexError, struct.error)
 #: Bytes of a part that are inflated at a time.
 READ_BYTES = 1 << 16
 # Fixed names of the parts that hold text; a star stands for any ending.
@@ -77,7 +80,7 @@ def read_parts(content: bytes, kind: str, most: int = PART_BYTES) -> Iterator[tu
                     while left and (piece := f.read(min(left, READ_BYTES))):
                         pieces.append(piece)
                         left -= len(piece)
-            except (zipfile.BadZipFile, OSError, zlib.error, NotImplementedError, RuntimeError, EOFError):
+            except BROKEN:
                 cut = True
             whole = b"".join(pieces)
             yield name, whole[:most].decode("utf-8", "replace"), cut or len(whole) > most
@@ -91,7 +94,7 @@ class OfficeParts:
             try:
                 for i, (name, xml, cut) in enumerate(read_parts(bytes(content), kind)):
                     yield i, name, xml, cut
-            except (zipfile.BadZipFile, ValueError, OSError, NotImplementedError):
+            except BROKEN:
                 return
 
 
@@ -107,7 +110,10 @@ _PARTS_READ = T.StructType([T.StructField("parts", T.ArrayType(T.StringType())),
 @F.pandas_udf(_PARTS_READ)
 def _office_parts(contents: pd.Series, kinds: pd.Series) -> pd.DataFrame:
     def one(c, k):
-        read = list(read_parts(bytes(c), k)) if c is not None else []
+        try:
+            read = list(read_parts(bytes(c), k)) if c is not None else []
+        except BROKEN:
+            return [], True
         return [xml for _, xml, _ in read], any(cut for _, _, cut in read)
 
     return pd.DataFrame([one(c, k) for c, k in zip(contents, kinds, strict=True)], columns=["parts", "cut"])
@@ -130,7 +136,7 @@ def office_labels(content: bytes, markers: list[tuple[str, tuple[str, ...], tupl
     found: dict[tuple[str, str, str], tuple] = {}
     try:
         archive = zipfile.ZipFile(io.BytesIO(content))
-    except (zipfile.BadZipFile, ValueError, OSError):
+    except BROKEN:
         return []
     for name in (n for n in archive.namelist() if n in METADATA_PARTS):
         prop, chars = "", []
@@ -162,7 +168,7 @@ def office_labels(content: bytes, markers: list[tuple[str, tuple[str, ...], tupl
         try:
             with archive.open(name) as f:
                 parser.Parse(f.read(METADATA_BYTES), True)
-        except (expat.ExpatError, zipfile.BadZipFile, OSError, zlib.error, NotImplementedError, RuntimeError, EOFError):
+        except (expat.ExpatError, *BROKEN):
             continue
     return list(found.values())
 

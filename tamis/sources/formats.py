@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
 
 import pandas as pd
@@ -21,7 +22,7 @@ def office_type(content: bytes) -> str:
     """Of an archive: which kind of Office document its entries make it."""
     try:
         names = zipfile.ZipFile(io.BytesIO(content)).namelist()
-    except (zipfile.BadZipFile, ValueError, OSError, NotImplementedError):
+    except (zipfile.BadZipFile, ValueError, OSError, NotImplementedError, IndexError, struct.error):
         return UNSUPPORTED
     if "word/document.xml" in names:
         return DOCX
