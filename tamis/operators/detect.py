@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from ..functions import re2, validators
 from ..plans.rules import Detector, RuleSet
-from .names import name_finding
+from . import lexicons
+from .lexicons import listed_of
+from .names import capitalised, name_finding
 from .once import once
 from .places import found, near, near_digits, readable
 
@@ -88,11 +90,17 @@ def _reach(pattern: str) -> int | None:
     return n if n is not None and n <= LONGEST_REACH else None
 
 
+def _by_set(d: Detector) -> bool:
+    return d.kind == "dictionary" and len(d.dictionary.evidence) > lexicons.LITERAL_WORDS
+
+
 def looked_at(df: DataFrame, rules: RuleSet, text_col: str, ids: tuple[str, ...] | None = None) -> DataFrame:
-    """`df` with what all detectors look at: `_seen`, the text; `_lower`; `_digit`; and `_near`, the parts around digits that
-    patterns with a reach are tried on."""
+    """`df` with what all detectors look at: `_seen`, the text; `_lower`; `_digit`; `_near`, the parts around digits that
+    patterns with a reach are tried on; and of a detector with long lists `_listed_<id>`, the words of the text in them."""
     text = F.col(text_col).cast("string")
     df = once(df, {"_seen": readable(text), "_lower": F.lower(text), "_digit": has_digit(text)})
+    long = {f"_listed_{d.id}": listed_of(capitalised(F.col("_seen")), d.dictionary.evidence) for d in rules.detectors if _by_set(d) and (ids is None or d.id in ids)}
+    df = once(df, long) if long else df
     reaches = [n for d in _usable(rules, ids) if (n := _reach(d.pattern)) is not None]
     return once(df, {"_near": F.when(F.col("_digit"), near_digits(F.col("_seen"), max(reaches, default=0) + 1))})
 
@@ -172,7 +180,7 @@ def _compiled(application: str, known: tuple, rules: RuleSet, ids: tuple[str, ..
     out, by_names = [F.transform("_hits", _scored(detectors, rules, _table(detectors), lower)).cast(_FOUND)], {}
     for d in rules.detectors:
         if d.kind == "dictionary" and (ids is None or d.id in ids):
-            finding = name_finding(d, rules.confidence, text, lower)
+            finding = name_finding(d, rules.confidence, text, lower, F.col(f"_listed_{d.id}") if _by_set(d) else None)
             by_names[f"_n_{d.id}"] = (F.when(~F.col(unless), finding) if unless else finding).cast(FINDING)
             one = F.array(F.struct(F.lit(d.id).alias("id"), F.col(f"_n_{d.id}").alias("finding")))
             out.append(F.when(F.col(f"_n_{d.id}").isNotNull(), one).otherwise(F.array()).cast(_FOUND))

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.rules import Confidence, Detector
+from . import lexicons
+from .lexicons import listed_of, with_listed
+from .once import once
 from .places import near
 
 _TOKEN = r"\p{L}[\p{L}'-]*+"
@@ -26,11 +29,23 @@ def span_confidence(score: Column) -> Column:
     return F.least(score * 8 + 40, F.lit(95)).cast("bigint")
 
 
-def row_spans(d: Detector, c: Confidence, text: Column, lower: Column) -> Column:
+def capitalised(text: Column) -> Column:
+    """The capitalised tokens of a text in lower case, each once: those that may be evidence."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_CAPITAL), F.lit(0)), F.lower))
+
+
+def _is_listed(d: Detector, listed: Column | None):
+    """Whether a token is evidence: by the list itself, or by the array of the text's listed tokens."""
+    words = list(d.dictionary.evidence) if listed is None else []
+    return lambda t: F.lower(t).isin(words) if listed is None else F.array_contains(listed, F.lower(t))
+
+
+def row_spans(d: Detector, c: Confidence, text: Column, lower: Column, listed: Column | None = None) -> Column:
     """The spans of a text, fired or not, within the row: an array of start (byte), span, evidence, titled, near_keyword and
-    score, null for a text that cannot have one that fires."""
+    score, null for a text that cannot have one that fires. `listed`: those of `capitalised` that are evidence, for lists
+    that are not in the plan."""
     words = d.dictionary
-    titles, listed = sorted(words.titles), words.evidence
+    titles, is_listed = sorted(words.titles), _is_listed(d, listed)
     keywords = F.array(*[F.lit(k.lower()) for k in d.keywords]).cast("array<string>")
     placed = F.aggregate(
         F.regexp_extract_all(text, F.lit(_ITEM), F.lit(0)),
@@ -50,7 +65,7 @@ def row_spans(d: Detector, c: Confidence, text: Column, lower: Column) -> Column
         kept = F.slice(x["tokens"], F.when(own, 2).otherwise(1), F.lit(words.max_span_tokens))
         first = F.octet_length(x["run"]) - F.octet_length(F.regexp_replace(x["run"], r"^[^ \t]+[ \t]+", ""))
         at = x["at"] + F.when(own, first).otherwise(0)
-        return F.struct(kept.alias("kept"), (own | F.lower(x["before"]).isin(titles)).alias("titled"), at.alias("at"), F.size(F.filter(kept, lambda t: F.lower(t).isin(listed))).alias("evidence"))
+        return F.struct(kept.alias("kept"), (own | F.lower(x["before"]).isin(titles)).alias("titled"), at.alias("at"), F.size(F.filter(kept, is_listed)).alias("evidence"))
 
     def scored(x: Column) -> Column:
         close = near(lower, x["at"], keywords, c.keyword_window) if d.keywords else F.lit(False)
@@ -63,17 +78,17 @@ def row_spans(d: Detector, c: Confidence, text: Column, lower: Column) -> Column
     return F.transform(spans, scored)
 
 
-def name_finding(d: Detector, c: Confidence, text: Column, lower: Column) -> Column:
+def name_finding(d: Detector, c: Confidence, text: Column, lower: Column, listed: Column | None = None) -> Column:
     """The finding of a name detector, within the row: no shuffle, and fit for streams."""
     words = d.dictionary
-    fired = F.filter(row_spans(d, c, text, lower), lambda x: x["score"] >= words.fire)
+    fired = F.filter(row_spans(d, c, text, lower, listed), lambda x: x["score"] >= words.fire)
     summed = F.transform(F.array(fired), lambda s: F.when(F.size(s) > 0, F.struct(
         F.size(s).cast("bigint").alias("raw_count"), F.size(s).cast("bigint").alias("validated_count"), F.lit(False).alias("keyword_found"),
         span_confidence(F.array_max(F.transform(s, lambda x: x["score"]))).alias("confidence"), F.lit(True).alias("fired"), F.slice(F.transform(s, lambda x: x["span"]), 1, 3).alias("samples"),
     )))
-    listed = F.exists(F.regexp_extract_all(text, F.lit(_CAPITAL), F.lit(0)), lambda t: F.lower(t).isin(words.evidence))
+    some = F.size(listed) > 0 if listed is not None else F.exists(F.regexp_extract_all(text, F.lit(_CAPITAL), F.lit(0)), _is_listed(d, None))
     needs_evidence = words.title + words.keyword < words.fire
-    return F.when(listed if needs_evidence else text.rlike(r"\p{Lu}"), F.element_at(summed, 1))
+    return F.when(some if needs_evidence else text.rlike(r"\p{Lu}"), F.element_at(summed, 1))
 
 
 def name_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -101,11 +116,17 @@ def name_runs(tokens: DataFrame) -> DataFrame:
     return runs.withColumn("place", F.row_number().over(Window.partitionBy("row", "run").orderBy("ord")))
 
 
-def name_spans(df: DataFrame, d: Detector, c: Confidence, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def name_spans(df: DataFrame, d: Detector, c: Confidence, id_col: str = "doc_id", text_col: str = "text", evidence: DataFrame | None = None) -> DataFrame:
     """One row for each span, fired or not: doc_id, start, span, evidence, titled, near_keyword, score, confidence, fired.
 
-    A map over rows: the tokens of a run are never rows of their own, and nothing is shuffled.
+    A map over rows: the tokens of a run are never rows of their own, and nothing is shuffled. With `evidence`, a table
+    (word) in the place of the detector's lists, the words of each text are joined with it first.
     """
-    text = F.col(text_col).cast("string")
-    rows = df.select(F.col(id_col).alias("doc_id"), F.explode(row_spans(d, c, text, F.lower(text))).alias("s"))
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
+    listed = None
+    if evidence is not None:
+        rows, listed = with_listed(rows, capitalised(F.col("_text")), evidence, "_listed"), F.col("_listed")
+    elif len(d.dictionary.evidence) > lexicons.LITERAL_WORDS:
+        rows, listed = once(rows, {"_listed": listed_of(capitalised(F.col("_text")), d.dictionary.evidence)}), F.col("_listed")
+    rows = rows.select("doc_id", F.explode(row_spans(d, c, F.col("_text"), F.lower("_text"), listed)).alias("s"))
     return rows.select("doc_id", "s.*", span_confidence(F.col("s.score")).alias("confidence"), (F.col("s.score") >= d.dictionary.fire).alias("fired"))

@@ -40,8 +40,9 @@ def _batches(rules: RuleSet) -> list[tuple[str, ...]]:
 def _with_found(df: DataFrame, rules: RuleSet) -> DataFrame:
     """`df` with `_found` and `short_circuited`. With an early exit, batches after the one that ended the scan are not
     scanned for. Batches have a fixed size, so the result does not depend on the machine."""
+    given = set(df.columns)
     df = looked_at(df, rules, "_text")
-    own = "_seen", "_lower", "_digit", "_near"
+    own = [c for c in df.columns if c not in given]
     if not rules.early_exit.enabled:
         return found_array(df, rules).withColumn("short_circuited", F.lit(False)).drop(*own)
     batches = _batches(rules)

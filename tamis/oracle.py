@@ -188,14 +188,15 @@ def _list(words) -> str:
     return "(" + ", ".join(q(w) for w in sorted(words)) + ")"
 
 
-def spans(rules: RuleSet) -> str:
+def spans(rules: RuleSet, evidence: str | None = None) -> str:
+    """CTEs up to `spans` and `name_docs`. `evidence`: a query for the listed words in the place of the rules' own."""
     d = next(d for d in rules.detectors if d.kind == "dictionary")
     w, c = d.dictionary, rules.confidence
     return f"""{RUNS}, titled AS (
-    SELECT *, first(lower(token)) OVER r IN {_list(w.titles)} AS own, coalesce(first(lower(title_before)) OVER r IN {_list(w.titles)}, false) AS ahead
+    SELECT *, lower(token) IN {f"({evidence})" if evidence else _list(w.evidence)} AS listed, first(lower(token)) OVER r IN {_list(w.titles)} AS own, coalesce(first(lower(title_before)) OVER r IN {_list(w.titles)}, false) AS ahead
     FROM runs WINDOW r AS (PARTITION BY doc_id, run ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
 ), grouped AS (
-    SELECT doc_id, run, min(start) AS start, string_agg(token, ' ' ORDER BY ord) AS span, count(*) FILTER (lower(token) IN {_list(w.evidence)}) AS evidence, bool_or(own OR ahead) AS titled
+    SELECT doc_id, run, min(start) AS start, string_agg(token, ' ' ORDER BY ord) AS span, count(*) FILTER (listed) AS evidence, bool_or(own OR ahead) AS titled
     FROM titled WHERE place - CASE WHEN own THEN 1 ELSE 0 END BETWEEN 1 AND {w.max_span_tokens} GROUP BY doc_id, run
 ), placed AS (
     SELECT doc_id, {keyword_places(d)} AS k FROM documents

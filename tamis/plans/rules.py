@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from ..functions import re2
 from ..functions.validators import VALIDATORS
@@ -48,9 +49,9 @@ class Dictionary:
     keyword: int = 1
     fire: int = 5
 
-    @property
-    def evidence(self) -> list[str]:
-        return sorted((self.given_names | self.surnames) - self.common_words)
+    @cached_property
+    def evidence(self) -> tuple[str, ...]:
+        return tuple(sorted((self.given_names | self.surnames) - self.common_words))
 
 
 @dataclass(frozen=True)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import oracle as sql
 from . import planted
 from .functions import validators
-from .operators import detect, labels, names, profiler
+from .operators import detect, labels, lexicons, names, profiler
 from .operators.literals import literals_in
 from .operators.verdict import COVERAGE_NOTE, inspect, profiles_long
 from .plans.default_rules import DEFAULT_RULES as RULES
@@ -223,6 +223,32 @@ def name_docs(spark, sf_dir):
     return fired.groupBy(F.lit(NAME.id).alias("detector")).agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_spans"))
 
 
+# --- word lists as tables, drawn from the corpus ---
+
+_WORDS_SQL = "(SELECT word, count(*) AS n FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{2,}'))) AS word FROM documents) GROUP BY word)"
+_EVIDENCE_SQL = f"SELECT word FROM {_WORDS_SQL} WHERE length(word) % 3 < 2 AND n < 40"
+
+
+def _corpus_evidence(docs: DataFrame) -> DataFrame:
+    """Words of the texts by their length for names, and those of 40 documents or more for common words."""
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0)))).alias("word"))
+    words = words.groupBy("word").agg(F.count("*").alias("n"))
+    of = lambda rest: words.where(F.length("word") % 3 == rest)
+    return lexicons.evidence_table(of(0), of(1), words.where("n >= 40"))
+
+
+@_query(planted.over(_EVIDENCE_SQL))
+def corpus_evidence(spark, sf_dir):
+    return _corpus_evidence(planted.documents(spark, sf_dir))
+
+
+@_query(planted.over(f"WITH evidence AS ({_EVIDENCE_SQL}), {sql.spans(RULES, 'SELECT word FROM evidence')} SELECT * FROM spans"))
+def corpus_name_spans(spark, sf_dir):
+    """Names by lists of thousands of words, joined as a table."""
+    docs = planted.documents(spark, sf_dir)
+    return names.name_spans(docs, NAME, RULES.confidence, evidence=_corpus_evidence(docs))
+
+
 # --- profiles and verdicts ---
 
 
