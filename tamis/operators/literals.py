@@ -10,6 +10,7 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +31,33 @@ def contained(text: str, words: tuple[str, ...]) -> list[int]:
     return sorted({i for _, i in automaton(words).iter(text)}) if words else []
 
 
+def _bytes_before(text: str) -> np.ndarray:
+    """For each place of a text, and its end, how many bytes of UTF-8 stand before it."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.concatenate(([0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))))
+
+
+def placed(text: str, words: tuple[str, ...]) -> list[tuple[int, int, int]]:
+    """(number, start, end) of every occurrence of the words, overlapping ones too, in bytes."""
+    hits = [(i, end + 1 - len(words[i]), end + 1) for end, i in automaton(words).iter(text)] if words else []
+    if hits and not text.isascii():
+        at = _bytes_before(text)
+        hits = [(i, int(at[a]), int(at[b])) for i, a, b in hits]
+    return hits
+
+
+def literal_places(text: Column, words: Iterable[str]) -> Column:
+    """An array of (word, start, end) of every occurrence of each of `words`, none of them empty, in bytes."""
+    words = tuple(dict.fromkeys(words))
+    if "" in words:
+        raise ValueError("the empty word is everywhere")
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else placed(t, words) for t in texts], dtype=object)
+
+    return F.pandas_udf(run, "array<struct<word:int,start:bigint,end:bigint>>")(text)
+
+
 def literals_in(text: Column, words: Iterable[str]) -> Column:
     """An array of those of `words` that `text` contains as they are written, in their order; null for a null text. Repeated
     words count once, and the empty one is in every text."""

@@ -54,8 +54,47 @@ def top_k(rows: DataFrame, column: str, tie: str, k: int) -> DataFrame:
     return rows.orderBy(F.desc(column), tie).limit(k)
 
 
+def latency_report(verdicts: DataFrame, quantiles: Sequence[float] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
+    """(metric, value) of the measured `micros`: n, bytes, seconds, mean_micros, max_micros, mb_per_s (of the time in tasks),
+    and p50, p90 and so on. Rows without a measurement do not count; without any, there are n, bytes and seconds of 0."""
+    timed = verdicts.where(F.col("micros").isNotNull())
+    took, size = F.coalesce(F.sum("micros"), F.lit(0)).cast("double"), F.coalesce(F.sum("bytes_seen"), F.lit(0)).cast("double")
+    whole = timed.agg(
+        F.count("*").cast("double").alias("n"), size.alias("bytes"), (took / 1e6).alias("seconds"), F.avg("micros").alias("mean_micros"),
+        F.max("micros").cast("double").alias("max_micros"), (size / F.nullif(took, F.lit(0.0))).alias("mb_per_s"),
+    )
+    metrics = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in whole.columns])
+    rows = whole.select(F.inline(metrics)).where("value is not null")
+    places = floor_percentiles(timed, "micros", quantiles)
+    return rows.unionByName(places.select(F.format_string("p%.0f", F.col("q") * 100).alias("metric"), F.col("value").cast("double").alias("value")))
+
+
+def slowest(verdicts: DataFrame, k: int, tie: str = "path") -> DataFrame:
+    """The k rows that took longest."""
+    return top_k(verdicts.where(F.col("micros").isNotNull()), "micros", tie, k)
+
+
+def expectation_report(verdicts: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """Verdicts held against expected ones: key, verdict, expected_verdict, missing, extra, status.
+
+    `expected` has the key, `verdict` and `profiles` (an array of ids that must be among those found). `missing` are expected
+    profiles that were not found, `extra` found ones that were not expected. status: "absent" for an expected document
+    without a verdict, "unexpected" for a verdict that nothing was said of, "differs" in the verdict, "missing" a profile, or
+    "ok". Keys tell documents apart; null keys meet nothing.
+    """
+    found = verdicts.select(F.col(key).alias("k"), F.col("verdict").alias("got"), F.array_sort(F.array_distinct(F.col("profiles.profile_id"))).alias("had"))
+    wanted = expected.select(F.col(key).alias("k2"), F.col("verdict").alias("want"), F.array_sort(F.array_distinct("profiles")).alias("must"))
+    both = found.join(wanted, F.col("k") == F.col("k2"), "full_outer")
+    none = F.array().cast("array<string>")
+    had, must = F.coalesce("had", none), F.coalesce("must", none)
+    missing, extra = F.array_except(must, had), F.array_except(had, must)
+    status = F.when(F.col("got").isNull(), "absent").when(F.col("want").isNull(), "unexpected").when(F.col("got") != F.col("want"), "differs").when(F.size(missing) > 0, "missing").otherwise("ok")
+    return both.select(F.coalesce("k", "k2").alias(key), F.col("got").alias("verdict"), F.col("want").alias("expected_verdict"), missing.alias("missing"), extra.alias("extra"), status.alias("status"))
+
+
 def write_csv(verdicts: DataFrame, path: str) -> None:
-    """path, size, type, verdict, micros, partial, short_circuit; micros are empty where they were not measured."""
+    """path, size, type, verdict, micros, partial, short_circuit; micros are empty where they were not measured. Latencies,
+    their report and this file come from one run if the verdicts were written or cached before."""
     micros = F.col("micros") if "micros" in verdicts.columns else F.lit(None).cast("bigint")
     columns = [F.col("path"), F.col("length").alias("size"), F.col("file_type").alias("type"), F.col("verdict"), micros.alias("micros"), F.col("partial"), F.col("short_circuited").alias("short_circuit")]
     verdicts.select(*columns).write.mode("overwrite").csv(path, header=True)

@@ -58,8 +58,14 @@ def _with_found(df: DataFrame, rules: RuleSet) -> DataFrame:
     return df.drop(*own)
 
 
-def inspect(df: DataFrame, rules: RuleSet, text_col: str = "text", source_labels: str | None = None, partial: str | None = None, truncated: str | None = None, error: str | None = None) -> DataFrame:
-    """`df` with verdict, bytes_seen, profiles, labels, detectors, short_circuited and note.
+def _clock() -> Column:
+    """The task's clock in nanoseconds, read when a row comes by."""
+    return F.reflect(F.lit("java.lang.System"), F.lit("nanoTime")).cast("bigint")
+
+
+def inspect(df: DataFrame, rules: RuleSet, text_col: str = "text", source_labels: str | None = None, partial: str | None = None, truncated: str | None = None, error: str | None = None, micros: bool = False) -> DataFrame:
+    """`df` with verdict, bytes_seen, profiles, labels, detectors, short_circuited and note; with `micros` also how long the
+    row took, measured in its task from where its text is there to where its verdict is.
 
     A map over rows: no shuffle, and the same on streams. `source_labels`, `partial`, `truncated` and `error` name columns
     of an extraction: metadata labels force BLOCK, an incomplete look at what would be ALLOW gives ESCALATE, and a
@@ -75,6 +81,8 @@ def inspect(df: DataFrame, rules: RuleSet, text_col: str = "text", source_labels
         (flag(partial) | flag(truncated)).alias("_in_part"),
         (F.col(error) if error else F.lit(None).cast("string")).alias("_error"),
     )
+    if micros:
+        df = once(df, {"_began": _clock()})
     df = once(_with_found(df, rules), {"_by": F.map_from_entries("_found")})
     df = with_profiles(df, rules)
     df = once(df, {"_body": body_labels(F.col("_text"), rules), "_detectors": fired_detectors(df.sparkSession.sparkContext.applicationId, rules)})
@@ -85,6 +93,9 @@ def inspect(df: DataFrame, rules: RuleSet, text_col: str = "text", source_labels
     severity = F.when(F.col("_error").isNotNull(), without).when(uncovered, 1).otherwise(severity)
     note = F.coalesce("_error", F.when(uncovered, COVERAGE_NOTE))
     df = once(df, {"_severity": severity, "_note": note})
+    if micros:
+        took = F.floor((_clock() - F.col("_began")) / 1000).cast("bigint")
+        df = once(df, {"_micros": took + F.coalesce(F.col(f"_given{given.index('micros')}"), F.lit(0)) if "micros" in given else took})
     new = {
         "verdict": verdict_name(F.col("_severity")),
         "bytes_seen": F.octet_length("_text").cast("bigint"),
@@ -92,10 +103,10 @@ def inspect(df: DataFrame, rules: RuleSet, text_col: str = "text", source_labels
         "detectors": F.col("_detectors"),
         "note": F.col("_note"),
     }
-    kept = [F.col(f"_given{i}").alias(c) for i, c in enumerate(given) if c not in ("profiles", "short_circuited", *new)]
+    kept = [F.col(f"_given{i}").alias(c) for i, c in enumerate(given) if c not in ("profiles", "short_circuited", *new) and not (micros and c == "micros")]
     profiles = F.transform("profiles", lambda p: p.dropFields("severity")).alias("profiles")
     new = {name: column.alias(name) for name, column in new.items()}
-    return df.select(*kept, new["verdict"], new["bytes_seen"], profiles, new["labels"], new["detectors"], "short_circuited", new["note"])
+    return df.select(*kept, new["verdict"], new["bytes_seen"], profiles, new["labels"], new["detectors"], "short_circuited", new["note"], *([F.col("_micros").alias("micros")] if micros else []))
 
 
 def profiles_long(df: DataFrame, rules: RuleSet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -141,6 +141,17 @@ def _near(start: str, places: str, window: int) -> str:
     return f"len(list_filter({places}, lambda word: word.at >= {start} - {window} AND word.at + word.size <= {start} + {window})) > 0"
 
 
+def matches_near(rules: RuleSet) -> str:
+    """Every match, and whether a keyword lies within the window."""
+    parts = []
+    for d in rules.detectors:
+        if d.kind == "regex" and d.pattern:
+            near = f"list_transform({starts(d, None)}, lambda p: {_near('p', 'k', rules.confidence.keyword_window)})" if d.keywords else "list_transform(m, lambda x: false)"
+            source = f"(SELECT *, {keyword_places(d) if d.keywords else '[]'} AS k FROM {matches(d, None)})"
+            parts.append(f"SELECT doc_id, {q(d.id)} AS detector, unnest(range(1, len(m) + 1))::BIGINT AS ord, unnest({starts(d, None)}) AS start, unnest({near}) AS near_keyword FROM {source}")
+    return "\nUNION ALL\n".join(parts)
+
+
 def matches_long(rules: RuleSet, ids: list[str] | None = None) -> str:
     parts = []
     for d in rules.detectors:

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from . import oracle as sql
 from . import planted
 from .functions import validators
-from .operators import detect, labels, lexicons, names, profiler
+from .operators import bands, detect, labels, lexicons, names, profiler
 from .operators.literals import literals_in
 from .operators.verdict import COVERAGE_NOTE, inspect, profiles_long
 from .plans.default_rules import DEFAULT_RULES as RULES
 from .plans.rules import Node, Profile
 from .sources import extract, formats
-from .sources.files import inspect_files
+from .sources.files import inspect_files, read_verdicts, verdict_json
 from .sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,12 @@ def matches_all(spark, sf_dir):
     return detect.matches_long(_docs(spark, sf_dir), RULES)
 
 
+@_query(planted.over(sql.matches_near(RULES)))
+def matches_near_keywords(spark, sf_dir):
+    """Keywords and matches as rows, joined by document and bucket of the window."""
+    return bands.matches_near_keywords(planted.documents(spark, sf_dir), RULES).select("doc_id", "detector", "ord", "start", "near_keyword")
+
+
 @_query(f"SELECT detector, count(*) AS n, count(*) FILTER (valid) AS n_valid, count(DISTINCT doc_id) AS n_docs FROM ({sql.matches_long(RULES)}) GROUP BY detector")
 def match_counts(spark, sf_dir):
     rows = detect.matches_long(_docs(spark, sf_dir), RULES)
@@ -395,6 +401,46 @@ def office_parts(spark, sf_dir):
     return rows.select("doc_id", "ord", "part", F.md5(F.col("xml").cast("binary")).alias("xml_md5"), "cut")
 
 
+_STORED = f"SELECT doc_id, {_FILE_KIND} AS file_type, {_FILE_VERDICT} AS verdict, bytes_seen FROM verdicts"
+
+
+@_query(planted.over_files(sql.verdicts(RULES) + f" SELECT file_type, verdict, count(*) AS n, sum(bytes_seen)::BIGINT AS total FROM ({_STORED}) GROUP BY file_type, verdict"))
+def stored_verdicts(spark, sf_dir):
+    """A report on verdicts that were put into JSON texts and read again."""
+    stored = verdict_json(inspect_files(planted.files(spark, sf_dir), RULES))
+    verdicts = read_verdicts(stored, more="doc_id bigint")
+    return verdicts.groupBy("file_type", "verdict").agg(F.count("*").alias("n"), F.sum("bytes_seen").alias("total"))
+
+
+@_query("SELECT count(*) AS n, sum(strlen(text))::BIGINT AS total, count(*) AS n_measured FROM documents")
+def measured(spark, sf_dir):
+    """How many of the verdicts have a measured time; the times themselves differ from run to run."""
+    verdicts = inspect(_docs(spark, sf_dir), RULES, micros=True)
+    return verdicts.agg(F.count("*").alias("n"), F.sum("bytes_seen").alias("total"), F.count_if(F.col("micros") >= 0).alias("n_measured"))
+
+
+_EXPECTED = "CASE WHEN doc_id % 39 IN (0, 10, 32) THEN 'BLOCK' WHEN doc_id % 39 IN (36, 37) THEN 'ESCALATE' ELSE 'ALLOW' END"
+
+
+@_query(planted.over(sql.verdicts(RULES) + f""", expected AS (
+    SELECT CASE WHEN doc_id % 50 = 49 THEN doc_id + 10000000 ELSE doc_id END AS doc_id, {_EXPECTED} AS verdict, CASE WHEN doc_id % 39 IN (0, 10) THEN 'US_PII' WHEN doc_id % 39 = 32 THEN 'PHI_HIPAA' END AS profile FROM documents WHERE doc_id % 50 <> 48
+), both_sides AS (
+    SELECT coalesce(v.doc_id, e.doc_id) AS doc_id, v.verdict, e.verdict AS expected_verdict,
+           CASE WHEN e.profile IS NOT NULL AND NOT list_contains(string_split(coalesce(v.profiles, ''), ','), e.profile) THEN e.profile ELSE '' END AS missing,
+           array_to_string(list_filter(string_split(coalesce(v.profiles, ''), ','), lambda p: p <> '' AND p <> coalesce(e.profile, '')), ',') AS extra
+    FROM verdicts v FULL OUTER JOIN expected e USING (doc_id)
+) SELECT *, CASE WHEN verdict IS NULL THEN 'absent' WHEN expected_verdict IS NULL THEN 'unexpected' WHEN verdict <> expected_verdict THEN 'differs' WHEN missing <> '' THEN 'missing' ELSE 'ok' END AS status FROM both_sides"""))
+def expectations(spark, sf_dir):
+    """Verdicts held against what the planted lines should give; some are expected of no document, some of none."""
+    docs = planted.documents(spark, sf_dir)
+    must = F.when(F.expr("doc_id % 39 in (0, 10)"), F.array(F.lit("US_PII"))).when(F.expr("doc_id % 39 = 32"), F.array(F.lit("PHI_HIPAA"))).otherwise(F.array().cast("array<string>"))
+    key = F.when(F.expr("doc_id % 50 = 49"), F.col("doc_id") + 10000000).otherwise(F.col("doc_id"))
+    expected = docs.where("doc_id % 50 <> 48").select(key.alias("doc_id"), F.expr(_EXPECTED).alias("verdict"), must.alias("profiles"))
+    report = profiler.expectation_report(inspect(docs, RULES), expected, "doc_id")
+    joined = {c: F.array_join(c, ",") for c in ("missing", "extra")}
+    return report.withColumns(joined)
+
+
 # --- reports ---
 
 

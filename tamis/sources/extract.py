@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import struct
+import time
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -69,6 +70,10 @@ def _wanted(name: str, parts: tuple[str, ...]) -> bool:
     return any(name == p or (p.endswith("*") and name.startswith(p[:-1])) for p in parts)
 
 
+def _micros(began: int) -> int:
+    return (time.perf_counter_ns() - began) // 1000
+
+
 def read_parts(content: bytes, kind: str, most: int = PART_BYTES) -> Iterator[tuple[str, str, bool]]:
     """The parts of an Office document with text, by name: name, what stands in the first `most` bytes, and whether that is
     not all. A part that can't be read to its end is given as far as it can, and counts as cut."""
@@ -104,30 +109,32 @@ def office_parts(spark: SparkSession, name: str = "office_parts") -> None:
     spark.udtf.register(name, F.udtf(OfficeParts, returnType="ord int, part string, xml string, cut boolean"))
 
 
-_PARTS_READ = T.StructType([T.StructField("parts", T.ArrayType(T.StringType())), T.StructField("cut", T.BooleanType())])
+_PARTS_READ = T.StructType([T.StructField("parts", T.ArrayType(T.StringType())), T.StructField("cut", T.BooleanType()), T.StructField("micros", T.LongType())])
 
 
 @F.pandas_udf(_PARTS_READ)
 def _office_parts(contents: pd.Series, kinds: pd.Series) -> pd.DataFrame:
     def one(c, k):
+        began = time.perf_counter_ns()
         try:
             read = list(read_parts(bytes(c), k)) if c is not None else []
         except BROKEN:
-            return [], True
-        return [xml for _, xml, _ in read], any(cut for _, _, cut in read)
+            return [], True, _micros(began)
+        return [xml for _, xml, _ in read], any(cut for _, _, cut in read), _micros(began)
 
-    return pd.DataFrame([one(c, k) for c, k in zip(contents, kinds, strict=True)], columns=["parts", "cut"])
+    return pd.DataFrame([one(c, k) for c, k in zip(contents, kinds, strict=True)], columns=["parts", "cut", "micros"])
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("cut", T.BooleanType()), T.StructField("error", T.StringType())]))
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("cut", T.BooleanType()), T.StructField("error", T.StringType()), T.StructField("micros", T.LongType())]))
 def _pdf_text(contents: pd.Series) -> pd.DataFrame:
     def one(c):
+        began = time.perf_counter_ns()
         try:
-            return (*pdf_text(bytes(c), PDF_BYTES), None) if c is not None else (None, False, None)
+            return (*pdf_text(bytes(c), PDF_BYTES), None, _micros(began)) if c is not None else (None, False, None, 0)
         except (ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError, zlib.error) as e:  # a bad file must not end the job
-            return None, False, f"pdf: {e}"
+            return None, False, f"pdf: {e}", _micros(began)
 
-    return pd.DataFrame([one(c) for c in contents], columns=["text", "cut", "error"])
+    return pd.DataFrame([one(c) for c in contents], columns=["text", "cut", "error", "micros"])
 
 
 def office_labels(content: bytes, markers: list[tuple[str, tuple[str, ...], tuple[str, ...]]]) -> list[tuple[str, str, str, str]]:
@@ -184,7 +191,8 @@ def _office_label_udf(rules: RuleSet):
 
 
 def extracted(df: DataFrame, rules: RuleSet, options: ExtractOptions | None = None, content_col: str = "content") -> DataFrame:
-    """`df` with file_type, text, partial, truncated, error and source_labels in place of the content.
+    """`df` with file_type, text, partial, truncated, error, source_labels and micros (what reading an Office file or a PDF
+    took) in place of the content.
 
     A file that can't be read has a null text and an error, and so has a null content; no file ends the job.
     """
@@ -205,5 +213,5 @@ def extracted(df: DataFrame, rules: RuleSet, options: ExtractOptions | None = No
     text = F.make_valid_utf8(F.substring(gated, 1, o.max_bytes).cast("string"))
     error = F.when(F.col(content_col).isNull(), "cannot be read").when(kind == UNSUPPORTED, "unsupported format").when(kind == ENCRYPTED, "encrypted or legacy document").when(pdf, F.col("_pdf.error"))
     labels = F.when(office, F.col("_office").cast(f"array<{LABEL}>")).when(pdf, xmp_labels(F.coalesce(xmp_packet(content), F.lit("")), rules))
-    df = once(df, {"text": text, "partial": partial, "truncated": truncated, "error": error, "source_labels": F.coalesce(labels, F.array().cast(f"array<{LABEL}>"))})
+    df = once(df, {"text": text, "partial": partial, "truncated": truncated, "error": error, "source_labels": F.coalesce(labels, F.array().cast(f"array<{LABEL}>")), "micros": F.coalesce(F.col("_parts.micros"), F.lit(0)) + F.coalesce(F.col("_pdf.micros"), F.lit(0))})
     return df.drop("_parts", "_pdf", "_office", "_raw", "_gated", content_col)

@@ -35,12 +35,30 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 def inspect_files(files: DataFrame, rules: RuleSet, options: ExtractOptions | None = None) -> DataFrame:
     """One verdict for each file: path, length, file_type, verdict, bytes_seen, partial, truncated, profiles, labels,
-    detectors, short_circuited, note. The text itself is not kept. Works on batches and streams alike."""
-    verdicts = inspect(extracted(files, rules, options), rules, "text", "source_labels", "partial", "truncated", "error")
+    detectors, short_circuited, note, micros. The text itself is not kept. Works on batches and streams alike. `micros` is
+    what reading the file's format and inspecting its text took in the task."""
+    verdicts = inspect(extracted(files, rules, options), rules, "text", "source_labels", "partial", "truncated", "error", micros=True)
     seen = F.when(F.col("error").isNotNull(), F.col("length")).otherwise(F.col("bytes_seen"))
     return verdicts.withColumn("bytes_seen", seen).drop("text", "source_labels", "error")
 
 
+VERDICT = (
+    "path string, length bigint, file_type string, verdict string, bytes_seen bigint, partial boolean, truncated boolean, short_circuited boolean, note string, micros bigint, "
+    "profiles array<struct<profile_id:string,profile_name:string,data_type:string,verdict_on_match:string,confidence:bigint>>, "
+    "labels array<struct<marker_id:string,label:string,source:string,property:string>>, "
+    "detectors array<struct<id:string,name:string,raw_count:bigint,validated_count:bigint,confidence:bigint>>"
+)
+
+
+def read_verdicts(stored: DataFrame, json_col: str = "json", more: str = "") -> DataFrame:
+    """Verdicts from stored JSON texts, one a row, typed as `inspect_files` gives them, so that reports run on them; `more`
+    names further fields with their types. `problem` holds a text that is no JSON object; its fields are null. Fields that
+    are not known are left out, missing ones are null."""
+    schema = VERDICT + (f", {more}" if more else "") + ", problem string"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "problem"}
+    return stored.select(F.from_json(F.col(json_col), schema, options).alias("v")).select("v.*")
+
+
 def verdict_json(verdicts: DataFrame) -> DataFrame:
     """Each verdict as one JSON text, under `json`."""
     return verdicts.select(F.to_json(F.struct(*verdicts.columns)).alias("json"))
