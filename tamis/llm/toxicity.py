@@ -4,6 +4,9 @@ the probabilities of the categories before it. The probabilities that a later mo
 Labels say only whether a text is toxic. The categories before that are kinds of toxic texts, learnt from the labelled rows
 in whatever language they are: the words that speak for the label fall into groups that go together in the same texts, and
 a toxic text is of the kinds that it has words of. No word is fixed beforehand.
+
+Features and kinds are learnt from labels, so a fold has its own: what a later model is trained on comes from models that
+have seen nothing of the rows they answer for, neither in their weights nor in the choice of features and kinds.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -60,18 +64,24 @@ class Chain:
     weights: list[np.ndarray]
 
     @classmethod
-    def fit(cls, categories: tuple[str, ...], features: list[str], found: list[list[int]], y: np.ndarray, fold: np.ndarray, weight: np.ndarray) -> Chain:
+    def fit(cls, categories: tuple[str, ...], features: list[str], found: list[list[int]], y: np.ndarray, fold: np.ndarray, weight: np.ndarray, within: dict[int, tuple[set[int], np.ndarray]] | None = None, every: set[int] | None = None) -> Chain:
         """`found` has the places of each row's features, `y` a column of 0 and 1 for each category, `fold` the part that
-        a row is left out with."""
+        a row is left out with. `within` has for each fold the places of the features, and the columns for all rows, as
+        learnt without its rows; by default they are the same for all. `every` has the places of the features of the chain
+        itself, by default all."""
         earlier, weights, n = np.zeros((len(found), 0)), [], len(features)
+        whole = [[p for p in row if p in every] for row in found] if every is not None else found
+        folds = np.unique(fold).tolist()
+        known = {f: ([[p for p in row if p in within[f][0]] for row in found], within[f][1]) if within else (found, y) for f in folds}
         for k in range(len(categories)):
             out_of_fold = np.zeros(len(found))
-            for f in np.unique(fold):
+            for f in folds:
                 inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
                 if len(inside):
-                    w = fit_logistic(Rows(earlier[inside], [found[i] for i in inside], n), y[inside, k], weight[inside])
-                    out_of_fold[outside] = Rows(earlier[outside], [found[i] for i in outside], n).dot(w)
-            weights.append(fit_logistic(Rows(earlier, found, n), y[:, k], weight))
+                    own, target = known[f]
+                    w = fit_logistic(Rows(earlier[inside], [own[i] for i in inside], n), target[inside, k], weight[inside])
+                    out_of_fold[outside] = Rows(earlier[outside], [own[i] for i in outside], n).dot(w)
+            weights.append(fit_logistic(Rows(earlier, whole, n), y[:, k], weight))
             earlier = np.concatenate((earlier, _damped(out_of_fold)[:, None]), axis=1)
         return cls(categories, {f: i for i, f in enumerate(features)}, weights)
 
@@ -94,9 +104,10 @@ def _damped(score):
     return np.clip(score, -6, 6) / 6
 
 
-def kinds_of(found: list[list[int]], toxic: np.ndarray, speaks: np.ndarray, kinds: int = KINDS) -> np.ndarray:
-    """For each row 1 or 0 for each kind. The features marked by `speaks` are grouped by the toxic rows that they are in:
-    spherical k-means, begun with the most frequent feature and then those least like the ones before."""
+def kinds_of(found: list[list[int]], toxic: np.ndarray, speaks: np.ndarray, kinds: int = KINDS, like: list[set[int]] | None = None) -> tuple[np.ndarray, list[set[int]]]:
+    """For each row 1 or 0 for each kind, and the features of each kind. The features marked by `speaks` are grouped by the
+    toxic rows that they are in: spherical k-means, begun with the most frequent feature and then those least like the
+    ones before. Kinds stand by the number of their rows, or in the order of those of `like` that they share most with."""
     rows = np.flatnonzero(toxic)
     table = np.zeros((len(rows), len(speaks)), np.float32)
     for i, r in enumerate(rows):
@@ -104,7 +115,7 @@ def kinds_of(found: list[list[int]], toxic: np.ndarray, speaks: np.ndarray, kind
     chosen = np.flatnonzero(speaks & (table.sum(axis=0) > 0))
     out = np.zeros((len(found), kinds))
     if not len(chosen):
-        return out
+        return out, [set() for _ in range(kinds)]
     unit = table[:, chosen].T / np.linalg.norm(table[:, chosen], axis=0)[:, None]
     centres = [unit[int(np.argmax(table[:, chosen].sum(axis=0)))]]
     while len(centres) < min(kinds, len(chosen)):
@@ -115,9 +126,20 @@ def kinds_of(found: list[list[int]], toxic: np.ndarray, speaks: np.ndarray, kind
         sums = np.stack([unit[group == k].sum(axis=0) if (group == k).any() else centres[k] for k in range(len(centres))])
         centres = sums / np.maximum(np.linalg.norm(sums, axis=1), 1e-12)[:, None]
     has = np.stack([(table[:, chosen[group == k]] > 0).any(axis=1) for k in range(len(centres))], axis=1)
-    order = np.argsort(-has.sum(axis=0), kind="stable")
-    out[rows[:, None], np.arange(len(centres))[None, :]] = has[:, order]
-    return out
+    order = np.argsort(-has.sum(axis=0), kind="stable").tolist()
+    groups = [set(chosen[group == k].tolist()) for k in range(len(centres))]
+    places = list(range(len(order)))
+    if like:
+        free, places = list(range(kinds)), []
+        for k in order:
+            best = max(free, key=lambda j: (len(groups[k] & like[j]), -j))
+            free.remove(best)
+            places.append(best)
+    out[rows[:, None], np.array(places)[None, :]] = has[:, order]
+    words: list[set[int]] = [set() for _ in range(kinds)]
+    for k, place in zip(order, places, strict=True):
+        words[place] = groups[k]
+    return out, words
 
 
 def fit_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = TRAIN_PER_CLASS) -> Chain | None:
@@ -136,28 +158,44 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return None
-    # log odds of a feature in the two classes, in standard errors
-    odds = lambda hits, total: F.log((hits + 0.5) / (F.lit(total + 0.5) - hits))
-    counted = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    a, b = F.col("a"), F.col("b")
-    z = (odds(a, n[1]) - odds(b, n[0])) / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    strength = F.abs("z")
-    chosen = counted.withColumn("z", z).where((a + b >= LEAST_TEXTS) & (strength >= LEAST_Z)).orderBy(F.desc(strength), "word").limit(FEATURES)
-    leans = {r["word"]: r["z"] > 0 for r in chosen.select("word", "z").collect()}
-    features = sorted(leans)
-    if not features:
+    # for all rows (-1) and without each fold: which features tell the classes apart, and to which side they lean
+    fold = F.pmod("h", F.lit(FOLDS)).cast("int")
+    by_fold = rows.groupBy(fold.alias("fold"), "toxic").agg(F.count("*").alias("n")).collect()
+    sizes = {f: [sum(r["n"] for r in by_fold if r["toxic"] == k and r["fold"] != f) for k in (0, 1)] for f in range(-1, FOLDS)}
+    each = [F.sum(F.when(F.col("fold") != f, F.col("toxic") if k else 1 - F.col("toxic")).otherwise(0)).alias(f"n{k}_{f + 1}") for f in range(-1, FOLDS) for k in (0, 1)]
+    counted = rows.select("toxic", fold.alias("fold"), F.explode("words").alias("word")).groupBy("word").agg(*each)
+    counted = stable(counted.where(F.col("n0_0") + F.col("n1_0") >= LEAST_TEXTS))  # a feature in fewer texts is in fewer without a fold, too
+    strong = []
+    for f, (clean, bad) in sizes.items():
+        a, b = F.col(f"n1_{f + 1}"), F.col(f"n0_{f + 1}")
+        odds = lambda hits, total: F.log((hits + 0.5) / (F.lit(total + 0.5) - hits))
+        z = (odds(a, bad) - odds(b, clean)) / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))  # log odds in standard errors
+        strength = F.abs("z")
+        rows_of_fold = counted.select("word", z.alias("z"), (a + b).alias("texts"), F.lit(f).alias("fold")).where((F.col("texts") >= LEAST_TEXTS) & (strength >= LEAST_Z))
+        strong.append(rows_of_fold.orderBy(F.desc(strength), "word").limit(FEATURES))
+    leans: dict[int, dict[str, bool]] = {f: {} for f in sizes}
+    for r in reduce(DataFrame.unionByName, strong).collect():  # FEATURES for each fold at most
+        leans[r["fold"]][r["word"]] = r["z"] > 0
+    if not leans[-1]:
         return None
+    features = sorted(set().union(*leans.values()))
     places = F.array_sort(F.array_intersect("words", F.from_json(F.lit(_json(features)), "array<string>")))
     got = rows.select("h", "toxic", places.alias("words")).toArrow().to_pylist()
     got.sort(key=lambda r: r["h"])
     at = {f: i for i, f in enumerate(features)}
     found = [[at[w] for w in r["words"]] for r in got]
-    toxic = np.array([r["toxic"] for r in got], np.float64)
-    speaks = np.array([leans[f] and not f.startswith("^") for f in features])
-    y = np.concatenate((kinds_of(found, toxic, speaks), toxic[:, None]), axis=1)
+    toxic, folds = np.array([r["toxic"] for r in got], np.float64), np.array([r["h"] % FOLDS for r in got])
+    speaks = {f: np.array([x[w] if (w in x and not w.startswith("^")) else False for w in features]) for f, x in leans.items()}
+    kinds, words = kinds_of(found, toxic, speaks[-1])
+    y = np.concatenate((kinds, toxic[:, None]), axis=1)
+    within = {}
+    for f in np.unique(folds).tolist():
+        own, _ = kinds_of(found, toxic * (folds != f), speaks[f], like=words)
+        within[f] = {at[w] for w in leans[f]}, np.concatenate((own, toxic[:, None]), axis=1)
     share = np.array([totals[0] / n[0], totals[1] / n[1]])  # as many as there are, though the classes were drawn alike
     weight = share[y[:, -1].astype(int)]
-    return Chain.fit(CATEGORIES, features, found, y, np.array([r["h"] % FOLDS for r in got]), weight)
+    every = {at[w] for w in leans[-1]}
+    return Chain.fit(CATEGORIES, features, found, y, folds, weight, within, every)
 
 
 def _json(values: list[str]) -> str:

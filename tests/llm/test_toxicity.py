@@ -76,10 +76,40 @@ def test_kinds_are_groups_of_words_that_go_together():
         toxic.append(float(i % 2))
         kind.append(g)
         found.append([words.index("house")] + ([words.index(w) for w in groups[g]] if i % 2 else []))
-    got = t.kinds_of(found, np.array(toxic), np.array([True] * 6 + [False]))
+    got, groups_found = t.kinds_of(found, np.array(toxic), np.array([True] * 6 + [False]))
+    assert groups_found == [{0, 1}, {2, 3}, {4, 5}]
+    turned, _ = t.kinds_of(found, np.array(toxic), np.array([True] * 6 + [False]), like=[{4, 5}, {0, 1}, {3}])
+    assert (turned == got[:, [2, 0, 1]]).all()
     for row, y, g in zip(got, toxic, kind, strict=True):
         assert row.tolist() == [float(y and g == k) for k in range(3)]
-    assert not t.kinds_of(found, np.array(toxic), np.zeros(7, bool)).any()
+    assert not t.kinds_of(found, np.array(toxic), np.zeros(7, bool))[0].any()
+
+
+def test_a_fold_answers_without_its_own_labels():
+    """What a later model is trained on does not change with the labels of the rows that it is said of."""
+    rng = np.random.default_rng(1)
+    found = [np.flatnonzero(r).tolist() for r in rng.random((200, 4)) < 0.4]
+    fold, y = np.arange(200) % 4, rng.integers(0, 2, (200, 2)).astype(float)
+    seen = []
+
+    def spied(x, target, *rest):
+        seen.append(x.dense[:, :-1].copy())
+        return fit(x, target, *rest)
+
+    fit = t.fit_logistic
+    other = y.copy()
+    other[fold == 2] = 1 - other[fold == 2]
+    within = lambda labels: {f: ({0, 1, 2, 3} - {f}, np.where((fold == f)[:, None], np.nan, labels)) for f in range(4)}
+    answers = []
+    for labels in (y, other):
+        seen.clear()
+        t.fit_logistic = spied
+        try:
+            t.Chain.fit(("a", "b"), list("wxyz"), found, labels, fold, np.ones(200), within(labels))
+        finally:
+            t.fit_logistic = fit
+        answers.append(seen[-1][:, 0])  # the column of the first category, as the last model has it
+    assert np.allclose(answers[0][fold == 2], answers[1][fold == 2]) and not np.allclose(answers[0], answers[1])
 
 
 def test_scores_by_plain_loops(spark):
