@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from .base import stable, uniform
 
 SCALE = 1024
-#: Vectors and queries of a block, levels of a dimension, and rounds in which the impacts are read.
+#: Vectors of a block, queries whose answers leave a task together, levels of a dimension, and rounds in which the impacts are
+#: read.
 BLOCK_ROWS = 8192
 QUERY_ROWS = 2048
 LEVELS = 32
@@ -96,7 +97,7 @@ class ImpactIndex:
                 got += np.bincount(np.concatenate(ids), np.concatenate(weights).astype(np.float64), self.n)
             done = upto
             left = int(np.where(done < LEVELS, tops[np.arange(self.width), np.minimum(done, LEVELS - 1)], 0).sum())
-            may = np.flatnonzero(got + left >= need)
+            may = np.flatnonzero(got + left >= need - 1 - 1e-9 * abs(need))  # sums of doubles may be off by less
             if len(may) <= few:
                 break
         return may
@@ -119,14 +120,19 @@ def top_inner_products(df: DataFrame, queries: Column, k: int = 10, id_col: str
     ties go to the smaller id. Vectors that are null or hold a null or non-finite component, and rows without an id, take
     no part. Repeated rows count once; of one id with several vectors, each vector is a candidate, and as a query it asks
     once more. Vectors of different lengths are compared as if zeros followed the shorter. Fewer than k candidates: all.
-    An empty table gives an empty result; other columns are ignored.
+    An empty table gives an empty result; other columns are ignored. Vectors whose inner
+    products may not fit a long raise an ArithmeticError before any work.
 
-    Both sides are dealt into blocks, and a task holds one block of vectors with one block of queries.
+    Vectors are dealt into blocks. A block's come to its task before the queries do: its index is built once, and queries
+    stream past it, QUERY_ROWS at a time.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("vec_id"), quantised(F.col(vector_col)).alias("vector"), queries.alias("asks"))
     rows = stable(rows.where("vec_id is not null and vector is not null"))
-    n, asked, width = rows.agg(F.count("*"), F.count_if("asks"), F.max(F.size("vector"))).first()
-    width = max(1, width or 1)
+    size = F.greatest(F.abs(F.array_max("vector").cast("double")), F.abs(F.array_min("vector").cast("double")))
+    n, width, largest = rows.agg(F.count("*"), F.max(F.size("vector")), F.max(size)).first()
+    width, largest = max(1, width or 1), largest or 0.0
+    if width * largest**2 >= 2.0**62:
+        raise ArithmeticError(f"inner products of {width} components up to {largest:.0f} may not fit a long")
     sample = rows.where(uniform("vec_id", seed=11) < SEED_ROWS / max(1, n)).select("vec_id", "vector").dropDuplicates().orderBy("vec_id").limit(2 * SEED_ROWS)
     held = sample.toArrow()  # bounded: at most 2 * SEED_ROWS vectors
     seeds = df.sparkSession.sparkContext.broadcast((held["vec_id"].to_numpy(), _matrix(held["vector"], width)))
@@ -143,29 +149,42 @@ def top_inner_products(df: DataFrame, queries: Column, k: int = 10, id_col: str
             kth = np.where(np.isfinite(kth), kth - np.abs(kth) * 1e-12 - 1, -float(1 << 62))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.floor(kth).astype(np.int64))], ["vec_id", "vector", "reached"])
 
-    blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-asked // QUERY_ROWS))
+    blocks = max(1, -(-n // block_rows))
     asking = rows.where("asks").select("vec_id", "vector").distinct().mapInArrow(reach, "vec_id bigint, vector array<bigint>, reached bigint")
-    asking = asking.withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks))).withColumn("cb", F.explode(_upto(blocks)))
+    asking = asking.withColumn("cb", F.explode(_upto(blocks)))
     given = rows.select("vec_id", "vector", F.lit(None).cast("bigint").alias("reached"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).alias("cb"))
-    given = given.withColumn("qb", F.explode(_upto(query_blocks)))
-
-    def search(block: pa.Table) -> pa.Table:
-        asks, given = block.filter(pc.is_valid(block["reached"])), block.filter(pc.is_null(block["reached"]))
-        out: list[list] = [[], [], []]
-        if len(asks) and len(given):
-            ids, vectors = given["vec_id"].to_numpy(), _matrix(given["vector"], width)
-            once = np.unique(np.concatenate((ids[:, None], vectors), axis=1), axis=0)
-            ids, vectors = once[:, 0].copy(), once[:, 1:].copy()
-            index = ImpactIndex(vectors)
-            for q, query, reached in zip(asks["vec_id"].to_numpy(), _matrix(asks["vector"], width), asks["reached"].to_numpy(), strict=True):
-                at, scores = index.top(query, ids == q, ids, k, int(reached))
-                out[0].append(np.full(len(at), q))
-                out[1].append(ids[at])
-                out[2].append(scores)
-        arrays = [pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)) for x in out]
-        return pa.Table.from_arrays(arrays, ["query_id", "vec_id", "score"])
-
-    both = asking.select("qb", "cb", "vec_id", "vector", "reached").unionByName(given.select("qb", "cb", "vec_id", "vector", "reached"))
-    found = both.groupBy("qb", "cb").applyInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+
+    def search(batches):
+        block, held, index, ids = None, [], None, np.zeros(0, np.int64)
+        for batch in batches:
+            numbers, asks = batch.column(0).to_numpy(), pc.is_valid(batch.column(3)).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(numbers) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(numbers)], strict=True):
+                if a == b:
+                    continue
+                if numbers[a] != block:
+                    block, held, index = numbers[a], [], None
+                part = batch.slice(a, b - a)
+                own, vectors = part.column(1).to_numpy(), _matrix(part.column(2), width)
+                if not asks[a]:
+                    held.append(np.concatenate((own[:, None], vectors), axis=1))
+                    continue
+                if held:
+                    once = np.unique(np.concatenate(held), axis=0)
+                    held, ids, index = [], once[:, 0].copy(), ImpactIndex(once[:, 1:].copy())
+                if index is None:
+                    continue
+                for s in range(0, len(own), QUERY_ROWS):
+                    out: list[list] = [[], [], []]
+                    for q, query, reached in zip(own[s : s + QUERY_ROWS], vectors[s : s + QUERY_ROWS], part.column(3).to_numpy()[s : s + QUERY_ROWS], strict=True):
+                        at, scores = index.top(query, ids == q, ids, k, int(reached))
+                        out[0].append(np.full(len(at), q))
+                        out[1].append(ids[at])
+                        out[2].append(scores)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], ["query_id", "vec_id", "score"])
+
+    both = asking.select("cb", "vec_id", "vector", "reached").unionByName(given.select("cb", "vec_id", "vector", "reached"))
+    dealt = both.repartition(blocks, "cb").sortWithinPartitions("cb", F.col("reached").isNotNull())
+    found = dealt.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -50,3 +50,9 @@ def test_bounds_prove(spark):
         scores = vectors @ query
         reached = int(np.sort(scores)[-5])
         assert set(np.flatnonzero(scores >= reached)) <= set(index.members(query, reached))
+
+
+def test_products_that_fit_no_long(spark):
+    frame = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(ArithmeticError):
+        top_inner_products(frame, F.col("vec_id") == 0)
