@@ -94,15 +94,26 @@ def _by_set(d: Detector) -> bool:
     return d.kind == "dictionary" and len(d.dictionary.evidence) > lexicons.LITERAL_WORDS
 
 
+@lru_cache(maxsize=64)
+def _seen(application: str, text_col: str) -> dict[str, Column]:
+    text = F.col(text_col).cast("string")
+    return {"_seen": readable(text), "_lower": F.lower(text), "_digit": has_digit(text)}
+
+
+@lru_cache(maxsize=64)
+def _near(application: str, context: int) -> Column:
+    return F.when(F.col("_digit"), near_digits(F.col("_seen"), context))
+
+
 def looked_at(df: DataFrame, rules: RuleSet, text_col: str, ids: tuple[str, ...] | None = None) -> DataFrame:
     """`df` with what all detectors look at: `_seen`, the text; `_lower`; `_digit`; `_near`, the parts around digits that
     patterns with a reach are tried on; and of a detector with long lists `_listed_<id>`, the words of the text in them."""
-    text = F.col(text_col).cast("string")
-    df = once(df, {"_seen": readable(text), "_lower": F.lower(text), "_digit": has_digit(text)})
+    application = df.sparkSession.sparkContext.applicationId
+    df = once(df, _seen(application, text_col))
     long = {f"_listed_{d.id}": listed_of(capitalised(F.col("_seen")), d.dictionary.evidence) for d in rules.detectors if _by_set(d) and (ids is None or d.id in ids)}
     df = once(df, long) if long else df
     reaches = [n for d in _usable(rules, ids) if (n := _reach(d.pattern)) is not None]
-    return once(df, {"_near": F.when(F.col("_digit"), near_digits(F.col("_seen"), max(reaches, default=0) + 1))})
+    return once(df, {"_near": _near(application, max(reaches, default=0) + 1)})
 
 
 def _hits(detectors: list[Detector], limit: int | None) -> Column:

@@ -32,6 +32,11 @@ def fired_detectors(application: str, rules: RuleSet) -> Column:
     return F.transform(F.array_sort(kept), lambda x: F.struct(x["id"].alias("id"), names[x["id"]].alias("name"), x["raw_count"].alias("raw_count"), x["validated_count"].alias("validated_count"), (-x["order"]).alias("confidence")))
 
 
+@lru_cache(maxsize=32)
+def _body(application: str, rules: RuleSet) -> Column:
+    return body_labels(F.col("_text"), rules)
+
+
 def _batches(rules: RuleSet) -> list[tuple[str, ...]]:
     ids, n = tuple(d.id for d in rules.by_priority), max(1, rules.early_exit.batch)
     return [ids[i : i + n] for i in range(0, len(ids), n)]
@@ -85,7 +90,8 @@ def inspect(df: DataFrame, rules: RuleSet, text_col: str = "text", source_labels
         df = once(df, {"_began": _clock()})
     df = once(_with_found(df, rules), {"_by": F.map_from_entries("_found")})
     df = with_profiles(df, rules)
-    df = once(df, {"_body": body_labels(F.col("_text"), rules), "_detectors": fired_detectors(df.sparkSession.sparkContext.applicationId, rules)})
+    application = df.sparkSession.sparkContext.applicationId
+    df = once(df, {"_body": _body(application, rules), "_detectors": fired_detectors(application, rules)})
     severity = F.coalesce(F.array_max(F.transform("profiles", lambda p: p["severity"])), F.lit(0))
     severity = F.greatest(severity, F.when(F.size("_body") > 0, 1).otherwise(0), F.when(F.size("_meta") > 0, 2).otherwise(0))
     uncovered = F.col("_in_part") & (severity == 0)
