@@ -19,7 +19,8 @@ def scan_files(spark: SparkSession, path: str | list[str], recursive: bool = Tru
     the order of names. A file that can't be read has a null content."""
     paths = [path] if isinstance(path, str) else path
     trees = [file_tree(spark, p, recursive=recursive, includeHidden=hidden, maxReadBytes=max_read_bytes, maxFiles=max_files, skipSuffix=skip_suffix) for p in paths]
-    files = reduce(DataFrame.unionByName, trees).select("path", "length", "content")
+    full = F.when(F.startswith("path", F.lit("/")), F.concat(F.lit("file:"), "path")).otherwise(F.col("path"))  # as Spark's own sources name files
+    files = reduce(DataFrame.unionByName, trees).select(full.alias("path"), "length", "content")
     return files if max_files is None or len(paths) == 1 else files.limit(max_files)
 
 

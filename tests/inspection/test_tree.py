@@ -54,9 +54,9 @@ def test_limits_are_met_while_listing(spark, tree):
     assert of(files.where(F.col("path").endswith(".txt") & F.col("path").startswith(f"{top}/b"))) == {f"{top}/b/deep/er/z é.txt"}
     plan = files.where("length <= 30")._jdf.queryExecution().executedPlan().toString()
     assert "Filter (length" not in plan and "length#" in plan
-    assert of(scan_files(spark, top, max_read_bytes=10)) == {p for p, n in every.items() if n <= 10}
-    assert of(scan_files(spark, top, skip_suffix=".txt")) == {p for p in every if not p.endswith(".txt")}
-    walk = [f"{top}/.env", f"{top}/_x/y.json", f"{top}/a.txt", f"{top}/b/c.log"]
+    assert of(scan_files(spark, top, max_read_bytes=10)) == {f"file:{p}" for p, n in every.items() if n <= 10}
+    assert of(scan_files(spark, top, skip_suffix=".txt")) == {f"file:{p}" for p in every if not p.endswith(".txt")}
+    walk = [f"file:{top}/{p}" for p in (".env", "_x/y.json", "a.txt", "b/c.log")]
     assert of(scan_files(spark, top, max_files=4)) == set(walk)
     assert len(of(scan_files(spark, [f"{top}/b", f"{top}/_x"]))) == 4
 
