@@ -222,3 +222,24 @@ def test_time_grows_with_the_text():
         find_secrets(text)
         assert time.process_time() - start < 6, name
     assert values(forms["doubling"]) == ["Zx81kQ99"]
+
+
+def test_time_is_in_proportion():
+    import time
+
+    for piece in ("key = ''' ", "abc, def ", "a or ", "x[0]", "key=", "x?!"):
+        took = []
+        for size in (40_000, 320_000):
+            start = time.process_time()
+            find_secrets("key = " + piece * (size // len(piece)))
+            took.append(time.process_time() - start)
+        assert took[1] < 20 * max(took[0], 0.02), (piece, took)
+
+
+def test_no_length_hides_a_value():
+    long = "Xk29fjQ0zz" * 500
+    assert values(f"pwd: {long}\n") == [long]
+    types = "dict[str, " * 60 + "str" + "]" * 60
+    assert values(f'passphrase: {types} = "Xk29fjQ0zz"') == ["Xk29fjQ0zz"]
+    assert values("grid" + "[0]" * 60 + " = 1\npassphrase" + "[0]" * 60 + ' = "Xk29fjQ0zz"') == ["Xk29fjQ0zz"]
+    assert values('passphrase <- "Xk29fjQ0zz"') == values('#define PASSPHRASE "Xk29fjQ0zz"\n') == ["Xk29fjQ0zz"]
