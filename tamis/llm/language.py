@@ -6,18 +6,18 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import uniform
+from .base import stable, uniform
 from .linear import fit_svm, scores, sigmoid
 
 #: Rows that the machines are fitted on at most (in expectation), spread evenly over the languages.
@@ -28,12 +28,18 @@ BYTES_AT_ONCE = 1 << 20
 UNDETERMINED = "und"
 #: How steeply a margin turns into a probability.
 STEEPNESS = 3.0
-#: Familiarity: folds of the sample, a floor under the shares of grams, bytes below which a text tells little, the share
-#: of the labelled sample that the limit must let pass, the room above that, and the least limit, in bits a gram.
+#: Familiarity: folds of the labelled rows, a floor under the shares of grams, bytes below which a text tells little, the
+#: share of the labelled rows that the limit must let pass, the room above that, and the least limit, in bits a gram.
 FOLDS = 4
 FLOOR = 0.01
 FEW_BYTES = 50
 LET_PASS, ROOM, LEAST_LIMIT = 0.999, 1.25, 1.0
+#: The shares of a text's grams are whole numbers that sum to about WHOLE, so their sums are the same in any order, and fit
+#: a long for 2^33 rows. Costs are counted in whole parts of a bit, so there are so many different ones at most at any size.
+WHOLE = 1 << 30
+PARTS_OF_A_BIT = 1 << 12
+#: Sums of shares that a task holds at most before it hands them on, of 32 KB each.
+SUMS_HELD = 1024
 #: Families by ISO 639-1 code, after common linguistic classification; a code that is not listed is a family of its own.
 FAMILIES = {
     "germanic": "af da de en fy is lb nb nl nn no sv yi",
@@ -115,19 +121,18 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _labelled(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """id, text and lang of the rows that are not held out and have a text and a language."""
+    rows = df.where(~held_out(F.col(id_col)) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    return rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
+
+
 def fit_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> LanguageModel | None:
     """Fitted on a sample, drawn by a hash of the id, of the rows that are not held out and have a text and a language.
 
     The counts behind the sampling rates cover all such rows. None if there are no such rows.
     """
-    got = _learnt(df, features, id_col, text_col, lang_col, train_rows)
-    return LanguageModel.fit(got[0], got[2]) if got else None
-
-
-def _learnt(df: DataFrame, of: Callable[[str], np.ndarray], id_col: str, text_col: str, lang_col: str, train_rows: int) -> tuple[np.ndarray, np.ndarray, list[str]] | None:
-    """Of the sample, in an order of its own: features, a checksum of them, and languages."""
-    rows = df.where(~held_out(F.col(id_col)) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
+    rows = _labelled(df, id_col, text_col, lang_col)
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
@@ -138,7 +143,7 @@ def _learnt(df: DataFrame, of: Callable[[str], np.ndarray], id_col: str, text_co
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [of(t).astype(np.float16).tobytes() for t in batch.column(1).to_pylist()]
+            rows = [features(t).astype(np.float16).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], ["id", "x", "lang"])
 
     got = sample.mapInArrow(extract, T.StructType([sample.schema["id"], T.StructField("x", T.BinaryType()), T.StructField("lang", T.StringType())])).toArrow()
@@ -146,7 +151,7 @@ def _learnt(df: DataFrame, of: Callable[[str], np.ndarray], id_col: str, text_co
     if not rows:
         return None
     x = np.frombuffer(b"".join(r[1] for r in rows), np.float16).reshape(len(rows), -1).astype(np.float32)
-    return x, np.array([zlib.crc32(r[1]) for r in rows]), [r[0] for r in rows]
+    return LanguageModel.fit(x, [r[0] for r in rows])
 
 
 def prose_features(text: str) -> np.ndarray:
@@ -167,30 +172,13 @@ class Familiarity:
     usual: dict[str, float]
     limit: float
 
-    @classmethod
-    def fit(cls, x: np.ndarray, marks: np.ndarray, langs: list[str]) -> Familiarity:
-        """The limit comes from out-of-fold costs; texts with the same mark are in one fold."""
-        langs, folds = np.array(langs, dtype=object), marks % FOLDS
-        bits, usual, excess = {}, {}, [np.zeros(0)]
-        for lang in sorted(set(langs)):
-            mine = langs == lang
-            sums = np.stack([(x[mine & (folds == f), :-1] ** 2).sum(axis=0, dtype=np.float64) for f in range(FOLDS)])
-            bits[lang] = cls._bits(sums.sum(axis=0))
-            held = [(x[mine & (folds == f)], cls._bits(sums.sum(axis=0) - sums[f])) for f in range(FOLDS) if mine[folds != f].any()]
-            held = [(rows[rows[:, -1] > 0], b) for rows, b in held] if held else []
-            costs = [rows[:, :-1] ** 2 @ b for rows, b in held]
-            apart = np.concatenate(costs) if costs else np.zeros(0)
-            usual[lang] = float(np.median(apart)) if len(apart) else float(np.median(x[mine, :-1] ** 2 @ bits[lang]))
-            excess += [(c - usual[lang]) / cls._slack(rows[:, -1]) for c, (rows, _) in zip(costs, held, strict=True)]
-        excess = np.concatenate(excess)
-        return cls(bits, usual, max(LEAST_LIMIT, ROOM * float(np.quantile(excess, LET_PASS))) if len(excess) else math.inf)
-
     @staticmethod
-    def _bits(shares: np.ndarray) -> np.ndarray:
-        return -np.log2((1 - FLOOR) * shares / max(shares.sum(), 1e-12) + FLOOR / len(shares))
+    def bits_of(sums: np.ndarray) -> np.ndarray:
+        """Bits of each gram, from sums of shares."""
+        return -np.log2((1 - FLOOR) * sums / max(sums.sum(), 1e-12) + FLOOR / len(sums))
 
     @staticmethod
-    def _slack(root: np.ndarray) -> np.ndarray:
+    def slack(root: float) -> float:
         """Short texts stray further, as the root of their length."""
         return 1 + FEW_BYTES**0.5 / (100 * root)
 
@@ -198,13 +186,91 @@ class Familiarity:
         """Above 1 for what lies beyond the limit of `lang`."""
         if x[-1] <= 0:
             return 0.0
-        return float((x[:-1].astype(np.float64) ** 2 @ self.bits[lang] - self.usual[lang]) / self._slack(x[-1]) / self.limit)
+        return float((x[:-1].astype(np.float64) ** 2 @ self.bits[lang] - self.usual[lang]) / self.slack(x[-1]) / self.limit)
+
+
+def _fold(x: np.ndarray) -> int:
+    """Texts with the same words are in one fold."""
+    return zlib.crc32(x.tobytes()) % FOLDS
+
+
+def _sums(rows: DataFrame) -> dict[str, np.ndarray]:
+    """For each language, fold and gram: the sum of the gram's shares over all of `rows`. A few KB for each language."""
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], np.ndarray] = {}
 
-def fit_familiarity(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Familiarity | None:
-    """Fitted on the sample that `fit_languages` draws."""
-    got = _learnt(df, prose_features, id_col, text_col, lang_col, train_rows)
-    return Familiarity.fit(*got) if got else None
+        def taken() -> pa.RecordBatch:
+            keys, sums = list(held), pa.array(list(held.values()), pa.list_(pa.int64()))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), sums], ["lang", "fold", "sums"])
+
+        for batch in batches:
+            for text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = prose_features(text)
+                key = lang, _fold(x)
+                if key not in held and len(held) == SUMS_HELD:
+                    yield taken()
+                held.setdefault(key, np.zeros(WIDTH, np.int64))
+                held[key] += np.rint(x[:-1].astype(np.float64) ** 2 * WHOLE).astype(np.int64)
+        if held:
+            yield taken()
+
+    of_tasks = rows.select("text", "lang").mapInArrow(add, "lang string, fold int, sums array<bigint>")
+    of_grams = of_tasks.select("lang", "fold", F.posexplode("sums").alias("gram", "share")).groupBy("lang", "fold", "gram").agg(F.sum("share").alias("share"))
+    out: dict[str, np.ndarray] = {}
+    for (lang, fold), sums in of_grams.toArrow().to_pandas().groupby(["lang", "fold"]):
+        out.setdefault(lang, np.zeros((FOLDS, WIDTH), np.int64))[fold, sums["gram"]] = sums["share"]
+    return out
+
+
+def _costs(rows: DataFrame, bits: dict[str, np.ndarray]) -> DataFrame:
+    """lang, cost and slack of each of `rows` with words, under the bits of its language and fold."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)  # FOLDS vectors of WIDTH numbers for each language
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = prose_features(text)
+                if x[-1] > 0:
+                    cost = float(x[:-1].astype(np.float64) ** 2 @ shared.value[lang][_fold(x)])
+                    out.append((lang, math.floor(cost * PARTS_OF_A_BIT), float(Familiarity.slack(x[-1]))))
+            langs, costs, slack = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(costs, pa.int64()), pa.array(slack, pa.float64())], ["lang", "cost", "slack"])
+
+    return rows.select("text", "lang").mapInArrow(measure, "lang string, cost bigint, slack double")
+
+
+def _quantile(rows: DataFrame, share: float, *by: str) -> DataFrame:
+    """Of each group, the least `cost` that `share` of its rows do not exceed. Costs are counted first, so a window has as
+    many rows as there are different costs."""
+    counts = rows.groupBy(*by, "cost").agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*(by or (F.lit(1),)))
+    reached = counts.select(*by, "cost", F.sum("n").over(group.orderBy("cost")).alias("at"), F.sum("n").over(group).alias("all"))
+    return reached.where(F.col("at") >= share * F.col("all")).groupBy(*by).agg(F.min("cost").alias("cost"))
+
+
+def fit_familiarity(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Familiarity | None:
+    """Fitted on all rows that are not held out and have a text and a language. None if there are no such rows.
+
+    One pass sums the shares of grams by language and fold; another takes what each row costs under its language's other
+    folds (under its own, if there are no others). What is usual is the median of a language's costs, and the limit comes
+    from a quantile of all out-of-fold costs; both are of counts of all rows, in parts of a bit.
+    """
+    rows = _labelled(df, id_col, text_col, lang_col)
+    sums = _sums(rows)
+    if not sums:
+        return None
+    bits = {lang: Familiarity.bits_of(s.sum(axis=0)) for lang, s in sums.items()}
+    apart = [lang for lang, s in sums.items() if s.any(axis=1).sum() > 1]
+    judged = bits | {lang: [Familiarity.bits_of(sums[lang].sum(axis=0) - s) for s in sums[lang]] for lang in apart}
+    costs = stable(_costs(rows, {lang: np.broadcast_to(b, (FOLDS, WIDTH)) for lang, b in judged.items()}))  # a few bytes a row
+    usual = {r["lang"]: r["cost"] / PARTS_OF_A_BIT for r in _quantile(costs, 0.5, "lang").collect()}
+    strayed = F.floor((F.col("cost") - PARTS_OF_A_BIT * F.col("usual")) / F.col("slack"))
+    known = rows.sparkSession.createDataFrame([(lang, usual[lang]) for lang in apart], "lang string, usual double")
+    (limit,) = [r["cost"] for r in _quantile(costs.join(F.broadcast(known), "lang").select(strayed.alias("cost")), LET_PASS).collect()] or [None]
+    return Familiarity(bits, dict.fromkeys(bits, 0.0) | usual, math.inf if limit is None else max(LEAST_LIMIT, ROOM * limit / PARTS_OF_A_BIT))
 
 
 def strangeness(text: Column, lang: Column, familiar: Familiarity | None, df: DataFrame) -> Column:
