@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -237,15 +238,19 @@ def template_lines(own: list[int], marks: list[bool], neighbours: list[list[int]
     return sorted(found)
 
 
-def main_text(lines: list[Line], template: set[int]) -> str:
-    """The lines that are left, joined by a space. With an article or main element only its lines are; without one, what a
-    class or id calls the article, or else all, less the template. Of what remains, nothing is left out."""
+def pieces(lines: list[Line]) -> list[tuple[int, str]]:
+    """What may be main text, with the places of those lines that a template deletes; others, in one piece, have -1. With
+    an article or main element only its lines are; without one, what a class or id calls the article, or else all."""
     kept = [(i, x) for i, x in enumerate(lines) if not x.chrome]
-    inside = [x for _, x in kept if x.main]
-    if not inside:
-        kept = [(i, x) for i, x in kept if x.named] or kept
-        inside = [x for i, x in kept if i not in template]
-    return " ".join(x.text for x in inside)
+    inside = [x.text for _, x in kept if x.main]
+    if inside:
+        return [(-1, " ".join(inside))]
+    return [(i, x.text) for i, x in ([(i, x) for i, x in kept if x.named] or kept)]
+
+
+def main_text(lines: list[Line], template: set[int]) -> str:
+    """The lines that are left, less the template, joined by a space. Of what remains, nothing is left out."""
+    return " ".join(text for i, text in pieces(lines) if i not in template)
 
 
 _ADDRESS = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)"
@@ -263,6 +268,17 @@ def _outlines(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lines, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.bool_()))], [*batch.schema.names[:-1], "lines", "marks"])
 
 
+def _pieces(batches):
+    """Pieces, compressed, behind the columns that say which page it is. Their texts have no line breaks."""
+    for batch in batches:
+        places, texts = [], []
+        for source in batch.column(3).to_pylist():
+            page = pieces(lines_of(source))
+            places.append([i for i, _ in page])
+            texts.append(zlib.compress("\n".join(text for _, text in page).encode()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(places, pa.list_(pa.int32())), pa.array(texts, pa.binary())], [*batch.schema.names[:3], "places", "texts"])
+
+
 def _templates(batches):
     for batch in batches:
         own, marks, before, after = (batch.column(i).to_pylist() for i in (3, 4, 5, 6))
@@ -308,15 +324,19 @@ def main_texts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     pages = df.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     found = templates(pages)
-    keyed = pages.withColumn("digest", F.xxhash64("html"))
+    named = pages.select("page_id", "url", F.xxhash64("html").alias("digest"), F.coalesce("html", F.lit("")).alias("html"))
+    keyed = named.mapInArrow(_pieces, "page_id bigint, url string, digest bigint, places array<int>, texts binary")  # much less to move than html
     same = keyed["page_id"].eqNullSafe(found["page_id"]) & keyed["url"].eqNullSafe(found["url"]) & (keyed["digest"] == found["digest"])
-    both = keyed.join(found, same, "left").select(keyed["page_id"], keyed["url"], found["template"], F.coalesce(keyed["html"], F.lit("")).alias("html"))
+    both = keyed.join(found, same, "left").select(keyed["page_id"], keyed["url"], found["template"], keyed["places"], keyed["texts"])
 
     def run(batches):
         for batch in batches:
-            template = [t or [] for t in batch.column(2).to_pylist()]
-            texts = [main_text(lines_of(source), set(t)) for source, t in zip(batch.column(3).to_pylist(), template, strict=True)]
-            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t) for t in template], pa.int64())]
+            template, places, packed = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            texts = []
+            for t, at, z in zip(template, places, packed, strict=True):
+                gone = set(t or [])
+                texts.append(" ".join(text for i, text in zip(at, zlib.decompress(z).decode().split("\n"), strict=False) if i not in gone))
+            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t or []) for t in template], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars", "n_template"])
 
     return both.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint, n_template bigint")

@@ -91,3 +91,21 @@ def test_query_gives_the_articles(spark):
     for r in op11_main_texts(spark, top).collect():
         head = " ".join(html.unescape(heads[r["page_id"]]).split())
         assert r["text"].startswith(head) and r["text"][len(head) + 1 :] in docs and r["n_chars"] == len(r["text"])
+
+
+def test_little_is_moved(spark):
+    """Scripts and markup, which no text has, stay where they are read, and texts are moved compressed."""
+    import time
+
+    draw = random.Random(8)
+    word = lambda n: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    rows = []
+    for i in range(1500):
+        own = " ".join(draw.choices(["harbour", "boats", "lamp", "seven", "nine"], k=150)) + f" {i}"
+        rows.append((i, f"http://m.example/{i}", f"<script>{word(3000)}</script><div>Top</div><div data-x='{word(500)}'>{own}</div>", own))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, own string").repartition(4).checkpoint()
+    written = lambda: time.sleep(1) or spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    got = main_texts(frame).collect()
+    assert 0 < written() - before < 0.4 * sum(len(r[2]) for r in rows)
+    assert {r["page_id"]: (r["text"], r["n_template"]) for r in got} == {r[0]: (r[3], 1) for r in rows}
