@@ -66,9 +66,14 @@ def near_digits(text: Column, context: int) -> Column:
     return F.element_at(F.transform(given, lambda g: F.when(g.isNull(), whole).otherwise(stretches(g))), 1)
 
 
-def near(lower: Column, start: Column, keywords: Column, window: int) -> Column:
-    """Whether one of `keywords`, an array in lower case, lies whole within `window` bytes of `start`, in the bytes of the
+def near_in(data: Column, start: Column, keywords: Column, window: int) -> Column:
+    """Whether one of `keywords`, an array in lower case, lies whole within `window` bytes of `start`, in the bytes of a
     lower-case text."""
     low = F.greatest(start - window, F.lit(0))
-    part = F.substring(F.encode(lower, "UTF-8"), low + 1, start + window - low)
+    part = F.substring(data, low + 1, start + window - low)
     return F.exists(keywords, lambda k: F.contains(part, F.encode(k, "UTF-8")))
+
+
+def near(lower: Column, start: Column, keywords: Column, window: int) -> Column:
+    """The same, of the lower-case text itself."""
+    return near_in(F.encode(lower, "UTF-8"), start, keywords, window)
